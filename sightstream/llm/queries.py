@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightstream.llm import decontaminate, lines, mixing, neighbours, repeats, simhash, token_files
+from sightstream.llm import decontaminate, html_text, language, lines, lm, mixing, neighbours, repeats, simhash, token_files
 from sightstream.llm.common import table
 
 
@@ -27,8 +27,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": over(mixing.op3, "documents"),
         "op4_neighbours": over(neighbours.op4, "embeddings"),
         "op5_simhash": over(simhash.op5, "documents"),
+        "op6_lm": over(lm.op6, "documents"),
         "op7_decontaminate": over(decontaminate.op7, "documents", "benchmark"),
         "op8_lines": over(lines.op8, "documents"),
+        "op9_html_text": over(html_text.op9, "pages"),
+        "op10_language": over(language.op10, "documents"),
     }
 
 
