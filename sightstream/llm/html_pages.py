@@ -41,7 +41,7 @@ class Maker:
         return f"<{tag}{attrs}>{inner}</{tag}>"
 
     def paragraph(self, mark: str) -> str:
-        text = self.sentences(self.r.choice([1, 1, 2, 3, 5]))
+        text = self.sentences(self.r.choice([1, 1, 2, 3, 5])) if self.r.random() < 0.85 else self.words(self.r.choice([2, 8, 40]))
         if self.r.random() < 0.2:
             text = f'{self.words(3)} <a href="/x">{self.words(2)}</a> {text}'
         if self.r.random() < 0.15:

@@ -1,7 +1,7 @@
 """Operator 9: the main text of web pages by a tree-structured graphical model over their elements.
 
 Block elements of a page are the nodes of a tree. A node's potential for being content comes from its tag, the words
-in its class, id and role, and its own text; a potential of parent and child connects nodes. Sum-product message
+in its class, id and role, those of the elements around it, and its own text; a potential of parent and child connects nodes. Sum-product message
 passing, once upward and once downward, gives each node's marginal exactly. The parameters are those of a conditional
 random field, trained by gradient ascent on labelled pages (html_pages). Text of nodes with a marginal over one half is
 what is extracted, in page order. Trees of many pages are passed level by level at once in numpy.
@@ -61,7 +61,11 @@ MARK = "data-article"
 
 #: Length of a node's own text in characters, and its share in links: borders of the groups.
 LENGTHS = (1, 25, 80, 200)
-FEATURES = 1 + len(TAGS) + len(KINDS) + len(LENGTHS) + 3
+OWN = 1 + len(TAGS) + len(KINDS) + len(LENGTHS) + 3
+
+#: Features that the elements inside a node have from it: parts of a page by tag and by name.
+PASSED_ON = [*(1 + TAGS.index(t) for t in ("head", "nav", "header", "footer", "aside", "article", "main", "form", "fieldset")), *range(1 + len(TAGS), 1 + len(TAGS) + len(KINDS))]
+FEATURES = OWN + len(PASSED_ON)
 
 
 class Tree(NamedTuple):
@@ -178,6 +182,13 @@ class Forest(NamedTuple):
     first: list[int]
 
 
+def levels_of(depth: np.ndarray) -> list[np.ndarray]:
+    """The nodes of each depth, from the roots on."""
+    order = np.argsort(depth, kind="stable")
+    cuts = np.searchsorted(depth[order], np.arange(int(depth.max(initial=0)) + 2))
+    return [order[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def forest(trees: list[Tree]) -> Forest:
     first = np.cumsum([0, *(len(t.parent) for t in trees)])
     n = int(first[-1])
@@ -203,6 +214,9 @@ def forest(trees: list[Tree]) -> Forest:
     x[:, at + len(LENGTHS)] = links > 0.5 * np.maximum(own, 1)
     x[:, at + len(LENGTHS) + 1] = sentence
     x[:, at + len(LENGTHS) + 2] = (own > 0) & (tag == _TAG["div"])
+    for level in levels_of(depth)[1:]:
+        up = parent[level]
+        x[level, OWN:] = np.maximum(x[up][:, PASSED_ON], x[up, OWN:])
     return Forest(parent, depth, x, first.tolist())
 
 
@@ -215,9 +229,7 @@ def pass_messages(f: Forest, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """(n x 2 marginals of the nodes, n x 2 x 2 marginals of parent and child, zero for roots)."""
     theta = np.zeros((len(f.parent), 2))
     theta[:, 1] = f.features @ model.weights
-    order = np.argsort(f.depth, kind="stable")
-    cuts = np.searchsorted(f.depth[order], np.arange(int(f.depth.max(initial=0)) + 2))
-    levels = [order[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    levels = levels_of(f.depth)
     below, up = theta.copy(), np.zeros_like(theta)
     for level in levels[:0:-1]:  # from the leaves
         up[level] = np.logaddexp(below[level, None, 0] + model.pair[:, 0], below[level, None, 1] + model.pair[:, 1])
