@@ -85,10 +85,13 @@ def paths(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
 
 
 def edges(marked: DataFrame, k: int = K) -> DataFrame:
-    """marked: doc_id, text, ats. -> path, doc_id, at: a path of one window for each window of the marked paths."""
+    """marked: doc_id, text, ats (or null). -> path, doc_id, at: a path of one window for each window of the marked paths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(b.column(2).is_valid())
+            if not b.num_rows:
+                continue
             ids, ats = b.column(0).to_numpy(), b.column(2)
             flat, cut = ats.flatten().to_numpy(), np.concatenate([[0], np.cumsum(ats.value_lengths().to_numpy())])
             for lo, hi, data, offsets in text_slices(b.column(1)):
@@ -107,8 +110,9 @@ def edges(marked: DataFrame, k: int = K) -> DataFrame:
     return marked.mapInArrow(run, "path long, doc_id long, at long")
 
 
-def repeats(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """docs: (doc_id, text) dealt out by doc_id. -> doc_id, found: places and path hashes of what an earlier document holds."""
+def repeats(docs: DataFrame, dealt: DataFrame, k: int = K, m: int = M) -> DataFrame:
+    """docs: (doc_id, text); dealt: the same, dealt out by doc_id. -> doc_id, found: places and path hashes of what an earlier
+    document holds. The joins on dealt keep all its rows, so that Spark shuffles the texts once for all of them."""
     under = Window.partitionBy("anchor")
     met = (
         paths(docs, k, m)
@@ -121,7 +125,7 @@ def repeats(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
         F.collect_list(F.when(F.col("whole"), F.struct("at", "path"))).alias("settled"),
         F.collect_list(F.when(~F.col("whole"), F.col("at"))).alias("ats"),
     )
-    marked = docs.join(by_doc.where("size(ats) > 0").select("doc_id", "ats").hint("shuffle_hash"), "doc_id")
+    marked = dealt.join(by_doc.where("size(ats) > 0").select("doc_id", "ats").hint("shuffle_hash"), "doc_id", "left")
     met_again = edges(marked.select("doc_id", "text", "ats"), k).select("*", F.min("doc_id").over(Window.partitionBy("path")).alias("first")).where("doc_id > first")
     parts = by_doc.select("doc_id", F.explode("settled").alias("x")).select("doc_id", "x.at", "x.path").union(met_again.select("doc_id", "at", "path"))
     return parts.groupBy("doc_id").agg(F.collect_list(F.struct("at", "path")).alias("found"))
@@ -145,8 +149,9 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     if not m <= k <= 128:
         raise ValueError("m <= k <= 128 is needed")
     tune(docs.sparkSession)
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartition("doc_id")
-    joined = dealt.join(repeats(dealt, k, m).hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "found")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    dealt = docs.repartition("doc_id")
+    joined = dealt.join(repeats(docs, dealt, k, m).hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
