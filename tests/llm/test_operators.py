@@ -303,7 +303,7 @@ def test_benchmark_in_slices_and_proximity(spark, docs):
     whole = {(r.doc_id, r.n_words, str(r.spans), str(r["items"])) for r in decontaminate.contamination(df, items).collect()}
     cut = {(r.doc_id, r.n_words, str(r.spans), str(r["items"])) for r in decontaminate.contamination(df, items, slice_bytes=12).collect()}
     assert whole == cut
-    near = spark.createDataFrame([(1, "documents we have, many of which are in this line"), (2, "line")], "doc_id long, text string")
+    near = spark.createDataFrame([(1, "documents we have: is many of them in this line"), (2, "line")], "doc_id long, text string")
     got = {r.doc_id: (r["items"], r.near_items) for r in decontaminate.contamination(near, items.where("item_id = 1"), slop=12).collect()}
     assert got == {1: ([], ["1"]), 2: ([], [])}
     assert [r.contaminated for r in decontaminate.op7(near, items.limit(0)).collect()] == [False, False]
