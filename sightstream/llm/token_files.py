@@ -39,7 +39,7 @@ SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 NEAR_SPACE = re.compile(r" \s|\s ")
 
 #: Pieces that a Python worker remembers.
-CACHE = 300_000
+CACHE = 1_000_000
 
 
 class PieceEncoder:
