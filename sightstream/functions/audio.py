@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 SILENCE = -200.0
 
@@ -97,7 +98,7 @@ def quantize(samples: Column) -> Column:
     return F.transform(clamped, lambda x: F.round(F.when(x < 0, x * 32768).otherwise(x * 32767)).cast("int"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def wav_bytes(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """A mono 16-bit WAV file of quantised samples and a sample rate, 44 bytes of header first."""
     import struct
@@ -118,7 +119,7 @@ def chunk_file_name(source: Column, number: Column) -> Column:
 PCM_FORMATS = {"float32": ("<f4", 1.0, 0.0), "float64": ("<f8", 1.0, 0.0), "int16": ("<i2", 32767.0, 0.0), "int32": ("<i4", 2147483647.0, 0.0), "uint8": ("u1", 128.0, -128.0)}
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def decode_pcm(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Bytes and the name of their format; zeros for an unknown one."""
     for raw, formats in parts:
