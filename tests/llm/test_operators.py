@@ -128,6 +128,12 @@ def test_mixture_counts_are_poisson(spark):
     assert 140 < n < 260
 
 
+def test_mixture_is_the_same_with_many_sources(spark, docs, monkeypatch):
+    small = [tuple(r) for r in mixing.op3(frame(spark, docs)).collect()]
+    monkeypatch.setattr(mixing, "SMALL", 1)
+    assert sorted(map(str, small)) == sorted(map(str, (tuple(r) for r in mixing.op3(frame(spark, docs)).collect())))
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(5)
     v = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(0, 400)]
