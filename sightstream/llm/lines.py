@@ -50,11 +50,10 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
         .groupBy("doc_id", "row_key")
         .agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
     )
-    parts = F.split("text", "\n")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("dropped")), lambda i: F.get(parts, i))
-    return rows.join(lost.hint("shuffle_hash"), ["doc_id", "row_key"], "left").select(
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("dropped")), lambda i: F.get("parts", i))
+    return rows.join(lost.hint("shuffle_hash"), ["doc_id", "row_key"], "left").select("doc_id", "text", "dropped", F.split("text", "\n").alias("parts")).select(
         "doc_id",
-        F.size(parts).cast("long").alias("n_lines"),
+        F.size("parts").cast("long").alias("n_lines"),
         F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
         F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("kept"),
     )
