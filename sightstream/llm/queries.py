@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightstream.llm import decontaminate, html_text, language, lines, lm, mixing, neighbours, repeats, simhash, token_files
+from sightstream.llm import decontaminate, html_text, language, lines, lm, mixing, neighbours, oracles, repeats, simhash, token_files
 from sightstream.llm.common import table
 
 
@@ -36,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.OP3_SQL, "op4_neighbours": neighbours.OP4_SQL, "op8_lines": lines.OP8_SQL}
+    return {"op2_repeats": oracles.OP2_SQL, "op7_decontaminate": oracles.OP7_SQL, "op3_mixing": mixing.OP3_SQL, "op4_neighbours": neighbours.OP4_SQL, "op8_lines": lines.OP8_SQL}
