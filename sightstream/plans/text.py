@@ -196,6 +196,29 @@ REGIONS = f"""{BLOCKS}, blagged AS (
 )"""
 
 
+def pack_sql(name: str, source: str, key: str, limit: int) -> str:
+    """CTEs that pack pieces of source (key, rn from 1, piece) greedily into parts of at most limit characters: name (key, part, text)."""
+    joined = "CASE WHEN f.cur = '' THEN o.piece ELSE f.cur || chr(10) || o.piece END"
+    return f"""{name}_fold(k, rn, part, cur) AS (
+  SELECT {key}, rn, 0, piece FROM {source} WHERE rn = 1
+  UNION ALL
+  SELECT o.{key}, o.rn, f.part + CASE WHEN length({joined}) <= {limit} THEN 0 ELSE 1 END, CASE WHEN length({joined}) <= {limit} THEN {joined} ELSE o.piece END FROM {name}_fold f JOIN {source} o ON o.{key} = f.k AND o.rn = f.rn + 1
+), {name} AS (
+  SELECT k AS {key}, CAST(part AS INTEGER) AS part, last(cur ORDER BY rn) AS text FROM {name}_fold GROUP BY k, part HAVING last(cur ORDER BY rn) <> ''
+)"""
+
+
+def cut_sql(name: str, source: str, key: str, limit: int) -> str:
+    """CTEs that cut the lines of source (key, text) hard: name (key, rn, piece)."""
+    return f"""{name}_lines AS (
+  SELECT {key}, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM {source}
+), {name}_cut AS (
+  SELECT {key}, i, line, unnest(range(greatest(CAST(ceil(length(line) / {limit}.0) AS BIGINT), 1))) AS j FROM {name}_lines
+), {name} AS (
+  SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY i, j) AS rn, substr(line, j * {limit} + 1, {limit}) AS piece FROM {name}_cut
+)"""
+
+
 def sql_string(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -283,8 +306,16 @@ SELECT a.doc_id, a.obs_idx, a.x, a.y, a.confidence FROM two a WHERE NOT EXISTS (
     "role_histogram": (role_histogram, f"WITH {CLASSIFIED} SELECT role, count(*) AS blocks FROM classified GROUP BY role"),
     "export_aliases": (export_aliases, f"""WITH {CLASSIFIED} SELECT doc_id, 'd' || CAST(display_id AS VARCHAR) || '.b' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block_no) AS VARCHAR) AS alias, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block_no) AS INTEGER) AS reading_order,
   CAST(c AS INTEGER) AS character_count, CAST(n AS INTEGER) AS word_count, round(w * h / (1920.0::DOUBLE * frame_h), 9) AS area_ratio, round(nx, 9) AS nx, round(ny, 9) AS ny, round(nw, 9) AS nwidth, round(nh, 9) AS nheight FROM classified"""),
-    "chunk_pack": (chunk_pack, None),
-    "split_oversized": (split_oversized, None),
+    "chunk_pack": (chunk_pack, f"""WITH RECURSIVE {REGIONS}, b AS (
+  SELECT doc_id, region_no, block_no, '[d' || CAST(display_id AS VARCHAR) || '.b' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block_no) AS VARCHAR) || '] ' || text AS line FROM rnumbered
+), r AS (
+  SELECT doc_id * 1000000 + region_no AS rid, doc_id, region_no, string_agg(line, chr(10) ORDER BY block_no) AS text FROM b GROUP BY doc_id, region_no
+), long AS (SELECT rid, text FROM r WHERE length(text) > 2000), {cut_sql('cuts', 'long', 'rid', 2000)}, {pack_sql('parts', 'cuts', 'rid', 2000)}, pieces AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rid, part) AS rn, text AS piece FROM (
+    SELECT rid // 1000000 AS doc_id, rid, part, text FROM parts UNION ALL SELECT doc_id, rid, 0, text FROM r WHERE length(text) <= 2000)
+), {pack_sql('packed', 'pieces', 'doc_id', 2000)}
+SELECT doc_id, 'c' || CAST(part + 1 AS VARCHAR) AS alias, text, CAST(length(text) AS INTEGER) AS character_count FROM packed"""),
+    "split_oversized": (split_oversized, f"WITH RECURSIVE {cut_sql('cuts', 'documents', 'doc_id', 500)}, {pack_sql('parts', 'cuts', 'doc_id', 500)} SELECT doc_id, part, text FROM parts"),
     "anchored_markdown": (anchored_markdown, f"""WITH {REGIONS}, b AS (
   SELECT doc_id, display_id, block_no, region_no, text, 'd' || CAST(display_id AS VARCHAR) || '.b' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block_no) AS VARCHAR) AS alias FROM rnumbered
 ), rb AS (
