@@ -24,6 +24,10 @@ OBS = f"""lines AS (
 )"""
 
 
+#: A frame of prime sides: shares of it never lie halfway between two decimals, which engines round differently.
+ODD_FRAME = (1913.0, 10_007.0)
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -143,11 +147,11 @@ def split_oversized(spark, sf_dir):
 
 def anchored_markdown(spark, sf_dir):
     b = L.blocks(as_lines(observations(spark, sf_dir)))
-    return X.anchored_markdown(L.regions(b), b, F.lit(float(FRAME_WIDTH)), F.lit(10_000.0))
+    return X.anchored_markdown(L.regions(b), b, *map(F.lit, ODD_FRAME))
 
 
 def structured_markdown(spark, sf_dir):
-    return X.structured_markdown(classified(spark, sf_dir), F.lit(float(FRAME_WIDTH)), F.lit(10_000.0))
+    return X.structured_markdown(classified(spark, sf_dir), *map(F.lit, ODD_FRAME))
 
 
 def compact_json(spark, sf_dir):
@@ -173,6 +177,52 @@ def page_blocks(spark, sf_dir):
     return C.classify(rows, F.lit(1.0), F.lit(1.0)).groupBy("role").agg(F.count("*").alias("blocks"), F.count_distinct("doc_id").alias("pages"))
 
 
+def pixel_hashes(spark, sf_dir):
+    """Each document's bytes as the pixels of a frame."""
+    n = F.length("text")
+    return docs(spark, sf_dir).select("doc_id", T.frame_hash(n, F.lit(1), F.lit(32), n * 4, F.lit(1), F.col("text").cast("binary")).alias("frame_hash"))
+
+
+def recognised_boxes(spark, sf_dir):
+    """Boxes as shares of a frame of 1000 x 500 with y upward, turned into pixels."""
+    from sightstream.sources.providers import recognised
+
+    i = F.col("obs_idx")
+    boxes = observations(spark, sf_dir).withColumns({"x": (i % 8) / 8.0, "y": (i % 4) / 4.0, "w": F.lit(0.125), "h": F.lit(0.125)})
+    return recognised(boxes, F.lit(1000.0), F.lit(500.0)).select("doc_id", "obs_idx", "text", "x", "y", "w", "h")
+
+
+def joined_observations(spark, sf_dir):
+    from sightstream.sources.providers import joined_text
+
+    return joined_text(observations(spark, sf_dir), ["doc_id"])
+
+
+def sample_assembly(spark, sf_dir):
+    """Events of a user in pairs as samples of two displays; a frame is known by its type of event."""
+    from sightstream.sources.providers import assembled
+
+    e = table(spark, sf_dir, "events")
+    return assembled(e.select(F.col("user_id").alias("session_id"), F.floor(F.col("event_id") / 2).alias("seq"), (F.col("event_id") % 2 + 1).alias("display_id"), F.col("event_type").alias("frame_hash"), F.col("event_type").alias("text")))
+
+
+def plain_export(spark, sf_dir):
+    """Blocks of a document as text, with their roles."""
+    return X.plain_text(classified(spark, sf_dir), ["doc_id"], "block_no", F.concat(F.lit("["), F.col("role"), F.lit("]")))
+
+
+def prepared_documents(spark, sf_dir):
+    """Everything that is prepared of a document: its Markdown, structured Markdown and chunks, by their sizes."""
+    lines = as_lines(observations(spark, sf_dir))
+    b = L.blocks(lines)
+    r = L.regions(b)
+    frame = tuple(map(F.lit, ODD_FRAME))
+    md = X.anchored_markdown(r, b, *frame).select("doc_id", F.length("markdown").alias("markdown_characters"))
+    structured = X.structured_markdown(C.classify(b, *frame), *frame).select("doc_id", F.length("markdown").alias("structured_characters"))
+    chunks = X.chunks(r, b).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("character_count").alias("chunk_characters"))
+    return md.join(structured, "doc_id").join(chunks, "doc_id")
+
+
 BLOCKS = f"""{OBS}, lagged AS (
   SELECT *, lag(x) OVER win AS px, lag(y) OVER win AS py, lag(w) OVER win AS pw, lag(h) OVER win AS ph FROM obs WINDOW win AS (PARTITION BY doc_id ORDER BY obs_idx)
 ), flags AS (
@@ -322,17 +372,24 @@ SELECT doc_id, 'c' || CAST(part + 1 AS VARCHAR) AS alias, text, CAST(length(text
   SELECT doc_id, region_no, string_agg(alias, ', ' ORDER BY block_no) AS aliases, string_agg('#### ' || alias || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY block_no) AS body, count(*) AS n FROM b GROUP BY doc_id, region_no
 ), parts AS (
   SELECT r.doc_id, r.display_id, r.region_no, rb.n, '### d' || CAST(r.display_id AS VARCHAR) || '.r' || CAST(r.region_no + 1 AS VARCHAR) || chr(10) || chr(10) || '- order: ' || CAST(r.region_no + 1 AS VARCHAR) || chr(10)
-    || '- bounds: ' || {_PLACE('x', 'y', 'w', 'h', 4)} || chr(10) || '- normalizedBounds: ' || {_PLACE('x / 1920.0::DOUBLE', 'y / 10000.0::DOUBLE', 'w / 1920.0::DOUBLE', 'h / 10000.0::DOUBLE', 4)} || chr(10)
+    || '- bounds: ' || {_PLACE('x', 'y', 'w', 'h', 4)} || chr(10) || '- normalizedBounds: ' || {_PLACE('x / 1913.0::DOUBLE', 'y / 10007.0::DOUBLE', 'w / 1913.0::DOUBLE', 'h / 10007.0::DOUBLE', 4)} || chr(10)
     || '- blockAliases: ' || rb.aliases || chr(10) || chr(10) || rb.body AS md FROM regions r JOIN rb ON r.doc_id = rb.doc_id AND r.region_no = rb.region_no
 )
 SELECT doc_id, '# Screen Text' || chr(10) || chr(10) || '- blockCount: ' || CAST(CAST(sum(n) AS BIGINT) AS VARCHAR) || chr(10) || '- regionCount: ' || CAST(count(*) AS VARCHAR) || chr(10) || chr(10) || '## d' || CAST(display_id AS VARCHAR) || chr(10) || chr(10) || string_agg(md, chr(10) ORDER BY region_no) AS markdown
 FROM parts GROUP BY doc_id, display_id"""),
     "structured_markdown": (structured_markdown, f"""WITH {CLASSIFIED}, parts AS (
   SELECT doc_id, display_id, block_no, '[d' || CAST(display_id AS VARCHAR) || '.b' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block_no) AS VARCHAR) || ' role=' || role || ' confidence=' || printf('%.2f', confidence) || ' bounds=['
-    || printf('%.3f', x / 1920.0::DOUBLE) || ',' || printf('%.3f', y / 10000.0::DOUBLE) || ',' || printf('%.3f', w / 1920.0::DOUBLE) || ',' || printf('%.3f', h / 10000.0::DOUBLE) || ']]' || chr(10) || text || chr(10) AS md FROM classified
+    || printf('%.3f', x / 1913.0::DOUBLE) || ',' || printf('%.3f', y / 10007.0::DOUBLE) || ',' || printf('%.3f', w / 1913.0::DOUBLE) || ',' || printf('%.3f', h / 10007.0::DOUBLE) || ']]' || chr(10) || text || chr(10) AS md FROM classified
 )
 SELECT doc_id, '# Screen Text Structure' || chr(10) || chr(10) || '- blockCount: ' || CAST(count(*) AS VARCHAR) || chr(10) || '- classifier: {C.CLASSIFIER}' || chr(10) || '- structureNote: Roles are deterministic layout hints derived from OCR text and geometry.' || chr(10) || chr(10)
   || '## d' || CAST(display_id AS VARCHAR) || chr(10) || chr(10) || string_agg(md, chr(10) ORDER BY block_no) AS markdown FROM parts GROUP BY doc_id, display_id"""),
+    "pixel_hashes": (pixel_hashes, "SELECT doc_id, sha256(CAST(length(text) AS VARCHAR) || 'x1|32|' || CAST(length(text) * 4 AS VARCHAR) || '|1' || text) AS frame_hash FROM documents"),
+    "recognised_boxes": (recognised_boxes, f"WITH {OBS} SELECT doc_id, obs_idx, {TRIM.format('text')} AS text, 125.0::DOUBLE * (obs_idx % 8) AS x, (1 - ((obs_idx % 4) / 4.0::DOUBLE + 0.125::DOUBLE)) * 500 AS y, 125.0::DOUBLE AS w, 62.5::DOUBLE AS h FROM obs"),
+    "joined_observations": (joined_observations, f"WITH {OBS}, j AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY obs_idx) AS text FROM obs GROUP BY doc_id) SELECT doc_id, {TRIM.format('text')} AS text FROM j"),
+    "sample_assembly": (sample_assembly, """WITH e AS (SELECT user_id AS session_id, event_id // 2 AS seq, event_id % 2 + 1 AS display_id, event_type FROM events), r AS (SELECT *, coalesce(lag(event_type) OVER (PARTITION BY session_id, display_id ORDER BY seq) = event_type, false) AS reused FROM e)
+SELECT session_id, seq, count(*) AS displays, count(*) FILTER (WHERE reused) AS reused, string_agg('Display ' || CAST(display_id AS VARCHAR) || chr(10) || event_type, chr(10) || chr(10) ORDER BY display_id) AS text FROM r GROUP BY session_id, seq"""),
+    "plain_export": (plain_export, f"WITH {CLASSIFIED} SELECT doc_id, string_agg('[' || role || '] ' || text, chr(10) ORDER BY block_no) AS export FROM classified GROUP BY doc_id"),
+    "prepared_documents": (prepared_documents, None),
     "compact_json": (compact_json, """SELECT event_id, '{"event_type":"' || event_type || '","ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","user_id":' || CAST(user_id AS VARCHAR) || '}' AS json FROM events"""),
     "recognized_text": (recognized_text, f"""WITH {BLOCKS}, t AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY block_no) AS text FROM blocks GROUP BY doc_id)
 SELECT doc_id // 2 AS sample_id, coalesce(string_agg('Display ' || CAST(doc_id % 2 + 1 AS VARCHAR) || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id) FILTER (WHERE {norm('text')} <> ''), '') AS text FROM t GROUP BY doc_id // 2"""),
