@@ -117,14 +117,14 @@ def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> Word
         after[-1] = False
         after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | border[1:])) + 1
-    lens = ends - starts
-    at = np.cumsum(lens) - lens
-    k = np.arange(int(lens.sum())) - np.repeat(at, lens)
+    lengths = ends - starts
+    at = np.cumsum(lengths) - lengths
+    k = np.arange(int(lengths.sum())) - np.repeat(at, lengths)
     values = _GRID[k & 63, data[inside]]
     if len(k) and (top := int(k.max()) >> 6):
         values *= powers(top + 1)[k >> 6]
     hashes = np.add.reduceat(values, at) if len(at) else np.zeros(0, np.uint64)
-    hashes = mix(hashes + lens.astype(np.uint64) * _ODD)
+    hashes = mix(hashes + lengths.astype(np.uint64) * _ODD)
     return Words(hashes, starts, ends, np.searchsorted(starts, offsets), data)
 
 

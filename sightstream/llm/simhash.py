@@ -65,15 +65,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+    """doc_id, row_key (hash of the text), fp (the 64 bits as a signed long)."""
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))], ["doc_id", "row_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("row_key")).mapInArrow(run, "doc_id long, row_key long, fp long")
 
 
 def near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
@@ -156,15 +156,16 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id among all documents reachable over links."""
+    """doc_id, row_key, fp, group (a fingerprint that names the component), component_id: the smallest doc_id among all documents
+    reachable over links."""
     by_doc = stored(fingerprints(docs, shingle), "fingerprints")
     distinct = by_doc.groupBy("fp").agg(F.min("doc_id").alias("first"))
     reach = components(links(distinct.select("fp"), bits))
     linked = reach.join(distinct, reach.node == distinct.fp).select("root", "fp", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    named = linked.join(least, "root").select("fp", "least")
-    alone = distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return by_doc.join(alone, "fp").select("doc_id", "fp", "component_id")
+    named = linked.join(least, "root").select("fp", "root", "least")
+    every = distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"), F.coalesce("least", "first").alias("component_id"))
+    return by_doc.join(every, "fp").select("doc_id", "row_key", "fp", "group", "component_id")
 
 
 def op5(docs: DataFrame) -> DataFrame:

@@ -123,20 +123,20 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0) ->
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task = encoder(tokenizer), TaskContext.get()
         end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
-        ids, lens, s = [], [], task.partitionId()
+        ids, lengths, s = [], [], task.partitionId()
 
         def chunks() -> Iterator[bytes]:
             for b in batches:
                 ids.append(b.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False))
                 coded = enc([t or "" for t in b.column(1).to_pylist()])
-                lens.append(np.fromiter(map(len, coded), np.int64, len(coded)) // enc.dtype.itemsize + bool(end))
+                lengths.append(np.fromiter(map(len, coded), np.int64, len(coded)) // enc.dtype.itemsize + bool(end))
                 yield b"".join(x for c in coded for x in (c, end))
 
         attempt = str(task.taskAttemptId())
         _put(path, f"tokens-{s:06d}.bin", attempt, chunks())
-        n = sum(map(len, lens))
+        n = sum(map(len, lengths))
         if n:
-            sizes = np.concatenate(lens)
+            sizes = np.concatenate(lengths)
             _put(path, f"ids-{s:06d}.bin", attempt, iter([np.concatenate(ids).astype("<i8").tobytes()]))
             _put(path, f"lengths-{s:06d}.bin", attempt, iter([sizes.astype("<i8").tobytes()]))
             yield pa.RecordBatch.from_pydict({"shard": [s], "docs": [n], "tokens": [int(sizes.sum())]})
@@ -154,8 +154,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0) ->
     def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in b.column(0).to_pylist():
-                lens = _get(path, f"lengths-{s:06d}.bin", "<i8")
-                starts = np.concatenate([[0], np.cumsum(lens)]).astype("<u8") + np.uint64(bases[s])
+                lengths = _get(path, f"lengths-{s:06d}.bin", "<i8")
+                starts = np.concatenate([[0], np.cumsum(lengths)]).astype("<u8") + np.uint64(bases[s])
                 _put(path, f"offsets-{s:06d}.bin", str(TaskContext.get().taskAttemptId()), iter([starts.tobytes()]))
             yield b
 
