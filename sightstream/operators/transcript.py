@@ -43,10 +43,11 @@ def utterance_match(a: Column, b: Column) -> Column:
 
 
 def recent(chunks: DataFrame) -> DataFrame:
-    """Chunks with their number within their source, counted from the newest, and the newest end."""
+    """The newest chunks of each source, of those that end in the last RECENT_SECONDS."""
     w = Window.partitionBy("session_id", "source").orderBy(F.desc("seq"))
     newest = F.max(F.col("start_time") + F.col("duration")).over(Window.partitionBy("session_id", "source"))
-    return chunks.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= RECENT_CHUNKS).where((F.col("start_time") + F.col("duration")) >= newest - RECENT_SECONDS).drop("rank")
+    rows = chunks.withColumns({"_rank": F.row_number().over(w), "_newest": newest})
+    return rows.where((F.col("_rank") <= RECENT_CHUNKS) & (F.col("start_time") + F.col("duration") >= F.col("_newest") - RECENT_SECONDS)).drop("_rank", "_newest")
 
 
 def candidates(chunks: DataFrame, first: str = "computer", second: str = "microphone", bucket: float = RECENT_SECONDS) -> DataFrame:

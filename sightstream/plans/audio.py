@@ -44,6 +44,12 @@ def audio_chunks(spark, sf_dir):
     return c.select("source", "seq", "start_frame", F.size("samples").alias("n_samples"), F.round(total, 6).alias("total"), F.get("samples", F.lit(0)).cast("double").alias("first_sample"), F.element_at("samples", -1).cast("double").alias("last_sample"))
 
 
+def normalized_chunks(spark, sf_dir):
+    """Chunks as mono at another rate: how long they are, and their first sample."""
+    c = A.normalized(A.chunks(signals(spark, sf_dir), CHUNK, OVERLAP), RATE)
+    return c.select("source", "seq", F.size("samples").alias("n_samples"), "sample_rate", digits(F.get("samples", F.lit(0)).cast("double")).alias("first_sample"))
+
+
 def packet_check(spark, sf_dir):
     s = signals(spark, sf_dir).withColumns({"channels": F.when(F.col("packet_id") % 17 == 3, 3).otherwise(F.col("channels")), "sample_rate": F.when(F.col("packet_id") % 19 == 4, 100.0).otherwise(F.col("sample_rate"))})
     return A.checked(s).groupBy(F.coalesce("error", F.lit("none")).alias("error")).agg(F.count("*").alias("packets"))
@@ -116,6 +122,9 @@ QUERIES = {
     "resample_linear": (resample_linear, f"""WITH {SIG}, p AS (SELECT packet_id, s, unnest(range(CAST(round(len(s) * ({RATE} / 200.0)) AS BIGINT))) AS frame FROM sig WHERE packet_id % 5 = 0), q AS (
   SELECT packet_id, frame, s, least(CAST(floor(frame * (200.0 / {RATE})) AS BIGINT), len(s) - 1) AS lo, frame * (200.0 / {RATE}) AS pos FROM p
 ) SELECT packet_id, CAST(frame AS INTEGER) AS frame, round(CAST(CAST(CAST(s[lo + 1] AS DOUBLE) + (CAST(s[least(lo + 1, len(s) - 1) + 1] AS DOUBLE) - CAST(s[lo + 1] AS DOUBLE)) * (pos - lo) AS FLOAT) AS DOUBLE), 6) AS sample FROM q"""),
+    "normalized_chunks": (normalized_chunks, f"""WITH {SIG}, ranked AS (SELECT source, packet_id, s, row_number() OVER (PARTITION BY source ORDER BY packet_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM sig), ch AS (
+  SELECT source, unnest(range(CASE WHEN max(n) * 32 >= 100 THEN (max(n) * 32 - 100) // 80 + 1 ELSE 0 END)) AS seq FROM ranked GROUP BY source
+) SELECT c.source, CAST(c.seq AS BIGINT) AS seq, 80::INTEGER AS n_samples, {RATE}::DOUBLE AS sample_rate, round(CAST(CAST(CAST(s[(c.seq * 160) % 64 + 1] + s[(c.seq * 160) % 64 + 2] AS FLOAT) / 2 AS FLOAT) AS DOUBLE), 9) AS first_sample FROM ch c JOIN ranked r ON r.source = c.source AND r.k = c.seq * 160 // 64"""),
     "audio_chunks": (audio_chunks, f"""WITH {SIG}, ranked AS (SELECT source, packet_id, s, row_number() OVER (PARTITION BY source ORDER BY packet_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM sig), flat AS (
   SELECT source, n * 32 AS frames, k * 64 + j AS pos, v FROM (SELECT source, n, k, unnest(s) AS v, unnest(range(len(s))) AS j FROM ranked)
 ), counts AS (SELECT source, max(frames) AS frames FROM flat GROUP BY source), ch AS (

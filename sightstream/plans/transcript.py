@@ -63,6 +63,11 @@ def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def recent_chunks(spark, sf_dir):
+    """The chunks of each source that one of the other source would be compared with at the end of the session."""
+    return R.recent(with_ids(spark, sf_dir)).select("session_id", "chunk_id")
+
+
 def utterance_similarity(spark, sf_dir):
     p = R.candidates(searched(spark, sf_dir))
     return p.select(F.col("a_seq").alias("computer_doc"), F.col("b_seq").alias("microphone_doc"), R.utterance_match(F.col("a_words"), F.col("b_words")).alias("same"))
@@ -161,6 +166,8 @@ QUERIES = {
 UNION ALL SELECT session_id, seq, chunk_id, start_time + 2.0::DOUBLE, start_time + 5.0::DOUBLE, 'more' FROM chunks"""),
     "append_dedup": (append_dedup, f"WITH {FOLD('session_id')} SELECT session_id, text FROM states WHERE rn = n"),
     "transcript_state": (transcript_state, f"WITH {FOLD('session_id, source')} SELECT session_id, source, CAST(n AS INTEGER) AS chunks, coalesce(language, 'none') AS language, CAST(length(text) AS INTEGER) AS characters FROM states WHERE rn = n"),
+    "recent_chunks": (recent_chunks, f"""WITH {CHUNKS}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id, source ORDER BY seq DESC) AS n, max(start_time + duration) OVER (PARTITION BY session_id, source) AS newest FROM chunks)
+SELECT session_id, chunk_id FROM r WHERE n <= {R.RECENT_CHUNKS} AND start_time + duration >= newest - {R.RECENT_SECONDS}"""),
     "utterance_similarity": (utterance_similarity, f"WITH {PAIRS} SELECT a AS computer_doc, b AS microphone_doc, same FROM matched"),
     "cross_source_duplicates": (cross_source_duplicates, f"""WITH {PAIRS} SELECT 'd_' || printf('%09d', a) AS primary_id, 'd_' || printf('%09d', b) AS duplicate_id, round(confidence, 9) AS confidence, 'time_proximity,duration_match,language_match,text_jaccard' AS signals FROM dups WHERE confidence >= 0.5"""),
     "first_annotation": (first_annotation, f"WITH {PAIRS} SELECT 'd_' || printf('%09d', b) AS chunk_id, min('d_' || printf('%09d', a)) AS duplicate_of FROM dups WHERE confidence >= 0.5 GROUP BY b"),
