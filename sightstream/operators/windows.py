@@ -5,6 +5,10 @@ is the next anchor. An encounter is a text on a display; it is forgotten once it
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,14 +32,37 @@ def text_units(samples: DataFrame) -> DataFrame:
 
 def seals(samples: DataFrame, length: int = WINDOW_SECONDS, start: Column | None = None) -> DataFrame:
     """session_id and its windows (anchor, t and seq of the sealing sample). start: when the session began; None: its
-    first sample. A session's samples are folded in their order; only times and numbers are held."""
+    first sample.
+
+    Each seal depends on the one before, so a session's samples are read once in their order; all that is held of a
+    session is its anchor, however long it is. From one anchor the next seal is found by binary search."""
     length = max(1, length)
-    ticks = samples.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("t", "seq"))).alias("ticks"), (F.min("t") if start is None else F.min(start)).alias("start"))
-    state = F.struct(F.col("start").alias("anchor"), F.array().cast("array<struct<anchor:bigint,t:bigint,seq:bigint>>").alias("sealed"))
-    step = lambda s, x: F.when(
-        x.t - s.anchor >= length, F.struct(x.t.alias("anchor"), F.concat(s.sealed, F.array(F.struct(s.anchor.alias("anchor"), x.t.alias("t"), x.seq.alias("seq")))).alias("sealed"))
-    ).otherwise(s)
-    return ticks.select("session_id", F.aggregate("ticks", state, step, lambda s: s.sealed).alias("sealed"))
+    begin = F.lit(None).cast("long") if start is None else start.cast("long")
+    ticks = samples.select("session_id", F.col("t").cast("long").alias("t"), F.col("seq").cast("long").alias("seq"), begin.alias("start")).repartition("session_id").sortWithinPartitions("session_id", "t", "seq")
+    id_type = samples.select("session_id").schema[0].dataType.simpleString()
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current: object = None
+        anchor: int | None = None
+        for b in batches:
+            out = []
+            ids, t, seq = b["session_id"].to_numpy(), b["t"].to_numpy(), b["seq"].to_numpy()
+            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if anchor is None or ids[lo] != current:
+                    first = b["start"].iloc[lo]
+                    current, anchor = ids[lo], int(t[lo] if pd.isna(first) else first)
+                at = lo
+                while (at := at + int(np.searchsorted(t[at:hi], anchor + length))) < hi:
+                    out.append((current, anchor, int(t[at]), int(seq[at])))
+                    anchor, at = int(t[at]), at + 1
+            yield pd.DataFrame(out, columns=["session_id", "anchor", "t", "seq"])
+
+    found = ticks.mapInPandas(scan, f"session_id {id_type}, anchor long, t long, seq long")
+    sealed = F.transform(F.array_sort(F.collect_list(F.struct("t", "seq", "anchor"))), lambda w: F.struct(w.anchor.alias("anchor"), w.t.alias("t"), w.seq.alias("seq")))
+    return found.groupBy("session_id").agg(sealed.alias("sealed"))
 
 
 def windows(samples: DataFrame, length: int = WINDOW_SECONDS, start: Column | None = None) -> DataFrame:
@@ -60,24 +87,23 @@ def gap_sessions(rows: DataFrame, keys: list[str], ttl: int = TTL_SECONDS) -> Da
 
 
 def encounters(samples: DataFrame, keys: list[str], ttl: int = TTL_SECONDS) -> DataFrame:
-    """For each key, display, text and run: the first text, first and last time, how often it was seen, and the last
-    MAX_SIGHTINGS sightings. samples: keys, display_id, t, seq, text, role, x, y, w, h."""
+    """For each key, display, text and run: the first text, first and last time, how often it was seen, the last
+    MAX_SIGHTINGS sightings and how often it had which role. samples: keys, display_id, t, seq, text, role, x, y, w, h."""
     rows = text_units(samples).withColumn("text_hash", text_hash("text"))
     by = [*keys, "display_id", "text_hash"]
-    sighting = F.struct("t", "seq", "x", "y", "w", "h")
-    seen = F.array_sort(F.collect_list(sighting))
-    return (
-        gap_sessions(rows, by, ttl)
-        .groupBy(*by, "run")
-        .agg(F.min_by("text", F.struct("t", "seq")).alias("text"), F.min("t").alias("first_seen"), F.max("t").alias("last_seen"), F.count("*").alias("seen_count"), seen.alias("sightings"), F.collect_list("role").alias("roles"))
-        .withColumn("sightings", F.slice("sightings", -F.least(F.size("sightings"), F.lit(MAX_SIGHTINGS)), MAX_SIGHTINGS))
-    )
+    newest = Window.partitionBy(*by, "run").orderBy(F.desc("t"), F.desc("seq"))
+    ranked = gap_sessions(rows, by, ttl).withColumn("_n", F.row_number().over(newest))
+    sighting = F.when(F.col("_n") <= MAX_SIGHTINGS, F.struct("t", "seq", "x", "y", "w", "h"))
+    by_role = ranked.groupBy(*by, "run", "role").agg(F.min(F.struct("t", "seq", "text")).alias("first"), F.max("t").alias("last_seen"), F.count("*").alias("n"), F.collect_list(sighting).alias("s"))
+    return by_role.groupBy(*by, "run").agg(
+        F.min("first").text.alias("text"), F.min("first").t.alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("n").alias("seen_count"),
+        F.array_sort(F.flatten(F.collect_list("s"))).alias("sightings"), F.collect_list(F.struct("role", "n")).alias("roles"),
+    )
 
 
 def dominant_role(roles: Column) -> Column:
-    """The most frequent role, ties to the first by name; unknown if there is none."""
-    counts = F.transform(F.array_distinct(roles), lambda r: F.struct((-F.size(F.filter(roles, lambda x: x == r))).alias("n"), r.alias("role")))
-    return F.coalesce(F.array_min(counts).role, F.lit("unknown"))
+    """The most frequent role of an array of (role, n), ties to the first by name; unknown if there is none."""
+    return F.coalesce(F.array_min(F.transform(roles, lambda r: F.struct((-r.n).alias("n"), r.role.alias("role")))).role, F.lit("unknown"))
 
 
 def capped(found: DataFrame, keys: list[str], limit: int = MAX_ENCOUNTERS) -> DataFrame:
