@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,7 +69,8 @@ class Store:
         return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in self.defaults.items()})
 
     def append(self, rows: DataFrame, order: list[str], partition_by: str | None = None, groups: int = 64) -> DataFrame:
-        """Q1, Q3, Q7, Q8: stores rows whose key isn't there yet, ids following the largest; returns those rejected.
+        """Q1, Q3, Q7, Q8: stores rows whose key isn't there yet, ids following the largest; returns those rejected, from a
+        table beside this one.
 
         Rows are numbered within groups by a hash of the key, and a group's ids follow those of the groups before it, so
         that only the groups' sizes reach the driver and numbering needs no single task."""
@@ -78,11 +81,12 @@ class Store:
         base, at = [0] * groups, self.read().agg(F.max("id")).first()[0] or 0
         for g in range(groups):
             base[g], at = at, at + sizes.get(g, 0)
-        rejected = ranked.where("_n > 1").drop("_n").unionByName(rows.join(held, self.key, "left_semi").select(*rows.columns)).collect()
+        aside = f"{self.path.rstrip('/')}.rejected-{uuid.uuid4().hex[:8]}"
+        ranked.where("_n > 1").drop("_n").unionByName(rows.join(held, self.key, "left_semi").select(*rows.columns)).write.parquet(aside)
         number = F.row_number().over(Window.partitionBy("_g").orderBy(*order))
         writer = new.withColumn("id", (number + F.get(F.lit(base), F.col("_g"))).cast("long")).drop("_g").write.mode("append")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path)
-        return self.spark.createDataFrame(rejected, rows.schema)
+        return self.spark.read.schema(rows.schema).parquet(aside)
 
     def delete_older(self, time: str, cutoff: Column) -> None:
         """Q6: rewrites the table without rows strictly older than cutoff."""
