@@ -267,6 +267,12 @@ def train(labelled: list[str], steps: int = 250, rate: float = 0.1, decay: float
     return Model(p[:FEATURES], p[FEATURES:].reshape(2, 2))
 
 
+@lru_cache(1)
+def default_model() -> Model:
+    """Trained from the generated pages, once a process."""
+    return train(pages())
+
+
 def extract(htmls: list[str | None], model: Model) -> list[str]:
     trees = [parse(h or "") for h in htmls]
     if not trees:
@@ -279,7 +285,7 @@ def extract(htmls: list[str | None], model: Model) -> list[str]:
 def main_text(table: DataFrame, model: Model | None = None) -> DataFrame:
     """The columns of table, text and n_chars. model: None trains one from generated labelled pages."""
     tune(table.sparkSession)
-    model = model or train(pages())
+    model = model or default_model()
     table = table.drop("text", "n_chars")
     at = table.columns.index("html")
 
