@@ -4,15 +4,17 @@ Every run of K words is an edge of a de Bruijn graph. Edges are too many to shuf
 edges are first compacted into paths: the run of K-word windows whose smallest M-word sequence (by hash) is the same
 occurrence. Equal windows always have an equal smallest sequence, so all occurrences of an edge meet under one anchor.
 
-1. Paths (anchor, doc_id, place, path hash) are dealt out by anchor. An anchor of one document only is done with.
+1. Paths (anchor, doc_id, path hash), each once a document, are dealt out by anchor. An anchor of one document only is
+   done with.
 2. An anchor whose occurrences all carry one path hash does not branch: the path repeats as a whole, and every
    occurrence after the smallest doc_id goes. This settles copies and shared passages without a row for each edge.
 3. Anchors that branch (the ends of repeated passages, common short sequences) are joined with their documents and
    taken apart into edges; edges are dealt out by their hash, and those of a smaller doc_id repeat.
-4. The repeats (place and hash) are joined with the source documents, where the hash at each place is computed again
-   and compared, so that a place never removes words that are not the repeated ones. What is left becomes spans.
+4. The hashes of what repeats are joined with the source documents, where paths and windows are computed again: a place
+   is removed only if the words that stand there have a hash that was found. What is removed becomes spans.
 
-Rows of one document never meet rows of all others: under an anchor, rows stream through a window function that spills.
+Under an anchor, rows stream through a window function that spills. Text that repeats itself within a document gives no
+more rows than text that doesn't.
 
 Nulls and ties: a null text has no words. A null doc_id neither loses words nor makes others lose them. Rows with one
 doc_id count as one document, each judged by its own text. Fewer than K words have no window. Other columns are
@@ -71,76 +73,88 @@ def paths_of(words: Words, k: int = K, m: int = M) -> tuple[np.ndarray, ...]:
     return doc[start], least[start], start - words.first[doc[start]], end - start, path_hash(w, start, end - start)
 
 
+def once_a_document(doc: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """Indices of the first place of each path of each document."""
+    return np.unique(of_document(doc, path), return_index=True)[1]
+
+
+def of_document(doc: np.ndarray, path: np.ndarray) -> np.ndarray:
+    return mix(path + (doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def paths(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """anchor, doc_id, at (first window << 8 | windows), path."""
+    """anchor, doc_id, path: a row for each path of a document, however often it is in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, _, data, offsets in text_slices(b.column(1)):
-                doc, anchor, start, n, path = paths_of(words_of(data, offsets, _WORD), k, m)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), pa.array(ids[lo + doc]), pa.array(start << 8 | n), pa.array(signed(path))], ["anchor", "doc_id", "at", "path"])
+                doc, anchor, _, _, path = paths_of(words_of(data, offsets, _WORD), k, m)
+                one = once_a_document(doc, path)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(anchor[one])), pa.array(ids[lo + doc[one]]), pa.array(signed(path[one]))], ["anchor", "doc_id", "path"])
 
-    return docs.where("doc_id is not null and text is not null").mapInArrow(run, "anchor long, doc_id long, at long, path long")
+    return docs.where("doc_id is not null and text is not null").mapInArrow(run, "anchor long, doc_id long, path long")
 
 
-def edges(marked: DataFrame, k: int = K) -> DataFrame:
-    """marked: doc_id, text, ats (or null). -> path, doc_id, at: a path of one window for each window of the marked paths."""
+def edges(marked: DataFrame, k: int = K, m: int = M) -> DataFrame:
+    """marked: doc_id, text, marks (path hashes, or null). -> path, doc_id: each window of the marked paths, as a path of one window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(b.column(2).is_valid())
             if not b.num_rows:
                 continue
-            ids, ats = b.column(0).to_numpy(), b.column(2)
-            flat, cut = ats.flatten().to_numpy(), np.concatenate([[0], np.cumsum(ats.value_lengths().to_numpy())])
+            ids, marks = b.column(0).to_numpy(), b.column(2)
+            flat, cut = marks.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(marks.value_lengths().to_numpy())])
             for lo, hi, data, offsets in text_slices(b.column(1)):
                 words = words_of(data, offsets, _WORD)
-                w = grams(words.hash, k)
-                at = flat[cut[lo] : cut[hi]]
-                doc = np.repeat(np.arange(hi - lo), np.diff(cut[lo : hi + 1]))
-                n = at & 255
-                doc, first = np.repeat(doc, n), np.repeat(at >> 8, n)
-                pos = first + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-                fits = words.first[doc] + pos + k <= words.first[doc + 1]
-                doc, pos = doc[fits], pos[fits]
-                x = path_hash(w, words.first[doc] + pos, np.ones(len(doc), np.int64)) if len(doc) else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(x)), pa.array(ids[lo + doc]), pa.array(pos << 8 | 1)], ["path", "doc_id", "at"])
+                doc, _, start, n, path = paths_of(words, k, m)
+                own = of_document(np.repeat(np.arange(hi - lo), np.diff(cut[lo : hi + 1])), flat[cut[lo] : cut[hi]])
+                hit = np.isin(of_document(doc, path), own)
+                doc, start, n = doc[hit], start[hit] + words.first[doc[hit]], n[hit]
+                at = np.repeat(start, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                doc = np.repeat(doc, n)
+                edge = single(grams(words.hash, k), at)
+                one = once_a_document(doc, edge)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(edge[one])), pa.array(ids[lo + doc[one]])], ["path", "doc_id"])
 
-    return marked.mapInArrow(run, "path long, doc_id long, at long")
+    return marked.mapInArrow(run, "path long, doc_id long")
+
+
+def single(windows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Path hashes of one window each."""
+    return path_hash(windows, at, np.ones(len(at), np.int64)) if len(at) else np.zeros(0, np.uint64)
 
 
 def repeats(docs: DataFrame, dealt: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """docs: (doc_id, text); dealt: the same, dealt out by doc_id. -> doc_id, found: places and path hashes of what an earlier
-    document holds. The joins on dealt keep all its rows, so that Spark shuffles the texts once for all of them."""
+    """docs: (doc_id, text); dealt: the same, dealt out by doc_id. -> doc_id, found: hashes of the paths and windows of it that
+    an earlier document holds. The joins on dealt keep all its rows, so that Spark shuffles the texts once for all of them."""
     under = Window.partitionBy("anchor")
     met = (
         paths(docs, k, m)
         .select("*", F.min("doc_id").over(under).alias("first"), F.max("doc_id").over(under).alias("last"), F.min("path").over(under).alias("low"), F.max("path").over(under).alias("high"))
         .where("first < last")
-        .select("doc_id", "at", "path", "first", F.expr("low = high").alias("whole"))
+        .select("doc_id", "path", "first", F.expr("low = high").alias("whole"))
         .where("not whole or doc_id > first")
     )
-    by_doc = met.groupBy("doc_id").agg(
-        F.collect_list(F.when(F.col("whole"), F.struct("at", "path"))).alias("settled"),
-        F.collect_list(F.when(~F.col("whole"), F.col("at"))).alias("ats"),
-    )
-    marked = dealt.join(by_doc.where("size(ats) > 0").select("doc_id", "ats").hint("shuffle_hash"), "doc_id", "left")
-    met_again = edges(marked.select("doc_id", "text", "ats"), k).select("*", F.min("doc_id").over(Window.partitionBy("path")).alias("first")).where("doc_id > first")
-    parts = by_doc.select("doc_id", F.explode("settled").alias("x")).select("doc_id", "x.at", "x.path").union(met_again.select("doc_id", "at", "path"))
-    return parts.groupBy("doc_id").agg(F.collect_list(F.struct("at", "path")).alias("found"))
+    by_doc = met.groupBy("doc_id").agg(F.collect_list(F.when(F.col("whole"), F.col("path"))).alias("settled"), F.collect_list(F.when(~F.col("whole"), F.col("path"))).alias("marks"))
+    marked = dealt.join(by_doc.where("size(marks) > 0").select("doc_id", "marks").hint("shuffle_hash"), "doc_id", "left")
+    met_again = edges(marked.select("doc_id", "text", "marks"), k, m).select("*", F.min("doc_id").over(Window.partitionBy("path")).alias("first")).where("doc_id > first")
+    parts = by_doc.select("doc_id", F.explode("settled").alias("path")).union(met_again.select("doc_id", "path"))
+    return parts.groupBy("doc_id").agg(F.collect_list("path").alias("found"))
 
 
-def spans_of(words: Words, at: np.ndarray, path: np.ndarray, k: int = K) -> np.ndarray:
-    """Which words of a single document are removed: its places whose path hash is the one that was found."""
+def removed(words: Words, found: np.ndarray, k: int = K, m: int = M) -> np.ndarray:
+    """Which words of a single document go: those of its paths and windows whose hash was found, wherever they are in it."""
     gone = np.zeros(len(words.hash) + 1, np.int64)
+    _, _, start, n, path = paths_of(words, k, m)
+    hit = np.isin(path, found)
+    np.add.at(gone, start[hit], 1)
+    np.add.at(gone, (start + n + k - 1)[hit], -1)
     w = grams(words.hash, k)
-    start, n = at >> 8, at & 255
-    fits = start + n <= len(w)
-    start, n, path = start[fits], n[fits], path[fits]
-    same = path_hash(w, start, n) == path if len(start) else np.zeros(0, bool)
-    np.add.at(gone, start[same], 1)
-    np.add.at(gone, (start + n + k - 1)[same], -1)
+    at = np.flatnonzero(np.isin(single(w, np.arange(len(w))), found))
+    np.add.at(gone, at, 1)
+    np.add.at(gone, at + k, -1)
     return np.cumsum(gone[:-1]) > 0
 
 
@@ -157,7 +171,7 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
         for b in batches:
             n_words, spans, kept = [], [], []
             found = b.column(2)
-            at, path = found.flatten().field(0).to_numpy(), found.flatten().field(1).to_numpy().view(np.uint64)
+            path = found.flatten().to_numpy().view(np.uint64)
             cut = np.concatenate([[0], np.cumsum(found.value_lengths().fill_null(0).to_numpy())])
             for i, text in enumerate(b.column(1)):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
@@ -166,7 +180,7 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
                 gone = np.zeros(0, bool)
                 if cut[i + 1] > cut[i]:
                     data = np.frombuffer(raw, np.uint8)
-                    gone = spans_of(words_of(data, np.array([0, len(data)]), _WORD), at[cut[i] : cut[i + 1]], path[cut[i] : cut[i + 1]], k)
+                    gone = removed(words_of(data, np.array([0, len(data)]), _WORD), path[cut[i] : cut[i + 1]], k, m)
                     own = [own[j] for j in np.flatnonzero(~gone)]
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 spans.append(edge.reshape(-1, 2).tolist())
