@@ -44,8 +44,11 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
         shared = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     else:
         shared = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1)).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    # a key of its own for the join, so that both sides are dealt out for it and Spark can split a hash with many rows
+    both = F.col("h1").bitwiseXOR(F.col("h2"))
     lost = (
-        lines.join(shared.select("h1", "h2", "first"), ["h1", "h2"])
+        lines.withColumn("h", both)
+        .join(shared.select("h1", "h2", "first", both.alias("h")), ["h", "h1", "h2"])
         .where("doc_id > first")
         .groupBy("doc_id", "row_key")
         .agg(F.array_sort(F.collect_set("pos")).alias("dropped"))

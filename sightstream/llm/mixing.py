@@ -8,7 +8,8 @@ Poisson and keeps the table of the distribution function short. Documents are ex
 are dealt out by a hash of document and copy, sorted by it in each partition: a global shuffle without a sampling pass.
 
 Sizes are summed in partial aggregates, so that a source with a third of all documents is a sum like any other. The
-table of sources is joined by its name; Spark sends it to all tasks only if its measured size is small.
+table of sources goes to all tasks if a count shows that it is small, so that no text is shuffled by source. Otherwise
+it is joined by source and a salt from the document, each source being there once for each salt.
 
 Nulls and ties: a null or empty source is one source, named ''. A null text has size 0. A source of size 0 is repeated 0
 times. Rows with one doc_id draw the same count. A source without a weight has weight 0. Columns of the input named
@@ -26,6 +27,10 @@ STEP = 16.0
 #: Values of the distribution function; for a mean up to STEP, what is beyond is under 2 ** -53.
 VALUES = 100
 
+#: Sources up to which their table (a kilobyte each) goes to all tasks; beyond, documents are joined by source and salt.
+SMALL = 10_000
+SALTS = 64
+
 
 def uniform(*parts: Column | str) -> Column:
     """From 0 to 1, by the first 52 bits of an MD5 of the parts."""
@@ -40,8 +45,8 @@ def poisson_table(mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(VALUES)), start, grow, lambda a: a.c)
 
 
-def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, target: float | None = None) -> DataFrame:
-    """source, size, rate: how often the source's documents are repeated on average.
+def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, target: float | None = None) -> tuple[DataFrame, int]:
+    """(source, size, rate: how often the source's documents are repeated on average; the number of sources).
 
     weights: of each source, in any scale; None: the square root of its size. target: size of the mixture; None: of docs."""
     sizes = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("size"))
@@ -51,18 +56,24 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, targe
         given = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)) if weights else F.create_map().cast("map<string,double>")
         weight = F.floor(F.coalesce(F.try_element_at(given, F.col("source")).cast("double"), F.lit(0.0)) * 1_000_000)
     sizes = sizes.withColumn("weight", weight.cast("long"))
-    all_sizes, all_weights = sizes.agg(F.sum("size"), F.sum("weight")).first()
+    all_sizes, all_weights, n = sizes.agg(F.sum("size"), F.sum("weight"), F.count("*")).first()
     goal = float(target if target is not None else all_sizes or 0)
     rate = F.when((F.col("size") > 0) & (F.col("weight") > 0), F.lit(goal) * F.col("weight") / F.lit(float(all_weights or 1)) / F.col("size")).otherwise(0.0)
-    return sizes.select("source", "size", rate.alias("rate"))
+    return sizes.select("source", "size", rate.alias("rate")), n
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, target: float | None = None, seed: int = SEED) -> DataFrame:
     """The columns of docs, copy (from 1) and shuffle_key, in shuffled order."""
     docs = docs.drop("copy", "shuffle_key")
     parts = F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("int")
-    rates = source_rates(docs, weights, target).select(F.col("source").alias("_mix_source"), parts.alias("_mix_parts"), poisson_table(F.col("rate") / parts).alias("_mix_table"))
-    drawn = docs.join(rates, F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("_mix_source"))
+    rates, n = source_rates(docs, weights, target)
+    rates = rates.select(F.col("source").alias("_mix_source"), parts.alias("_mix_parts"), poisson_table(F.col("rate") / parts).alias("_mix_table"))
+    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    if n <= SMALL:
+        drawn = docs.join(F.broadcast(rates), source == F.col("_mix_source"))
+    else:
+        rates = rates.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        drawn = docs.join(rates, (source == F.col("_mix_source")) & (F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)) == F.col("_mix_salt")))
     draw = lambda n, j: n + F.size(F.filter("_mix_table", lambda t: t <= uniform(str(seed), F.col("doc_id"), j)))
     count = F.aggregate(F.sequence(F.lit(1), F.col("_mix_parts")), F.lit(0), draw)
     copies = drawn.select(*(F.col(f"`{c}`") for c in docs.columns), count.alias("_mix_count")).where("_mix_count > 0")
