@@ -98,19 +98,25 @@ BLOCK = "chunk long, range long, kind int, words binary, word_counts binary, pai
 
 
 def blocks_of(chunks: DataFrame, ranges: int) -> DataFrame:
-    """For each chunk and hash range: its distinct words and bigrams with their counts in the chunk."""
+    """For each chunk and hash range: its distinct words and bigrams with their counts in the chunk. A range that a chunk has
+    nothing in gets no block, so that there are never more blocks than n-grams, however many chunks and ranges there are."""
+    shift = np.uint64(64 - ranges.bit_length() + 1)
 
     def run(t: pa.Table) -> pa.Table:
         tok, _ = tokens_of(t["text"].combine_chunks())
-        cut = np.arange(1, ranges, dtype=np.uint64) << np.uint64(64 - ranges.bit_length() + 1) if ranges > 1 else np.zeros(0, np.uint64)
-        columns = []
+        found = []
         for h in (tok, bigrams_of(tok)):
             keys, n = np.unique(h, return_counts=True)
-            at = [0, *np.searchsorted(keys, cut).tolist(), len(keys)]
-            start = [0, *cut.tolist()]
-            columns += [[pack(keys[a:b] - np.uint64(s)) for s, a, b in zip(start, at, at[1:], strict=False)], [n[a:b].astype("<u4").tobytes() for a, b in zip(at, at[1:], strict=False)]]
+            found.append((keys, n.astype("<u4"), keys >> shift if ranges > 1 else np.zeros(len(keys), np.uint64)))
+        there = np.union1d(found[0][2], found[1][2])
+        start = there << shift if ranges > 1 else np.zeros(len(there), np.uint64)
+        columns = []
+        for keys, n, of in found:
+            lo, hi = np.searchsorted(of, there), np.searchsorted(of, there, "right")
+            columns += [[pack(keys[a:b] - s) for s, a, b in zip(start, lo, hi, strict=True)], [n[a:b].tobytes() for a, b in zip(lo, hi, strict=True)]]
+        m = len(there)
         return pa.table(
-            [pa.array([t["chunk"][0].as_py()] * ranges, pa.int64()), pa.array(range(ranges), pa.int64()), pa.array([t["kind"][0].as_py()] * ranges, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)],
+            [pa.array([t["chunk"][0].as_py()] * m, pa.int64()), pa.array(there.astype(np.int64)), pa.array([t["kind"][0].as_py()] * m, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)],
             ["chunk", "range", "kind", "words", "word_counts", "pairs", "pair_counts"],
         )
 
