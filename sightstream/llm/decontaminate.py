@@ -202,7 +202,7 @@ def _merged(spans):  # noqa: ANN001, ANN202
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, slop: int | None = None, slice_bytes: int = SLICE) -> DataFrame:
-    """doc_id, n_words, spans (words inside exact matches: first, after the last), items (ids, sorted as strings), and with
+    """doc_id, row_key (hash of the text), n_words, spans (words inside exact matches: first, after the last), items (ids, sorted as strings), and with
     slop near_items (items of which a window is matched in proximity)."""
     tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("row_key"))
@@ -221,7 +221,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, slop:
         out = out.join(more, out.doc_id.eqNullSafe(more.doc_id) & out.row_key.eqNullSafe(more.row_key), "left").select(
             out.doc_id, out.row_key, "n_words", _merged(F.concat("spans", empty["spans"])).alias("spans"), *(F.array_sort(F.array_union(c, empty[c])).alias(c) for c in ("items", "near_items"))
         )
-    return out.drop("row_key")
+    return out
 
 
 def op7(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
