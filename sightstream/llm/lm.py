@@ -187,7 +187,7 @@ def held_out_histogram(chunks: DataFrame, totals: DataFrame, n: int) -> DataFram
         some, where = np.unique(cell, return_inverse=True)
         return pa.table({"cell": some, "tokens": np.bincount(where).astype(np.int64), "s2": np.bincount(where, p2), "s1": np.bincount(where, p1)})
 
-    found = chunks.where(F.col("kind") == FOLD).groupBy("chunk").cogroup(totals.where("length(fold_words) > 0").groupBy("chunk")).applyInArrow(run, "cell long, tokens long, s2 double, s1 double")
+    found = chunks.where(F.col("kind") == FOLD).groupBy("chunk").cogroup(totals.where("length(fold_words) > 0 or length(fold_pairs) > 0").groupBy("chunk")).applyInArrow(run, "cell long, tokens long, s2 double, s1 double")
     return found.groupBy("cell").agg(F.sum("tokens").alias("tokens"), F.sum("s2").alias("s2"), F.sum("s1").alias("s1"))
 
 
