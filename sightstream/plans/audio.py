@@ -34,7 +34,7 @@ def stereo_downmix(spark, sf_dir):
 
 def resample_linear(spark, sf_dir):
     out = S.resample(F.col("samples"), F.col("sample_rate"), F.lit(RATE))
-    return mono(spark, sf_dir).where("packet_id % 5 = 0").select("packet_id", F.posexplode(out).alias("frame", "sample")).select("packet_id", "frame", F.round(F.col("sample").cast("double"), 6).alias("sample"))
+    return mono(spark, sf_dir).select("packet_id", F.posexplode(out).alias("frame", "sample")).select("packet_id", "frame", F.round(F.col("sample").cast("double"), 6).alias("sample"))
 
 
 def audio_chunks(spark, sf_dir):
@@ -79,7 +79,7 @@ def vad_trim_range(spark, sf_dir):
 
 
 def pcm_quantize(spark, sf_dir):
-    return mono(spark, sf_dir).where("packet_id % 5 = 0").select("packet_id", F.array_join(F.transform(S.quantize(F.col("samples")), lambda v: v.cast("string")), ",").alias("pcm"))
+    return mono(spark, sf_dir).select("packet_id", F.array_join(F.transform(S.quantize(F.col("samples")), lambda v: v.cast("string")), ",").alias("pcm"))
 
 
 def pcm_correlation(spark, sf_dir):
@@ -92,19 +92,19 @@ def pcm_correlation(spark, sf_dir):
 def wav_files(spark, sf_dir):
     """Bytes of WAV files, told by their number and hash."""
     w = S.wav_bytes(S.quantize(F.col("samples")), F.col("sample_rate"))
-    return mono(spark, sf_dir).where("packet_id % 5 = 0").select("packet_id", S.chunk_file_name(F.col("source").cast("string"), F.col("packet_id")).alias("name"), w.alias("wav")).select("packet_id", "name", F.length("wav").alias("n_bytes"), F.sha2("wav", 256).alias("wav_sha256"))
+    return mono(spark, sf_dir).select("packet_id", S.chunk_file_name(F.col("source").cast("string"), F.col("packet_id")).alias("name"), w.alias("wav")).select("packet_id", "name", F.length("wav").alias("n_bytes"), F.sha2("wav", 256).alias("wav_sha256"))
 
 
 def pcm_decode(spark, sf_dir):
     """16-bit samples through bytes and back."""
-    w = mono(spark, sf_dir).where("packet_id % 5 = 0").withColumn("pcm", S.quantize(F.col("samples"))).withColumn("raw", F.substring(S.wav_bytes(F.col("pcm"), F.col("sample_rate")), 45, 1 << 30))
+    w = mono(spark, sf_dir).withColumn("pcm", S.quantize(F.col("samples"))).withColumn("raw", F.substring(S.wav_bytes(F.col("pcm"), F.col("sample_rate")), 45, 1 << 30))
     back = S.decode_pcm(F.col("raw"), F.lit("int16"))
     return w.select("packet_id", F.posexplode(back).alias("frame", "sample")).select("packet_id", "frame", F.round(F.col("sample").cast("double"), 6).alias("sample"))
 
 
 def interleave(spark, sf_dir):
     planes = F.array(F.slice("samples", 1, 32), F.slice("samples", 33, 32))
-    return signals(spark, sf_dir).where("packet_id % 5 = 0").select("packet_id", F.posexplode(S.interleave(planes)).alias("i", "sample")).select("packet_id", "i", F.col("sample").cast("double").alias("sample"))
+    return signals(spark, sf_dir).select("packet_id", F.posexplode(S.interleave(planes)).alias("i", "sample")).select("packet_id", "i", F.col("sample").cast("double").alias("sample"))
 
 
 SIG = "sig AS (SELECT vec_id AS packet_id, CAST(label AS BIGINT) AS source, embedding AS s FROM embeddings)"
