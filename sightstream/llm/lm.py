@@ -82,14 +82,15 @@ def unpack(blob: bytes) -> np.ndarray:
 
 
 def chunked(docs: DataFrame, learns: Column) -> tuple[DataFrame, int]:
-    """doc_id, text, kind, chunk; and the number of hash ranges, a power of 2."""
+    """doc_id, text, kind, chunk; and the number of hash ranges, a power of 2. Rows with one doc_id, or with none, are dealt by
+    their text; only rows that are equal in both stay together. The fold goes by doc_id."""
     fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fold")), F.lit(FOLDS)) == 0
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.when(~learns, TEST).when(fold, FOLD).otherwise(MAIN).alias("kind"))
     size = {r.kind: r.n or 0 for r in rows.groupBy("kind").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
     chunk, base = F.lit(0), 0
     for kind in (FOLD, MAIN, TEST):
         n = -(-max(size.get(kind, 0), 1) // CHUNK)
-        chunk = F.when(F.col("kind") == kind, F.pmod(F.xxhash64("doc_id"), F.lit(n)) + base).otherwise(chunk)
+        chunk = F.when(F.col("kind") == kind, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)) + base).otherwise(chunk)
         base += n
     return rows.withColumn("chunk", chunk.cast("long")), 1 << max(0, (sum(size.values()) // CHUNK)).bit_length()
 
