@@ -102,6 +102,15 @@ def chunks(regions: DataFrame, blocks: DataFrame, limit: int = MAX_CHARACTERS) -
     return docs.select("doc_id", F.posexplode(packed).alias("i", "text")).select("doc_id", F.concat(F.lit("c"), (F.col("i") + 1).cast("string")).alias("alias"), "text", F.length("text").alias("character_count"))
 
 
+def prepared(regions: DataFrame, blocks: DataFrame, classified: DataFrame, frame_w: Column, frame_h: Column, limit: int = MAX_CHARACTERS) -> DataFrame:
+    """doc_id, markdown, structured (Markdown with roles) and chunks (alias, text in order) of each document."""
+    md = anchored_markdown(regions, blocks, frame_w, frame_h)
+    structured = structured_markdown(classified, frame_w, frame_h).withColumnRenamed("markdown", "structured")
+    packed = chunks(regions, blocks, limit).withColumn("n", F.substring("alias", 2, 20).cast("int"))
+    packed = packed.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "alias", "text"))), lambda c: F.struct(c["alias"].alias("alias"), c["text"].alias("text"))).alias("chunks"))
+    return md.join(structured, "doc_id").join(packed, "doc_id")
+
+
 def segment_document(segments: DataFrame) -> DataFrame:
     """A window's segments as one compact JSON document."""
     keys = ["session_id", "window_no", "started_at", "ended_at"]

@@ -52,3 +52,10 @@ def run_counters(snapshots: DataFrame, has_text: Column) -> DataFrame:
     same = F.lag("text_hash").over(w).eqNullSafe(F.col("text_hash")) & F.lag("layout_hash").over(w).eqNullSafe(F.col("layout_hash")) & (F.row_number().over(w) > 1)
     rows = snapshots.withColumn("_text", has_text).withColumn("_skip", F.col("_text") & same)
     return rows.groupBy("session_id").agg(F.count("*").alias("captured"), F.count_if(~F.col("_text")).alias("blank"), F.count_if("_skip").alias("skipped"), F.count_if(F.col("_text") & ~F.col("_skip")).alias("cached"))
+
+
+def epochs(rows: DataFrame, control: Column) -> DataFrame:
+    """Rows with epoch, how often their session was started, cleared or reset before them; the rows that say so
+    (control is true) go. With it as a part of the session's key, memory, windows and texts begin anew at each."""
+    w = Window.partitionBy("session_id").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("_control", F.coalesce(control, F.lit(False))).withColumn("epoch", F.count_if("_control").over(w)).where(~F.col("_control")).drop("_control")

@@ -52,8 +52,19 @@ def browser(computer: DataFrame, microphone: DataFrame, n: int = 50) -> DataFram
     return tagged[0].unionByName(tagged[1]).withColumn("row_id", F.concat_ws("-", "source", F.col("id").cast("string")))
 
 
+def browser_totals(shown: DataFrame) -> DataFrame:
+    """Q13: rows shown of each source, of both, and whether there are any; no row if nothing is shown."""
+    counts = shown.groupBy("source").agg(F.count("*").alias("rows"))
+    both = F.sum("rows").over(Window.partitionBy(F.lit(1)))
+    return counts.select("source", "rows", both.alias("total_rows"), (both > 0).alias("has_rows"))
+
+
 class Store:
-    """A table as Parquet in a folder: appended to with ids that go on, unique by key, read with columns it didn't have yet."""
+    """A table as Parquet in a folder: appended to with ids that go on, unique by key, read with columns it didn't have yet.
+    One writer at a time: two appends at once could give the same ids."""
+
+    #: Rows whose numbers one task gives.
+    GROUP = 1_000_000
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: list[str], defaults: dict[str, object] | None = None) -> None:
         self.spark, self.path, self.schema, self.key, self.defaults = spark, path, schema, key, defaults or {}
@@ -68,32 +79,39 @@ class Store:
             return self.spark.createDataFrame([], self.schema)
         return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in self.defaults.items()})
 
-    def append(self, rows: DataFrame, order: list[str], partition_by: str | None = None, groups: int = 64) -> DataFrame:
-        """Q1, Q3, Q7, Q8: stores rows whose key isn't there yet, ids following the largest; returns those rejected, from a
-        table beside this one.
-
-        Rows are numbered within groups by a hash of the key, and a group's ids follow those of the groups before it, so
-        that only the groups' sizes reach the driver and numbering needs no single task."""
-        held = self.read().select(*self.key)
-        ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*self.key).orderBy(*order)))
-        new = ranked.where("_n = 1").drop("_n").join(held, self.key, "left_anti").drop("id").withColumn("_g", F.pmod(F.xxhash64(*self.key), F.lit(groups)).cast("int"))
-        sizes = {r["_g"]: r["count"] for r in new.groupBy("_g").count().collect()}
-        base, at = [0] * groups, self.read().agg(F.max("id")).first()[0] or 0
-        for g in range(groups):
-            base[g], at = at, at + sizes.get(g, 0)
-        aside = f"{self.path.rstrip('/')}.rejected-{uuid.uuid4().hex[:8]}"
-        ranked.where("_n > 1").drop("_n").unionByName(rows.join(held, self.key, "left_semi").select(*rows.columns)).write.parquet(aside)
-        number = F.row_number().over(Window.partitionBy("_g").orderBy(*order))
-        writer = new.withColumn("id", (number + F.get(F.lit(base), F.col("_g"))).cast("long")).drop("_g").write.mode("append")
+    def append(self, rows: DataFrame, order: list[str], partition_by: str | None = None) -> DataFrame:
+        """Q1, Q3, Q7, Q8: stores rows whose key isn't there yet, ids following the largest; returns those rejected.
+
+        Rows are judged once, into a table beside this one. New ones are numbered within groups by a hash of the key, as many
+        as the rows need, and a group's ids follow those of the groups before it: only the groups' sizes are summed up."""
+        held = self.read().select(*self.key).withColumn("_held", F.lit(True))
+        n = F.row_number().over(Window.partitionBy(*self.key).orderBy(*order))
+        groups = max(1, -(-rows.count() // self.GROUP))
+        group = F.pmod(F.xxhash64(*self.key), F.lit(groups)).cast("int")
+        judged = rows.withColumn("_n", n).join(held, self.key, "left").select(*rows.columns, ((F.col("_n") == 1) & F.col("_held").isNull()).alias("_new"), group.alias("_g"))
+        aside = f"{self.path.rstrip('/')}.judged-{uuid.uuid4().hex[:8]}"
+        judged.write.parquet(aside)
+        judged = self.spark.read.schema(judged.schema).parquet(aside)
+        new, last = judged.where("_new").drop("id"), self.read().agg(F.max("id")).first()[0] or 0
+        sizes = new.groupBy("_g").agg(F.count("*").alias("_size"))
+        base = sizes.select("_g", F.coalesce(F.sum("_size").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+        number = F.row_number().over(Window.partitionBy("_g").orderBy(*order, *self.key))
+        writer = new.withColumn("_i", number).join(base, "_g").withColumn("id", (F.col("_i") + F.col("_base") + last).cast("long")).drop("_g", "_i", "_base", "_new").write.mode("append")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path)
-        return self.spark.read.schema(rows.schema).parquet(aside)
+        return judged.where("not _new").select(*rows.columns)
 
     def delete_older(self, time: str, cutoff: Column) -> None:
-        """Q6: rewrites the table without rows strictly older than cutoff."""
-        from sightstream.sources.files import replace
+        """Q6, Q10: rewrites the table without rows strictly older than cutoff."""
+        self._keep(pruned(self.read(), time, cutoff))
+
+    def clear(self, condition: Column | None = None) -> None:
+        """Q6, Q7, Q10: everything goes, or what condition holds for (a source, for one)."""
+        if condition is None:
+            self.spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(self.path)
+        else:
+            self._keep(self.read().where(~F.coalesce(condition, F.lit(False))))
 
-        replace(self.spark, pruned(self.read(), time, cutoff), self.path)
+    def _keep(self, rows: DataFrame) -> None:
+        from sightstream.sources.files import replace
 
-    def clear(self) -> None:
-        """Q6, Q7, Q10"""
-        self.spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(self.path)
+        replace(self.spark, rows, self.path)

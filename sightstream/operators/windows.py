@@ -30,20 +30,24 @@ def text_units(samples: DataFrame) -> DataFrame:
     return samples.withColumn("text", trimmed("text")).where(F.length(normalize("text")) > 1)
 
 
-def seals(samples: DataFrame, length: int = WINDOW_SECONDS, start: Column | None = None) -> DataFrame:
-    """session_id and its windows (anchor, t and seq of the sealing sample). start: when the session began; None: its
+def windows(samples: DataFrame, length: int = WINDOW_SECONDS, start: Column | None = None) -> DataFrame:
+    """session_id, window_no (from 1), started_at, ended_at, seal_seq, and from_t, from_seq: where the window's samples
+    begin (null: with the session). The last, open window is never given out. start: when the session began; None: at its
     first sample.
 
-    Each seal depends on the one before, so a session's samples are read once in their order; all that is held of a
-    session is its anchor, however long it is. From one anchor the next seal is found by binary search."""
+    Each seal depends on the one before, so a session's ticks are read once in their order; all that is held of a session is
+    its anchor, however long it is. From one anchor the next seal is found by binary search. Of samples at one time only the
+    first can seal, so that ticks are aggregated before the shuffle and a session has no more of them than seconds."""
     length = max(1, length)
     begin = F.lit(None).cast("long") if start is None else start.cast("long")
-    ticks = samples.select("session_id", F.col("t").cast("long").alias("t"), F.col("seq").cast("long").alias("seq"), begin.alias("start")).repartition("session_id").sortWithinPartitions("session_id", "t", "seq")
+    ticks = samples.groupBy("session_id", F.col("t").cast("long").alias("t")).agg(F.min(F.col("seq").cast("long")).alias("seq"), F.min(begin).alias("start")).repartition("session_id").sortWithinPartitions("session_id", "t")
     id_type = samples.select("session_id").schema[0].dataType.simpleString()
+    names = ["session_id", "window_no", "started_at", "ended_at", "seal_seq", "from_t", "from_seq"]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current: object = None
         anchor: int | None = None
+        number, since = 0, (None, None)
         for b in batches:
             out = []
             ids, t, seq = b["session_id"].to_numpy(), b["t"].to_numpy(), b["seq"].to_numpy()
@@ -53,30 +57,38 @@ def seals(samples: DataFrame, length: int = WINDOW_SECONDS, start: Column | None
                     continue
                 if anchor is None or ids[lo] != current:
                     first = b["start"].iloc[lo]
-                    current, anchor = ids[lo], int(t[lo] if pd.isna(first) else first)
+                    current, anchor, number, since = ids[lo], int(t[lo] if pd.isna(first) else first), 0, (None, None)
                 at = lo
                 while (at := at + int(np.searchsorted(t[at:hi], anchor + length))) < hi:
-                    out.append((current, anchor, int(t[at]), int(seq[at])))
-                    anchor, at = int(t[at]), at + 1
-            yield pd.DataFrame(out, columns=["session_id", "anchor", "t", "seq"])
-
-    found = ticks.mapInPandas(scan, f"session_id {id_type}, anchor long, t long, seq long")
-    sealed = F.transform(F.array_sort(F.collect_list(F.struct("t", "seq", "anchor"))), lambda w: F.struct(w.anchor.alias("anchor"), w.t.alias("t"), w.seq.alias("seq")))
-    return found.groupBy("session_id").agg(sealed.alias("sealed"))
+                    number += 1
+                    out.append((current, number, anchor, int(t[at]), int(seq[at]), *since))
+                    anchor, since, at = int(t[at]), (int(t[at]), int(seq[at])), at + 1
+            yield pd.DataFrame(out, columns=names).astype({"from_t": "Int64", "from_seq": "Int64"})
 
+    return ticks.mapInPandas(scan, f"session_id {id_type}, window_no int, started_at long, ended_at long, seal_seq long, from_t long, from_seq long")
 
-def windows(samples: DataFrame, length: int = WINDOW_SECONDS, start: Column | None = None) -> DataFrame:
-    """session_id, window_no (from 1), started_at, ended_at, seal_seq. The last, open window is never given out."""
-    return seals(samples, length, start).select("session_id", F.posexplode("sealed").alias("i", "w")).select("session_id", (F.col("i") + 1).alias("window_no"), F.col("w.anchor").alias("started_at"), F.col("w.t").alias("ended_at"), F.col("w.seq").alias("seal_seq"))
 
+def assign(samples: DataFrame, length: int = WINDOW_SECONDS, start: Column | None = None) -> DataFrame:
+    """samples with window_no, started_at, ended_at; those of the open window are left out.
 
-def assign(samples: DataFrame, length: int = WINDOW_SECONDS) -> DataFrame:
-    """samples with window_no, started_at, ended_at; those of the open window are left out."""
-    at = F.struct("t", "seq")
-    rows = samples.join(seals(samples, length), "session_id")
-    i = F.size(F.filter("sealed", lambda w: F.struct(w.t, w.seq) < at))
-    own = F.get("sealed", i)
-    return rows.where(i < F.size("sealed")).select(*samples.columns, (i + 1).alias("window_no"), own.anchor.alias("started_at"), own.t.alias("ended_at"))
+    A window's samples are all within `length` of its anchor, but for the one that seals it. So a window goes to the three
+    stretches of `length` seconds that these can be in, and a sample looks in its own: the join has a key, which parts a
+    long session, and a sample meets a few windows however many the session has."""
+    length = max(1, length)
+    stretch = lambda t: F.floor(t / length)
+    first = F.col("from_t").isNull()
+    spans = windows(samples, length, start)
+    # before the anchor there are samples only if the session's start was given and lies after them
+    lowest = samples.groupBy("session_id").agg(F.min(F.col("t").cast("long")).alias("_lowest")) if start is not None else None
+    near = F.array_distinct(F.array(stretch(F.col("started_at")), stretch(F.col("started_at")) + 1, stretch(F.col("ended_at"))))
+    if lowest is not None:
+        spans = spans.join(lowest, "session_id")
+        near = F.when(first & (F.col("_lowest") < F.col("started_at")), F.array_union(near, F.sequence(stretch(F.col("_lowest")), stretch(F.col("started_at"))))).otherwise(near)
+    spans = spans.select("session_id", "window_no", "started_at", "ended_at", "seal_seq", "from_t", "from_seq", F.explode(near).alias("_stretch"))
+    at = F.struct(F.col("t").cast("long").alias("t"), F.col("seq").cast("long").alias("seq"))
+    after = first | (at > F.struct(F.col("from_t").alias("t"), F.col("from_seq").alias("seq")))
+    inside = after & (at <= F.struct(F.col("ended_at").alias("t"), F.col("seal_seq").alias("seq")))
+    return samples.withColumn("_stretch", stretch(F.col("t").cast("long"))).join(spans, ["session_id", "_stretch"]).where(inside).select(*samples.columns, "window_no", "started_at", "ended_at")
 
 
 def gap_sessions(rows: DataFrame, keys: list[str], ttl: int = TTL_SECONDS) -> DataFrame:

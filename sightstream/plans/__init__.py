@@ -8,6 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def all_queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
-    from sightstream.plans import audio, text, transcript, windows
+    from sightstream.plans import audio, stored, text, transcript, windows
 
-    return {**text.QUERIES, **windows.QUERIES, **audio.QUERIES, **transcript.QUERIES}
+    return {**text.QUERIES, **windows.QUERIES, **audio.QUERIES, **transcript.QUERIES, **stored.QUERIES}

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightstream.functions import audio as S
+from sightstream.functions import text as T
 from sightstream.operators import audio as A
 from sightstream.sources.derived import signals
+from sightstream.sources.files import new_path, write_wav_files
+from sightstream.sources.files import wav_files as wav_files_of
 
 #: Seconds of a chunk and of an overlap that go with packets of 32 frames at 200 Hz.
 CHUNK, OVERLAP = 0.5, 0.1
@@ -19,6 +24,12 @@ def mono(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals(spark, sf_dir).withColumn("channels", F.lit(1))
 
 
+@F.pandas_udf("struct<double: binary, float: binary, byte: binary>")
+def pcm_bytes(samples: pd.Series) -> pd.DataFrame:
+    kinds = {"double": "<f8", "float": "<f4", "byte": "u1"}
+    return pd.DataFrame({name: [np.zeros(len(s), kind).tobytes() if name == "byte" else np.asarray(s, kind).tobytes() for s in samples] for name, kind in kinds.items()})
+
+
 def digits(c):
     return F.round(c, 9)
 
@@ -34,7 +45,7 @@ def stereo_downmix(spark, sf_dir):
 
 def resample_linear(spark, sf_dir):
     out = S.resample(F.col("samples"), F.col("sample_rate"), F.lit(RATE))
-    return mono(spark, sf_dir).select("packet_id", F.posexplode(out).alias("frame", "sample")).select("packet_id", "frame", F.round(F.col("sample").cast("double"), 6).alias("sample"))
+    return mono(spark, sf_dir).select("packet_id", F.posexplode(out).alias("frame", "sample")).select("packet_id", "frame", (F.round(F.col("sample").cast("double"), 6) + 0.0).alias("sample"))
 
 
 def audio_chunks(spark, sf_dir):
@@ -44,6 +55,26 @@ def audio_chunks(spark, sf_dir):
     return c.select("source", "seq", "start_frame", F.size("samples").alias("n_samples"), F.round(total, 6).alias("total"), F.get("samples", F.lit(0)).cast("double").alias("first_sample"), F.element_at("samples", -1).cast("double").alias("last_sample"))
 
 
+def audio_available(spark, sf_dir):
+    """What waits in each source's buffer once its chunks were taken."""
+    a = A.available(A.checked(signals(spark, sf_dir)).where("error is null"), CHUNK, OVERLAP)
+    return a.select("source", "frames", digits(F.col("duration")).alias("duration"))
+
+
+def wav_source(spark, sf_dir):
+    """Packets written as WAV files and read back."""
+    path = new_path(spark, "wav")
+    write_wav_files(mono(spark, sf_dir).select(S.chunk_file_name(F.col("source").cast("string"), F.col("packet_id")).alias("name"), "samples", "sample_rate"), path)
+    return wav_files_of(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "sample_rate", "channels", T.sha(listed("samples")).alias("samples_sha256"))
+
+
+def pcm_formats(spark, sf_dir):
+    """Samples stored in other formats, read as single precision: as bytes of 64-bit and 32-bit floats, and of an unknown format."""
+    raw = mono(spark, sf_dir).select("packet_id", pcm_bytes("samples").alias("raw"))
+    both = [raw.select("packet_id", F.lit(f).alias("format"), S.decode_pcm(F.col(f"raw.{c}"), F.lit(f)).alias("back")) for f, c in (("float64", "double"), ("float32", "float"), ("other", "byte"))]
+    return both[0].union(both[1]).union(both[2]).select("packet_id", "format", T.sha(listed("back")).alias("samples_sha256"))
+
+
 def normalized_chunks(spark, sf_dir):
     """Chunks as mono at another rate: how long they are, and their first sample."""
     c = A.normalized(A.chunks(signals(spark, sf_dir), CHUNK, OVERLAP), RATE)
@@ -117,11 +148,19 @@ _LEVELS = lambda el: f"""win AS (SELECT packet_id, i // 6 AS wi, {_DB('', '')} A
 )"""
 _Q = "CAST(round(CASE WHEN greatest(-1.0::DOUBLE, least(1.0::DOUBLE, CAST(v AS DOUBLE))) < 0 THEN greatest(-1.0::DOUBLE, CAST(v AS DOUBLE)) * 32768 ELSE least(1.0::DOUBLE, CAST(v AS DOUBLE)) * 32767 END) AS INTEGER)"
 
+_LISTED = "printf('%.6f', round(CAST(v AS DOUBLE), 6) + 0.0::DOUBLE)"
+
 QUERIES = {
+    "audio_available": (audio_available, f"""WITH {SIG}, n AS (SELECT source, count(*) * 32 AS frames FROM sig GROUP BY source), c AS (SELECT source, frames - CASE WHEN frames >= 100 THEN ((frames - 100) // 80 + 1) * 80 ELSE 0 END AS frames FROM n)
+SELECT source, CAST(frames AS BIGINT) AS frames, round(frames / 200.0::DOUBLE, 9) AS duration FROM c"""),
+    "wav_source": (wav_source, f"""WITH {ELEMENTS}, q AS (SELECT packet_id, source, i, CAST({_Q} / 32767.0::DOUBLE AS FLOAT) AS v FROM el)
+SELECT CAST(source AS VARCHAR) || '-chunk-' || printf('%04d', packet_id) || '.wav' AS name, 200.0::DOUBLE AS sample_rate, 1::INTEGER AS channels, sha256(string_agg({_LISTED}, ',' ORDER BY i)) AS samples_sha256 FROM q GROUP BY packet_id, source"""),
+    "pcm_formats": (pcm_formats, f"""WITH {ELEMENTS}, f AS (SELECT packet_id, unnest(['float64', 'float32', 'other']) AS format, i, v FROM el)
+SELECT packet_id, format, sha256(string_agg(CASE WHEN format = 'other' THEN '0.000000' ELSE {_LISTED} END, ',' ORDER BY i)) AS samples_sha256 FROM f GROUP BY packet_id, format"""),
     "stereo_downmix": (stereo_downmix, f"WITH {ELEMENTS} SELECT packet_id, CAST(i // 2 AS INTEGER) AS frame, round(CAST(CAST(CAST(first(v ORDER BY i) + last(v ORDER BY i) AS FLOAT) / 2 AS FLOAT) AS DOUBLE), 9) AS sample FROM el GROUP BY packet_id, i // 2"),
-    "resample_linear": (resample_linear, f"""WITH {SIG}, p AS (SELECT packet_id, s, unnest(range(CAST(round(len(s) * ({RATE} / 200.0)) AS BIGINT))) AS frame FROM sig WHERE packet_id % 5 = 0), q AS (
+    "resample_linear": (resample_linear, f"""WITH {SIG}, p AS (SELECT packet_id, s, unnest(range(CAST(round(len(s) * ({RATE} / 200.0)) AS BIGINT))) AS frame FROM sig), q AS (
   SELECT packet_id, frame, s, least(CAST(floor(frame * (200.0 / {RATE})) AS BIGINT), len(s) - 1) AS lo, frame * (200.0 / {RATE}) AS pos FROM p
-) SELECT packet_id, CAST(frame AS INTEGER) AS frame, round(CAST(CAST(CAST(s[lo + 1] AS DOUBLE) + (CAST(s[least(lo + 1, len(s) - 1) + 1] AS DOUBLE) - CAST(s[lo + 1] AS DOUBLE)) * (pos - lo) AS FLOAT) AS DOUBLE), 6) AS sample FROM q"""),
+) SELECT packet_id, CAST(frame AS INTEGER) AS frame, round(CAST(CAST(CAST(s[lo + 1] AS DOUBLE) + (CAST(s[least(lo + 1, len(s) - 1) + 1] AS DOUBLE) - CAST(s[lo + 1] AS DOUBLE)) * (pos - lo) AS FLOAT) AS DOUBLE), 6) + 0.0::DOUBLE AS sample FROM q"""),
     "normalized_chunks": (normalized_chunks, f"""WITH {SIG}, ranked AS (SELECT source, packet_id, s, row_number() OVER (PARTITION BY source ORDER BY packet_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM sig), ch AS (
   SELECT source, unnest(range(CASE WHEN max(n) * 32 >= 100 THEN (max(n) * 32 - 100) // 80 + 1 ELSE 0 END)) AS seq FROM ranked GROUP BY source
 ) SELECT c.source, CAST(c.seq AS BIGINT) AS seq, 80::INTEGER AS n_samples, {RATE}::DOUBLE AS sample_rate, round(CAST(CAST(CAST(s[(c.seq * 160) % 64 + 1] + s[(c.seq * 160) % 64 + 2] AS FLOAT) / 2 AS FLOAT) AS DOUBLE), 9) AS first_sample FROM ch c JOIN ranked r ON r.source = c.source AND r.k = c.seq * 160 // 64"""),
@@ -142,11 +181,11 @@ FROM ch c JOIN flat f ON f.source = c.source AND f.pos >= c.seq * 160 AND f.pos
   SELECT t.packet_id, min(CASE WHEN w.db >= t.threshold_db THEN w.wi END) * 6 AS a, (max(CASE WHEN w.db >= t.threshold_db THEN w.wi END) + 1) * 6 AS b FROM thr t JOIN win w ON w.packet_id = t.packet_id GROUP BY t.packet_id
 ), got AS (SELECT packet_id, CASE WHEN a IS NOT NULL AND (b - a) / 200.0 >= 0.1 THEN greatest(0, a - 40) END AS s, CASE WHEN a IS NOT NULL AND (b - a) / 200.0 >= 0.1 THEN least(64, b + 40) END AS e FROM span)
 SELECT packet_id, CAST(coalesce(s, -1) AS INTEGER) AS start, CAST(coalesce(e, -1) AS INTEGER) AS "end", CAST(coalesce(e - s, 0) AS INTEGER) AS n_kept, CASE WHEN s IS NULL THEN 'no voice' ELSE '' END AS error FROM got"""),
-    "pcm_quantize": (pcm_quantize, f"WITH {ELEMENTS} SELECT packet_id, string_agg(CAST({_Q} AS VARCHAR), ',' ORDER BY i) AS pcm FROM el WHERE packet_id % 5 = 0 GROUP BY packet_id"),
+    "pcm_quantize": (pcm_quantize, f"WITH {ELEMENTS} SELECT packet_id, string_agg(CAST({_Q} AS VARCHAR), ',' ORDER BY i) AS pcm FROM el GROUP BY packet_id"),
     "pcm_correlation": (pcm_correlation, f"""WITH {ELEMENTS}, p AS (SELECT a.packet_id, sum(CAST(a.v AS DOUBLE) * CAST(b.v AS DOUBLE) ORDER BY a.i) AS d, sum(CAST(a.v AS DOUBLE) * CAST(a.v AS DOUBLE) ORDER BY a.i) AS x, sum(CAST(b.v AS DOUBLE) * CAST(b.v AS DOUBLE) ORDER BY a.i) AS y
   FROM el a JOIN el b ON b.packet_id = a.packet_id + 5 AND b.i = a.i GROUP BY a.packet_id)
 SELECT packet_id, round(CASE WHEN sqrt(x * y) > 0 THEN abs(d) / sqrt(x * y) ELSE 0.0 END, 9) AS correlation FROM p"""),
     "wav_files": (wav_files, None),
-    "pcm_decode": (pcm_decode, f"WITH {ELEMENTS} SELECT packet_id, CAST(i AS INTEGER) AS frame, round(CAST(CAST({_Q} / 32767.0::DOUBLE AS FLOAT) AS DOUBLE), 6) AS sample FROM el WHERE packet_id % 5 = 0"),
-    "interleave": (interleave, f"WITH {ELEMENTS} SELECT packet_id, CAST((i % 32) * 2 + i // 32 AS INTEGER) AS i, CAST(v AS DOUBLE) AS sample FROM el WHERE packet_id % 5 = 0"),
+    "pcm_decode": (pcm_decode, f"WITH {ELEMENTS} SELECT packet_id, CAST(i AS INTEGER) AS frame, round(CAST(CAST({_Q} / 32767.0::DOUBLE AS FLOAT) AS DOUBLE), 6) AS sample FROM el"),
+    "interleave": (interleave, f"WITH {ELEMENTS} SELECT packet_id, CAST((i % 32) * 2 + i // 32 AS INTEGER) AS i, CAST(v AS DOUBLE) AS sample FROM el"),
 }

@@ -212,15 +212,17 @@ def plain_export(spark, sf_dir):
 
 
 def prepared_documents(spark, sf_dir):
-    """Everything that is prepared of a document: its Markdown, structured Markdown and chunks, by their sizes."""
-    lines = as_lines(observations(spark, sf_dir))
-    b = L.blocks(lines)
-    r = L.regions(b)
-    frame = tuple(map(F.lit, ODD_FRAME))
-    md = X.anchored_markdown(r, b, *frame).select("doc_id", F.length("markdown").alias("markdown_characters"))
-    structured = X.structured_markdown(C.classify(b, *frame), *frame).select("doc_id", F.length("markdown").alias("structured_characters"))
-    chunks = X.chunks(r, b).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("character_count").alias("chunk_characters"))
-    return md.join(structured, "doc_id").join(chunks, "doc_id")
+    """Everything that is prepared of a document: its Markdown, structured Markdown and chunks, by their hashes."""
+    b = L.blocks(as_lines(observations(spark, sf_dir)))
+    p = X.prepared(L.regions(b), b, classified(spark, sf_dir), *map(F.lit, ODD_FRAME), limit=2000)
+    return p.select("doc_id", T.sha("markdown").alias("markdown_sha256"), T.sha("structured").alias("structured_sha256"), F.size("chunks").alias("chunks"), T.sha(F.array_join(F.transform("chunks", lambda c: c["text"]), "\n")).alias("chunks_sha256"))
+
+
+def document_build(spark, sf_dir):
+    """The whole build of a document's boxes: how many lines, blocks and regions they make, and their hashes."""
+    lines, blocks, regions, digests = L.build(observations(spark, sf_dir))
+    n = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
+    return digests.join(n(lines, "n_lines"), "doc_id").join(n(blocks, "n_blocks"), "doc_id").join(n(regions, "n_regions"), "doc_id").select("doc_id", "n_lines", "n_blocks", "n_regions", "text_hash", "layout_hash")
 
 
 BLOCKS = f"""{OBS}, lagged AS (
@@ -389,7 +391,8 @@ SELECT doc_id, '# Screen Text Structure' || chr(10) || chr(10) || '- blockCount:
     "sample_assembly": (sample_assembly, """WITH e AS (SELECT user_id AS session_id, event_id // 2 AS seq, event_id % 2 + 1 AS display_id, event_type FROM events), r AS (SELECT *, coalesce(lag(event_type) OVER (PARTITION BY session_id, display_id ORDER BY seq) = event_type, false) AS reused FROM e)
 SELECT session_id, seq, count(*) AS displays, count(*) FILTER (WHERE reused) AS reused, string_agg('Display ' || CAST(display_id AS VARCHAR) || chr(10) || event_type, chr(10) || chr(10) ORDER BY display_id) AS text FROM r GROUP BY session_id, seq"""),
     "plain_export": (plain_export, f"WITH {CLASSIFIED} SELECT doc_id, string_agg('[' || role || '] ' || text, chr(10) ORDER BY block_no) AS export FROM classified GROUP BY doc_id"),
-    "prepared_documents": (prepared_documents, None),
+    "document_build": (document_build, f"""WITH {REGIONS}{_DIGEST.removeprefix(OBS)}, n AS (SELECT doc_id, count(*) AS n_lines FROM obs GROUP BY doc_id), b AS (SELECT doc_id, count(*) AS n_blocks FROM blocks GROUP BY doc_id), r AS (SELECT doc_id, count(*) AS n_regions FROM regions GROUP BY doc_id)
+SELECT d.doc_id, n_lines, n_blocks, n_regions, text_hash, layout_hash FROM digests d JOIN n ON n.doc_id = d.doc_id JOIN b ON b.doc_id = d.doc_id JOIN r ON r.doc_id = d.doc_id"""),
     "compact_json": (compact_json, """SELECT event_id, '{"event_type":"' || event_type || '","ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","user_id":' || CAST(user_id AS VARCHAR) || '}' AS json FROM events"""),
     "recognized_text": (recognized_text, f"""WITH {BLOCKS}, t AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY block_no) AS text FROM blocks GROUP BY doc_id)
 SELECT doc_id // 2 AS sample_id, coalesce(string_agg('Display ' || CAST(doc_id % 2 + 1 AS VARCHAR) || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id) FILTER (WHERE {norm('text')} <> ''), '') AS text FROM t GROUP BY doc_id // 2"""),
@@ -398,3 +401,9 @@ SELECT doc_id // 2 AS sample_id, coalesce(string_agg('Display ' || CAST(doc_id %
 ), b AS (SELECT page_id, unnest(l) AS text, unnest(range(len(l))) AS block_no FROM s), f AS (SELECT *, {COUNT.format('text')} AS n, length(text) AS c, first_value(text) OVER (PARTITION BY page_id ORDER BY block_no) AS first_t FROM b)
 SELECT {_PAGE_ROLE} AS role, count(*) AS blocks, count(DISTINCT page_id) AS pages FROM f GROUP BY 1"""),
 }
+
+QUERIES["prepared_documents"] = (
+    prepared_documents,
+    f"""SELECT m.doc_id, sha256(m.markdown) AS markdown_sha256, sha256(s.markdown) AS structured_sha256, c.chunks, c.chunks_sha256 FROM ({QUERIES["anchored_markdown"][1]}) m JOIN ({QUERIES["structured_markdown"][1]}) s ON s.doc_id = m.doc_id
+JOIN (SELECT doc_id, CAST(count(*) AS INTEGER) AS chunks, sha256(string_agg(text, chr(10) ORDER BY CAST(substr(alias, 2) AS INTEGER))) AS chunks_sha256 FROM ({QUERIES["chunk_pack"][1]}) GROUP BY doc_id) c ON c.doc_id = m.doc_id""",
+)

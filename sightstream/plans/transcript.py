@@ -11,7 +11,7 @@ from sightstream.operators import storage as Q
 from sightstream.operators import transcript as R
 from sightstream.plans.text import TRIM
 from sightstream.sources import asr
-from sightstream.sources.derived import table, transcript_chunks
+from sightstream.sources.derived import signals, table, transcript_chunks
 
 
 def with_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def append_dedup(spark, sf_dir):
 
 def transcript_state(spark, sf_dir):
     s = R.running_state(with_ids(spark, sf_dir), ["session_id", "source"])
-    return s.select("session_id", "source", "chunks", F.coalesce("language", F.lit("none")).alias("language"), F.length("text").alias("characters"))
+    return s.select("session_id", "source", "chunks", F.coalesce("language", F.lit("none")).alias("language"), F.col("characters").cast("int").alias("characters"), T.sha("text").alias("text_sha256"))
 
 
 def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,8 @@ def recent_chunks(spark, sf_dir):
 
 def utterance_similarity(spark, sf_dir):
     p = R.candidates(searched(spark, sf_dir))
-    return p.select(F.col("a_seq").alias("computer_doc"), F.col("b_seq").alias("microphone_doc"), R.utterance_match(F.col("a_words"), F.col("b_words")).alias("same"))
+    of = lambda source: F.when(F.col("new_source") == source, F.col("new_seq")).otherwise(F.col("old_seq"))
+    return p.select(of("computer").alias("computer_doc"), of("microphone").alias("microphone_doc"), R.utterance_match("new_", "old_").alias("same"))
 
 
 def cross_source_duplicates(spark, sf_dir):
@@ -82,12 +83,33 @@ def first_annotation(spark, sf_dir):
     return R.first_annotation(c, R.duplicates(c)).where("duplicate_of is not null").select("chunk_id", "duplicate_of")
 
 
+def heard_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets as chunks of one source and, a tenth of a second later, of the other: quieter, or for every third packet the sound
+    of the packet five numbers on; every fourth has other words."""
+    s = signals(spark, sf_dir).select(F.col("packet_id").alias("p"), "samples")
+    five_on = s.select((F.col("p") - 5).alias("p"), F.col("samples").alias("later"))
+    words = F.format_string("spoken line number %d now", "p")
+    side = lambda df, name, samples, late, text: df.select(
+        F.floor(F.col("p") / 10).alias("session_id"), F.lit(name).alias("source"), F.col("p").alias("seq"), ((F.col("p") % 10) * 10.0 + late).alias("start_time"), F.lit(5.0).alias("duration"),
+        F.lit(None).cast("string").alias("language"), text.alias("text"), F.format_string(f"{name}_%05d", "p").alias("chunk_id"), samples.alias("samples"), F.lit(200.0).alias("sample_rate"),
+    )
+    quieter = F.transform("samples", lambda x: (x * 0.5).cast("float"))
+    heard = s.join(five_on, "p", "left").withColumn("heard", F.when(F.col("p") % 3 == 1, F.col("later")).otherwise(quieter))
+    return side(s, "computer", F.col("samples"), 0.0, words).unionByName(side(heard, "microphone", F.col("heard"), 0.1, F.when(F.col("p") % 4 == 0, "something else that was said").otherwise(words)))
+
+
+def pcm_duplicates(spark, sf_dir):
+    """Duplicates by text and sound."""
+    return R.duplicates(heard_twice(spark, sf_dir), pcm=True).select("session_id", "primary_id", "duplicate_id", F.round("confidence", 9).alias("confidence"), F.array_join("signals", ",").alias("signals"))
+
+
 def transcript_document(spark, sf_dir):
-    """The order, ids and language of each session's document."""
-    c = with_ids(spark, sf_dir).withColumns({"duplicate_of": F.lit(None).cast("string"), "duplicate_confidence": F.lit(None).cast("double")})
+    """What each session's document holds, read back from its JSON."""
+    c = with_ids(spark, sf_dir).withColumns({"duplicate_of": F.when(F.col("seq") % 4 == 3, F.lit("computer_001")), "duplicate_confidence": F.when(F.col("seq") % 4 == 3, F.lit(0.75))})
     d = X.transcript_document(c)
-    ids = F.transform(F.from_json("json", "chunks array<struct<id:string>>").chunks, lambda x: x.id)
-    return d.select("session_id", F.coalesce("language", F.lit("none")).alias("language"), "chunks", F.array_join(ids, ",").alias("ids"), F.get_json_object("json", "$.schema_version").cast("int").alias("schema_version"))
+    schema = "schema_version int, session_id string, language string, chunks array<struct<id: string, source: string, start_time: double, end_time: double, text: string, annotation: struct<duplicate_of: string, confidence: double>>>"
+    rows = d.select("session_id", F.from_json("json", schema).alias("j")).select("session_id", F.coalesce("j.language", F.lit("none")).alias("language"), "j.schema_version", F.posexplode("j.chunks").alias("i", "c"))
+    return rows.select("session_id", "language", "schema_version", "i", "c.id", "c.source", "c.start_time", "c.end_time", "c.text", F.coalesce("c.annotation.duplicate_of", F.lit("none")).alias("duplicate_of"))
 
 
 def latest_n(spark, sf_dir):
@@ -149,9 +171,15 @@ PAIRS = f"""d AS (
   SELECT doc_id, text, substr(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 1, 24) AS k FROM documents
 ), s AS (
   SELECT doc_id, min(doc_id) OVER (PARTITION BY k) * 10.0::DOUBLE AS start, {_WORDS} AS words FROM d
+), o AS (
+  SELECT *, start + 5.0::DOUBLE AS e, doc_id % 2 AS src, row_number() OVER (PARTITION BY doc_id % 2 ORDER BY start, doc_id) AS rank,
+    CASE WHEN doc_id % 2 = 0 THEN count(*) FILTER (WHERE doc_id % 2 = 1) OVER w ELSE count(*) FILTER (WHERE doc_id % 2 = 0) OVER w END AS others,
+    CASE WHEN doc_id % 2 = 0 THEN max(start + 5.0::DOUBLE) FILTER (WHERE doc_id % 2 = 1) OVER w ELSE max(start + 5.0::DOUBLE) FILTER (WHERE doc_id % 2 = 0) OVER w END AS others_end
+  FROM s WINDOW w AS (ORDER BY start, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ), pairs AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, a.start AS sa, b.start AS sb, a.words AS wa, b.words AS wb, coalesce(array_to_string(a.words, ' '), '') AS ta, coalesce(array_to_string(b.words, ' '), '') AS tb, len(list_distinct(a.words)) AS na, len(list_distinct(b.words)) AS nb, len(list_intersect(list_distinct(a.words), list_distinct(b.words))) AS common
-  FROM s a JOIN s b ON a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 AND a.start = b.start
+  SELECT CASE WHEN a.src = 0 THEN a.doc_id ELSE b.doc_id END AS a, CASE WHEN a.src = 0 THEN b.doc_id ELSE a.doc_id END AS b, a.e AS found_at, a.doc_id AS found_id, b.rank AS found_rank, a.words AS wa, b.words AS wb, coalesce(array_to_string(a.words, ' '), '') AS ta, coalesce(array_to_string(b.words, ' '), '') AS tb,
+    len(list_distinct(a.words)) AS na, len(list_distinct(b.words)) AS nb, len(list_intersect(list_distinct(a.words), list_distinct(b.words))) AS common
+  FROM o a JOIN o b ON a.src <> b.src AND b.rank <= a.others AND b.rank > a.others - 20 AND b.e >= a.others_end - 30 AND (10 > greatest(a.e, b.e) - least(a.start, b.start) OR abs(a.start - b.start) < 0.5)
 ), matched AS (
   SELECT *, ta <> '' AND tb <> '' AND (ta = tb OR (least(length(ta), length(tb)) >= 24 AND (CASE WHEN length(ta) <= length(tb) THEN contains(tb, ta) ELSE contains(ta, tb) END)) OR (least(na, nb) >= 4 AND CAST(common AS DOUBLE) / least(na, nb) >= 0.82)) AS same FROM pairs
 ), dups AS (
@@ -165,14 +193,23 @@ QUERIES = {
     "transcript_segments": (transcript_segments, f"""WITH {CHUNKS} SELECT session_id, seq, chunk_id, start_time + 0.5::DOUBLE AS start_time, start_time + 2.0::DOUBLE AS end_time, {TRIM.format('text')} AS text FROM chunks WHERE {TRIM.format('text')} <> ''
 UNION ALL SELECT session_id, seq, chunk_id, start_time + 2.0::DOUBLE, start_time + 5.0::DOUBLE, 'more' FROM chunks"""),
     "append_dedup": (append_dedup, f"WITH {FOLD('session_id')} SELECT session_id, text FROM states WHERE rn = n"),
-    "transcript_state": (transcript_state, f"WITH {FOLD('session_id, source')} SELECT session_id, source, CAST(n AS INTEGER) AS chunks, coalesce(language, 'none') AS language, CAST(length(text) AS INTEGER) AS characters FROM states WHERE rn = n"),
+    "transcript_state": (transcript_state, f"WITH {FOLD('session_id, source')} SELECT session_id, source, CAST(n AS INTEGER) AS chunks, coalesce(language, 'none') AS language, CAST(length(text) AS INTEGER) AS characters, sha256(text) AS text_sha256 FROM states WHERE rn = n"),
     "recent_chunks": (recent_chunks, f"""WITH {CHUNKS}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id, source ORDER BY seq DESC) AS n, max(start_time + duration) OVER (PARTITION BY session_id, source) AS newest FROM chunks)
 SELECT session_id, chunk_id FROM r WHERE n <= {R.RECENT_CHUNKS} AND start_time + duration >= newest - {R.RECENT_SECONDS}"""),
     "utterance_similarity": (utterance_similarity, f"WITH {PAIRS} SELECT a AS computer_doc, b AS microphone_doc, same FROM matched"),
-    "cross_source_duplicates": (cross_source_duplicates, f"""WITH {PAIRS} SELECT 'd_' || printf('%09d', a) AS primary_id, 'd_' || printf('%09d', b) AS duplicate_id, round(confidence, 9) AS confidence, 'time_proximity,duration_match,language_match,text_jaccard' AS signals FROM dups WHERE confidence >= 0.5"""),
-    "first_annotation": (first_annotation, f"WITH {PAIRS} SELECT 'd_' || printf('%09d', b) AS chunk_id, min('d_' || printf('%09d', a)) AS duplicate_of FROM dups WHERE confidence >= 0.5 GROUP BY b"),
+    "cross_source_duplicates": (cross_source_duplicates, f"""WITH {PAIRS} SELECT 'd_' || printf('%09d', a) AS primary_id, 'd_' || printf('%09d', b) AS duplicate_id, round(confidence, 9) AS confidence, 'time_overlap,duration_match,language_match,text_jaccard' AS signals FROM dups WHERE confidence >= 0.5"""),
+    "first_annotation": (first_annotation, f"WITH {PAIRS} SELECT 'd_' || printf('%09d', b) AS chunk_id, first('d_' || printf('%09d', a) ORDER BY found_at, found_id, found_rank) AS duplicate_of FROM dups WHERE confidence >= 0.5 GROUP BY b"),
+    "pcm_duplicates": (pcm_duplicates, """WITH el AS (SELECT vec_id AS p, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings), heard AS (
+  SELECT a.p, sum(CAST(a.v AS DOUBLE) * CAST(b.v AS DOUBLE) ORDER BY a.i) AS d, sum(CAST(a.v AS DOUBLE) * CAST(a.v AS DOUBLE) ORDER BY a.i) AS x, sum(CAST(b.v AS DOUBLE) * CAST(b.v AS DOUBLE) ORDER BY a.i) AS y
+  FROM el a JOIN el b ON b.p = CASE WHEN a.p % 3 = 1 THEN a.p + 5 ELSE a.p END AND b.i = a.i GROUP BY a.p
+), judged AS (
+  SELECT e.vec_id AS p, e.vec_id % 4 <> 0 AS said, coalesce(x * y > 0 AND abs(d) / sqrt(x * y) >= 0.5, false) AS sound FROM embeddings e LEFT JOIN heard h ON h.p = e.vec_id
+), scored AS (SELECT *, 0.1::DOUBLE + 0.05::DOUBLE + (CASE WHEN said THEN 0.45::DOUBLE ELSE 0.0::DOUBLE END) + (CASE WHEN sound THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END) AS confidence FROM judged)
+SELECT p // 10 AS session_id, 'computer_' || printf('%05d', p) AS primary_id, 'microphone_' || printf('%05d', p) AS duplicate_id, round(confidence, 9) AS confidence, 'time_overlap,duration_match' || CASE WHEN said THEN ',text_jaccard' ELSE '' END || CASE WHEN sound THEN ',pcm_correlation' ELSE '' END AS signals
+FROM scored WHERE confidence >= 0.5"""),
     "transcript_document": (transcript_document, f"""WITH {CHUNKS}, l AS (SELECT session_id, last(language ORDER BY seq) FILTER (WHERE source = 'microphone' AND language IS NOT NULL) AS m, last(language ORDER BY seq) FILTER (WHERE source = 'computer' AND language IS NOT NULL) AS c FROM chunks GROUP BY session_id)
-SELECT k.session_id, coalesce(max(l.m), max(l.c), 'none') AS language, CAST(count(*) AS INTEGER) AS chunks, string_agg(chunk_id, ',' ORDER BY start_time, source, seq) AS ids, 1::INTEGER AS schema_version FROM chunks k JOIN l ON l.session_id = k.session_id GROUP BY k.session_id"""),
+SELECT k.session_id, coalesce(l.m, l.c, 'none') AS language, 1::INTEGER AS schema_version, CAST(row_number() OVER (PARTITION BY k.session_id ORDER BY start_time, source, seq) - 1 AS INTEGER) AS i, chunk_id AS id, source, start_time, start_time + 5.0::DOUBLE AS end_time, text, CASE WHEN seq % 4 = 3 THEN 'computer_001' ELSE 'none' END AS duplicate_of
+FROM chunks k JOIN l ON l.session_id = k.session_id"""),
     "latest_n": (latest_n, "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20"),
     "latest_n_per_source": (latest_n_per_source, "SELECT o_orderpriority, o_orderkey, CAST(rank AS INTEGER) AS rank FROM (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS rank FROM orders) WHERE rank <= 5"),
     "prune_older": (prune_older, "SELECT o_orderstatus, count(*) AS orders, min(o_orderkey) AS first_key FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY o_orderstatus"),

@@ -64,7 +64,7 @@ def dominant_role(spark, sf_dir):
 
 
 def seal_windows(spark, sf_dir):
-    return W.windows(samples(spark, sf_dir), WINDOW)
+    return W.windows(samples(spark, sf_dir), WINDOW).select("session_id", "window_no", "started_at", "ended_at", "seal_seq")
 
 
 def window_samples(spark, sf_dir):
@@ -86,7 +86,7 @@ def repeated_ui(spark, sf_dir):
 
 
 def window_analysis_top10(spark, sf_dir):
-    return W.analysis(W.segments(sealed(spark, sf_dir))).select("session_id", "window_no", "analyzer_id", F.regexp_replace("summary_markdown", r"LLM payload size: \d+", "LLM payload size: n").alias("summary_markdown"))
+    return W.analysis(W.segments(sealed(spark, sf_dir))).select("session_id", "window_no", "analyzer_id", "payload_bytes", "summary_markdown")
 
 
 def window_prompt(spark, sf_dir):
@@ -94,7 +94,15 @@ def window_prompt(spark, sf_dir):
 
 
 def segment_document(spark, sf_dir):
-    return X.segment_document(W.segments(sealed(spark, sf_dir))).select("session_id", "window_no", "displays", "encounters", F.get_json_object("json", "$.encounterCount").cast("long").alias("json_encounters"))
+    """What the documents hold, read back from their JSON."""
+    d = X.segment_document(W.segments(sealed(spark, sf_dir)))
+    schema = "displayCount long, encounterCount long, sequenceNumber int, sessionID long, startedAt long, endedAt long, segments array<struct<display_id: long, role: string, first_seen: long, last_seen: long, lines: long, repeated_ui: boolean, sightings: long, text: string, bounds: struct<h: double, w: double, x: double, y: double>>>"
+    rows = d.select(F.from_json("json", schema).alias("j")).select("j.*", F.posexplode("j.segments").alias("i", "s"))
+    r = lambda c: F.round(f"s.bounds.{c}", 9).alias(c)
+    return rows.select(
+        F.col("sessionID").alias("session_id"), F.col("sequenceNumber").alias("window_no"), F.col("startedAt").alias("started_at"), F.col("endedAt").alias("ended_at"), F.col("displayCount").alias("displays"), F.col("encounterCount").alias("encounters"),
+        "i", "s.display_id", "s.role", "s.first_seen", "s.last_seen", "s.lines", "s.repeated_ui", "s.sightings", "s.text", r("x"), r("y"), r("w"), r("h"),
+    )
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +131,11 @@ def cache_expiry(spark, sf_dir):
     return M.cached_documents(M.document_runs(snapshots(spark, sf_dir)), max_age=20 * TTL).select("session_id", "display_id", "seq", "age_rank")
 
 
+def session_epochs(spark, sf_dir):
+    """Samples by how often their session was started anew before them; a signup starts it."""
+    return M.epochs(samples(spark, sf_dir), F.col("text") == "signup").select("session_id", "seq", "epoch")
+
+
 def run_counters(spark, sf_dir):
     return M.run_counters(snapshots(spark, sf_dir).withColumn("text", F.when(F.col("seq") % 11 == 0, " ").otherwise(F.col("text"))), T.has_text("text"))
 
@@ -196,18 +209,22 @@ SELECT display_id, text_hash, max(c) AS seen_count, CAST(count(*) AS INTEGER) AS
   SELECT *, row_number() OVER (PARTITION BY session_id, window_no ORDER BY first_seen, display_id, role) AS n FROM segments
 ), parts AS (
   SELECT session_id, window_no, started_at, ended_at, CAST(sum(lines) AS BIGINT) AS lines, count(*) AS segs,
+    CAST(strlen('[' || string_agg('{{"display_id":' || CAST(display_id AS VARCHAR) || ',"role":"' || role || '","first_seen":' || CAST(first_seen AS VARCHAR) || ',"text":"' || text || '","lines":' || CAST(lines AS VARCHAR) || ',"sightings":' || CAST(sightings AS VARCHAR) || ',"repeated_ui":' || CASE WHEN repeated_ui THEN 'true' ELSE 'false' END || '}}', ',') || ']') AS INTEGER) AS bytes,
     string_agg('- d' || CAST(display_id AS VARCHAR) || ' role=' || role || ' lines=' || CAST(lines AS VARCHAR) || ' sightings=' || CAST(sightings AS VARCHAR) || ' repeatedUI=' || CASE WHEN repeated_ui THEN 'true' ELSE 'false' END, chr(10) ORDER BY display_id, role) AS listed,
     string_agg('- [role ' || role || ', lines ' || CAST(lines AS VARCHAR) || '] ' || text, chr(10) ORDER BY n) FILTER (WHERE n <= 10) AS first
   FROM ranked GROUP BY session_id, window_no, started_at, ended_at
 )
-SELECT session_id, window_no, '{W.ANALYZER}' AS analyzer_id, '## Stub Window Summary' || chr(10) || chr(10) || '- Sequence: ' || CAST(window_no AS VARCHAR) || chr(10) || '- Window: ' || CAST(started_at AS VARCHAR) || ' → ' || CAST(ended_at AS VARCHAR) || chr(10) || '- Duration: ' || CAST(ended_at - started_at AS VARCHAR) || ' s'
+SELECT session_id, window_no, '{W.ANALYZER}' AS analyzer_id, bytes AS payload_bytes, '## Stub Window Summary' || chr(10) || chr(10) || '- Sequence: ' || CAST(window_no AS VARCHAR) || chr(10) || '- Window: ' || CAST(started_at AS VARCHAR) || ' → ' || CAST(ended_at AS VARCHAR) || chr(10) || '- Duration: ' || CAST(ended_at - started_at AS VARCHAR) || ' s'
   || chr(10) || '- Unique lines: ' || CAST(lines AS VARCHAR) || chr(10) || '- Segments: ' || CAST(segs AS VARCHAR) || chr(10) || chr(10) || '### Segments' || chr(10) || listed || chr(10) || chr(10) || '### Top segment text (chronological, first 10)' || chr(10) || first || chr(10) || chr(10) || '---' || chr(10)
-  || 'LLM payload size: n bytes (segment document; would be sent to a real LLM here)' AS summary_markdown FROM parts"""),
+  || 'LLM payload size: ' || CAST(bytes AS VARCHAR) || ' bytes (segment document; would be sent to a real LLM here)' AS summary_markdown FROM parts"""),
     "window_prompt": (window_prompt, f"""WITH {SEALED} SELECT session_id, window_no, '# Screen Text Window' || chr(10) || chr(10) || '- sessionID: ' || CAST(session_id AS VARCHAR) || chr(10) || '- sequence: ' || CAST(window_no AS VARCHAR) || chr(10) || '- startedAt: ' || CAST(started_at AS VARCHAR) || chr(10) || '- endedAt: ' || CAST(ended_at AS VARCHAR) || chr(10)
   || '- durationSeconds: ' || CAST(ended_at - started_at AS VARCHAR) || chr(10) || '- encounterCount: ' || CAST(count(*) AS VARCHAR) || chr(10) || chr(10) || '## Encounters (chronological)' || chr(10) || chr(10)
   || string_agg('- [' || CAST(first_seen AS VARCHAR) || ' → ' || CAST(last_seen AS VARCHAR) || ' ×' || CAST(seen_count AS VARCHAR) || ', display ' || CAST(display_id AS VARCHAR) || '] ' || text, chr(10) ORDER BY first_seen, text, last_seen, seen_count, display_id) AS prompt
 FROM sealed_enc GROUP BY session_id, window_no, started_at, ended_at"""),
-    "segment_document": (segment_document, f"WITH {SEALED} SELECT session_id, window_no, count(DISTINCT display_id) AS displays, CAST(sum(lines) AS BIGINT) AS encounters, CAST(sum(lines) AS BIGINT) AS json_encounters FROM segments GROUP BY session_id, window_no, started_at, ended_at"),
+    "segment_document": (segment_document, f"""WITH {SEALED} SELECT session_id, window_no, started_at, ended_at, count(DISTINCT display_id) OVER win AS displays, CAST(sum(lines) OVER win AS BIGINT) AS encounters,
+  CAST(row_number() OVER (PARTITION BY session_id, window_no ORDER BY display_id, role) - 1 AS INTEGER) AS i, display_id, role, first_seen, last_seen, lines, repeated_ui, sightings, text, round(x, 9) AS x, round(y, 9) AS y, round(w, 9) AS w, round(h, 9) AS h
+FROM segments WINDOW win AS (PARTITION BY session_id, window_no)"""),
+    "session_epochs": (session_epochs, f"WITH {SEEN}, e AS (SELECT session_id, seq, text, count(*) FILTER (WHERE text = 'signup') OVER (PARTITION BY session_id ORDER BY t, seq) AS epoch FROM samples) SELECT session_id, seq, epoch FROM e WHERE text <> 'signup'"),
     "snapshot_consecutive_skip": (snapshot_consecutive_skip, f"WITH {SNAPS}, m AS (SELECT *, {_SAME.format(_W1)} AS same FROM snaps) SELECT session_id, seq FROM m WHERE NOT same"),
     "snapshot_global_dedup": (snapshot_global_dedup, f"WITH {SNAPS}, r AS (SELECT *, row_number() OVER (PARTITION BY text_hash, layout_hash ORDER BY t, seq) AS n FROM snaps) SELECT session_id, seq, text_hash, layout_hash FROM r WHERE n = 1"),
     "snapshot_exists": (snapshot_exists, f"WITH {SNAPS} SELECT session_id, seq FROM snaps s WHERE NOT EXISTS (SELECT 1 FROM snaps o WHERE o.seq % 250 = 0 AND o.text_hash = s.text_hash AND o.layout_hash = s.layout_hash)"),

@@ -181,18 +181,93 @@ def test_duplicates(spark):
     assert R.first_annotation(df, R.duplicates(df)).where("duplicate_of is not null").count() == 1
 
 
-def test_interval_join_is_the_theta_join(spark):
+def taken_in(rows):
+    """Plain ingestion of (session, source, seq, id, start, duration): pairs of a chunk with those in the other source's window."""
+    windows, out = {}, []
+    for session, source, seq, name, start, duration, *_ in sorted(rows, key=lambda c: (c[4] + c[5], c[2], c[1], c[3])):
+        own = windows.setdefault((session, source), [])
+        own.append((name, start, duration))
+        windows[session, source] = [c for c in own if c[1] + c[2] >= start + duration - 30][-20:]
+        other = "microphone" if source == "computer" else "computer"
+        for n, s, d in windows.get((session, other), []):
+            if duration + d > max(start + duration, s + d) - min(start, s) or abs(start - s) < 0.5:
+                out.append((session, name, n))
+    return out
+
+
+def test_candidates_are_those_of_the_window(spark, monkeypatch):
+    """Sparse and dense sessions (more than 20 chunks in 30 s), chunks without length, long ones, a silent source."""
+    monkeypatch.setattr(R, "BLOCK_SECONDS", 7.0)
     r = random.Random(2)
-    rows = [(1, r.choice(["computer", "microphone"]), i, f"c{i:03d}", r.random() * 200, r.choice([0.0, 0.2, 5.0, 45.0]), None, "x") for i in range(120)]
-    got = sorted((p.a_seq, p.b_seq) for p in R.candidates(spark.createDataFrame(rows, CHUNK)).collect())
-    want = []
-    for a in rows:
-        for b in rows:
-            if a[1] == "computer" and b[1] == "microphone":
-                union = max(a[4] + a[5], b[4] + b[5]) - min(a[4], b[4])
-                if a[5] + b[5] > union or abs(a[4] - b[4]) < 0.5:
-                    want.append((a[2], b[2]))
-    assert got == sorted(want)
+    rows = []
+    for i in range(600):
+        session = i % 3
+        start = round(r.random() * (200, 20, 2000)[session], 2)
+        rows.append((session, r.choice(["computer", "microphone"]), i, f"c{i:03d}", start, r.choice([0.0, 0.2, 5.0, 45.0]), None, "x"))
+    rows += [(3, "microphone", 0, "m", 0.0, 1.0, None, "x")] + [(3, "computer", i, f"k{i}", 0.5, 0.1 * i, None, "x") for i in range(1, 60)]
+    got = [(p.session_id, p.new_chunk_id, p.old_chunk_id) for p in R.candidates(spark.createDataFrame(rows, CHUNK)).collect()]
+    want = taken_in(rows)
+    assert sorted(got) == sorted(want) and len(want) > 1000
+    most = {}
+    for s, new, _ in got:
+        most[s, new] = most.get((s, new), 0) + 1
+    assert max(most.values()) == 20
+
+
+def test_first_annotation_is_the_first_that_is_found(spark):
+    rows = [(1, "computer", 1, "z", 0.0, 5.0, "en", "the very same words here"), (1, "computer", 2, "a", 0.0, 5.0, "en", "the very same words here"), (1, "microphone", 3, "m", 0.1, 5.0, "en", "the very same words here")]
+    df = spark.createDataFrame(rows, CHUNK)
+    assert [r.duplicate_of for r in R.first_annotation(df, R.duplicates(df)).where("chunk_id = 'm'").collect()] == ["z"]
+
+
+def test_sound_counts_in_the_score(spark):
+    chunk = CHUNK + ", samples array<double>, sample_rate double"
+    rows = [(1, "computer", 1, "a", 0.0, 5.0, "en", "some four words here", [1.0, -1.0], 8.0), (1, "microphone", 2, "b", 0.1, 5.0, "en", "others of another kind", [0.5, -0.5], 8.0), (2, "computer", 1, "a", 0.0, 5.0, "en", "some four words here", [1.0, -1.0], 8.0), (2, "microphone", 2, "b", 0.1, 5.0, "en", "others of another kind", [0.5, -0.5], 9.0), (3, "computer", 1, "a", 0.0, 5.0, "en", "x y z", None, 8.0), (3, "microphone", 1, "b", 0.0, 5.0, "en", "x y w", [], 8.0)]
+    got = R.duplicates(spark.createDataFrame(rows, chunk), pcm=True).collect()
+    assert [(r.session_id, r.signals) for r in got] == [(1, ["time_overlap", "duration_match", "language_match", "pcm_correlation"])]
+
+
+def test_running_text_in_any_order_and_with_blanks(spark):
+    r = random.Random(6)
+    words = ["ab", "AB", "ba", "Straße", "İx", "c", " "]
+    rows = [(s, i, " ".join(r.choice(words) for _ in range(r.randint(0, 9))), r.choice([None, "en", "de"])) for s in range(5) for i in range(40)]
+    df = spark.createDataFrame(rows, "session_id long, seq long, text string, language string").orderBy(F.rand(1))
+    want = {}
+    for s, _, t, language in rows:
+        t = t.strip(R.WHITE)
+        text, n, last = want.get(s, ("", 0, None))
+        if t:
+            k = next((k for k in range(min(len(text), len(t), 160), 0, -1) if text[-k:].lower() == t[:k].lower()), 0)
+            rest = t[k:].strip(R.WHITE) if text else t
+            want[s] = (f"{text} {rest}" if text and rest else text or rest, n + 1, language or last)
+    got = {x.session_id: (x.text, x.chunks, x.language) for x in R.running_state(df, ["session_id"]).collect()}
+    assert got == want
+    sums = {x.session_id: (x.characters, x.chunks, x.language) for x in R.running_sums(df, ["session_id"]).collect()}
+    assert sums == {s: (len(t), n, la) for s, (t, n, la) in want.items()}
+
+
+def test_samples_of_windows(spark):
+    """Each sample in the window that it is sealed in, against a plain scan; gaps, equal times, a given start."""
+    r = random.Random(8)
+    rows, t = [], {s: 0 for s in range(4)}
+    for i in range(800):
+        s = r.randrange(4)
+        t[s] += r.choice([0, 0, 1, 5, 20, 61, 400])
+        rows.append((s, i, t[s], 1, "x", "x", 0.0, 0.0, 0.0, 0.0))
+    df = spark.createDataFrame(rows, SAMPLE)
+    for start in (None, 50):
+        want = []
+        for s in range(4):
+            own = sorted((x[2], x[1]) for x in rows if x[0] == s)
+            anchor, number, held = own[0][0] if start is None else start, 0, []
+            for at, seq in own:
+                held.append(seq)
+                if at - anchor >= 60:
+                    number += 1
+                    want += [(s, q, number, anchor, at) for q in held]
+                    anchor, held = at, []
+        got = [(x.session_id, x.seq, x.window_no, x.started_at, x.ended_at) for x in W.assign(df, start=None if start is None else F.lit(start)).collect()]
+        assert sorted(got) == sorted(want)
 
 
 def test_split_and_pack(spark):
