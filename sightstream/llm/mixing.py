@@ -74,8 +74,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, target: float
     else:
         rates = rates.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         drawn = docs.join(rates, (source == F.col("_mix_source")) & (F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)) == F.col("_mix_salt")))
-    draw = lambda n, j: n + F.size(F.filter("_mix_table", lambda t: t <= uniform(str(seed), F.col("doc_id"), j)))
-    count = F.aggregate(F.sequence(F.lit(1), F.col("_mix_parts")), F.lit(0), draw)
+    # each number is a lambda variable below: written inside the filter, its hash would be computed for every value of the table
+    numbers = F.transform(F.sequence(F.lit(1), F.col("_mix_parts")), lambda j: uniform(str(seed), F.col("doc_id"), j))
+    count = F.aggregate(numbers, F.lit(0), lambda n, u: n + F.size(F.filter("_mix_table", lambda t: t <= u)))
     copies = drawn.select(*(F.col(f"`{c}`") for c in docs.columns), count.alias("_mix_count")).where("_mix_count > 0")
     copies = copies.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_mix_count"))).alias("copy"))
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("copy"), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
