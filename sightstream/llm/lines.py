@@ -4,8 +4,9 @@ Lines are exploded with their position, normalised and hashed (96 bits); for eac
 smallest doc_id keeps the line, and the positions that every other document loses come back to it. The document is then
 put together again from the positions that are left, so that no line's text is ever shuffled.
 
+Documents are split once: hashes and positions are a table in the shared folder, which both the count and the join read.
 A frequent line is counted by partial aggregates before the shuffle; the join that brings positions back is split by
-Spark where one hash has many rows.
+Spark where one hash has many rows. The last join sorts and spills.
 
 Nulls and ties: a null or empty text is one empty line. A null doc_id keeps its lines and is not counted. Rows with one
 doc_id count as one document; each loses lines of its own text. A line that a document repeats is lost, or kept, in all
@@ -19,6 +20,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightstream.llm.common import stored
+
 MIN_CHARS = 10
 MIN_DOCS = 2
 
@@ -33,12 +36,13 @@ def line_key(line: Column) -> Column:
 def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, n_lines, dropped (positions from 0), kept (the other lines, joined by newlines)."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("row_key", F.xxhash64("text"))
-    lines = (
+    lines = stored(
         rows.where("doc_id is not null")
         .select("doc_id", "row_key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
         .select("doc_id", "row_key", "pos", line_key(F.col("line")).alias("key"))
         .where(F.length("key") >= min_chars)
-        .select("doc_id", "row_key", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"))
+        .select("doc_id", "row_key", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2")),
+        "lines",
     )
     if min_docs == 2:  # some two documents differ: cheaper to tell than how many there are
         shared = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
@@ -54,7 +58,7 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
         .agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
     )
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("dropped")), lambda i: F.get("parts", i))
-    return rows.join(lost.hint("shuffle_hash"), ["doc_id", "row_key"], "left").select("doc_id", "text", "dropped", F.split("text", "\n").alias("parts")).select(
+    return rows.join(lost.hint("merge"), ["doc_id", "row_key"], "left").select("doc_id", "text", "dropped", F.split("text", "\n").alias("parts")).select(
         "doc_id",
         F.size("parts").cast("long").alias("n_lines"),
         F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
