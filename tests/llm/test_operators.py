@@ -142,11 +142,26 @@ def test_nearest_neighbours(spark):
     df = spark.createDataFrame(v, "vec_id long, embedding array<float>").withColumn("cs", F.lit(1))
     got = [(a, b, c, round(d, 9)) for a, b, c, d in rows(neighbours.op4(df))]
     assert got == [(a, b, c, round(d, 9)) for a, b, c, d in sorted(brute.op4(v))]
-    small = neighbours.nearest(df.where("vec_id % 100 = 0"), df, block=16).orderBy("query_id", "rank").collect()
+    small = neighbours.nearest(df, F.col("vec_id") % 100 == 0, block=16).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in small] == [g[:3] for g in got]
     assert neighbours.op4(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_repeated_ids_and_of_huge_and_tiny_vectors(spark):
+    """Only the query's own row is left out; finite components of any size take part."""
+    schema = "vec_id long, embedding array<double>"
+    twice = [(0, [1.0, 0.0]), (0, [4.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, [9.0, 0.0])]
+    got = rows(neighbours.nearest(spark.createDataFrame(twice, schema), F.col("vec_id") == 0))
+    assert got == sorted(
+        [(0, 1, 1, 1.0), (0, 2, 1, 1.0), (0, 3, 0, 3.0), (0, 4, 2, 8.0)] + [(0, 1, 1, 2.0), (0, 2, 1, 2.0), (0, 3, 0, 3.0), (0, 4, 2, 5.0)]
+    )
+    huge = [(0, [1e200, 1e200]), (1, [1e200, 2e200]), (2, [-1e200, 1e200]), (3, [1e-200, 0.0]), (4, [3e-200, 0.0]), (5, [1.0, 1.0])]
+    got = {(a, c): d for a, _, c, d in rows(neighbours.nearest(spark.createDataFrame(huge, schema), F.col("vec_id").isin(0, 3), k=5))}
+    assert len(got) == 10
+    want = {(0, 1): 1e200, (0, 2): 2e200, (0, 3): 2**0.5 * 1e200, (0, 4): 2**0.5 * 1e200, (0, 5): 2**0.5 * 1e200, (3, 4): 2e-200, (3, 5): 2**0.5, (3, 0): 2**0.5 * 1e200, (3, 1): 5**0.5 * 1e200, (3, 2): 2**0.5 * 1e200}
+    assert all(abs(got[k] - v) <= 1e-12 * v for k, v in want.items())
+
+
 def test_fingerprint_links_cover_all_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
