@@ -165,6 +165,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     named = linked.join(least, "root").select("fp", "root", "least")
     every = distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"), F.coalesce("least", "first").alias("component_id"))
+    # a table of its own, so that both sides are dealt out for the join alone and Spark can split a fingerprint with many rows
+    every = stored(every, "components")
     return by_doc.join(every, "fp").select("doc_id", "row_key", "fp", "group", "component_id")
 
 
