@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from sightstream.functions import audio as S
 from sightstream.functions import text as T
@@ -24,7 +25,7 @@ def mono(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals(spark, sf_dir).withColumn("channels", F.lit(1))
 
 
-@F.pandas_udf("struct<double: binary, float: binary, byte: binary>")
+@F.pandas_udf(StructType([StructField(name, BinaryType()) for name in ("double", "float", "byte")]))
 def pcm_bytes(samples: pd.Series) -> pd.DataFrame:
     kinds = {"double": "<f8", "float": "<f4", "byte": "u1"}
     return pd.DataFrame({name: [np.zeros(len(s), kind).tobytes() if name == "byte" else np.asarray(s, kind).tobytes() for s in samples] for name, kind in kinds.items()})
