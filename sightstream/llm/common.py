@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -11,35 +10,39 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from sightstream.sources.files import new_path, shared_dir, stored
+
+__all__ = ["new_path", "shared_dir", "stored"]
+
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 
-#: Rows in an Arrow batch: whole texts are wide, so few of them travel at once.
-ARROW_ROWS = 512
+#: Rows, and bytes of their texts, that a task's Python works on at once. Spark bounds a batch by 64 MB; a longer text is alone.
+ROWS, BYTES = 512, 4 << 20
 
 #: Bytes of text that one numpy pass works on. A longer document is one pass of its own.
 SLICE_BYTES = 1 << 20
 
 
-def tune(spark: SparkSession) -> None:
-    """Small Arrow batches, since a batch of whole texts has to fit beside the others in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir. Only where it is unset, as in tests, there is another."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/sightstream").rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+def bounded(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ROWS rows whose texts, in column `at`, have BYTES bytes at most."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < b.num_rows:
+            before = size[lo - 1] if lo else 0
+            hi = min(lo + ROWS, max(lo + 1, int(np.searchsorted(size, before + BYTES, "right"))), b.num_rows)
+            yield b.slice(lo, hi - lo)
+            lo = hi
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again: cuts the lineage, and outlives any executor."""
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """df as a table in the shared folder, dealt out by keys: joins by them shuffle the other side alone."""
     spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table_name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).saveAsTable(table_name)
+    return spark.table(table_name)
 
 
 def remove(spark: SparkSession, path: str) -> None:

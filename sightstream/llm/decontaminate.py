@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightstream.llm.common import Words, byte_set, lower_ascii, text_slices, tune, words_of
+from sightstream.llm.common import Words, byte_set, lower_ascii, text_slices, words_of
 
 WINDOW = 10
 
@@ -204,7 +204,6 @@ def _merged(spans):  # noqa: ANN001, ANN202
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, slop: int | None = None, slice_bytes: int = SLICE) -> DataFrame:
     """doc_id, row_key (hash of the text), n_words, spans (words inside exact matches: first, after the last), items (ids, sorted as strings), and with
     slop near_items (items of which a window is matched in proximity)."""
-    tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("row_key"))
     items = benchmark.select("item_id", F.col("text").cast("string"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

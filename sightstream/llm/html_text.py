@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from sightstream.llm.common import tune
+from sightstream.llm.common import bounded
 from sightstream.llm.html_pages import NAMES, pages
 
 #: Elements that are part of the line they stand in.
@@ -284,13 +284,12 @@ def extract(htmls: list[str | None], model: Model) -> list[str]:
 
 def main_text(table: DataFrame, model: Model | None = None) -> DataFrame:
     """The columns of table, text and n_chars. model: None trains one from generated labelled pages."""
-    tune(table.sparkSession)
     model = model or default_model()
     table = table.drop("text", "n_chars")
     at = table.columns.index("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches, at):
             out = extract(b.column(at).to_pylist(), model)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], [*b.schema.names, "text", "n_chars"])
 

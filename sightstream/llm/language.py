@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from sightstream.llm.common import text_slices, tune
+from sightstream.llm.common import bounded, text_slices
 
 WINDOW = 64
 HIDDEN = 8
@@ -205,13 +205,12 @@ def pooled(net: Net, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def predict(docs: DataFrame, net: Net) -> DataFrame:
     """The columns of docs, lang_pred and score (which replace columns of these names)."""
-    tune(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "_letters")
     schema = StructType([*docs.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches, at):
             known = b.column(b.num_columns - 1).to_pylist()
             lang, score = [UNKNOWN] * len(known), [0.0] * len(known)
             if net.langs:

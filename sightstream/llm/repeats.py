@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightstream.llm.common import SPACES, Words, byte_set, grams, mix, signed, text_slices, tune, words_of
+from sightstream.llm.common import SPACES, Words, bounded, byte_set, grams, mix, signed, text_slices, words_of
 
 K = 13
 M = 5
@@ -86,7 +86,7 @@ def paths(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """anchor, doc_id, path: a row for each path of a document, however often it is in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches, 1):
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, _, data, offsets in text_slices(b.column(1)):
                 doc, anchor, _, _, path = paths_of(words_of(data, offsets, _WORD), k, m)
@@ -100,7 +100,7 @@ def edges(marked: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """marked: doc_id, text, marks (path hashes, or null). -> path, doc_id: each window of the marked paths, as a path of one window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches, 1):
             b = b.filter(b.column(2).is_valid())
             if not b.num_rows:
                 continue
@@ -162,13 +162,12 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """doc_id, n_words, spans (removed words: first, after the last), kept (the other words, joined by one space)."""
     if not m <= k <= 128:
         raise ValueError("m <= k <= 128 is needed")
-    tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     dealt = docs.repartition("doc_id")
     joined = dealt.join(repeats(docs, dealt, k, m).hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches, 1):
             n_words, spans, kept = [], [], []
             found = b.column(2)
             path = found.flatten().to_numpy().view(np.uint64)

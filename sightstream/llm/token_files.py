@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightstream.llm.common import new_path, tune
+from sightstream.llm.common import bounded, new_path
 
 NO_ID = np.iinfo(np.int64).min
 MANIFEST = "shard long, docs long, tokens long"
@@ -118,7 +118,6 @@ def _get(path: str, name: str, dtype: str) -> np.ndarray:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0) -> dict:
     """Encodes docs (doc_id, text) and writes the folder; returns its manifest. end_id is appended to each document."""
     spark = docs.sparkSession
-    tune(spark)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task = encoder(tokenizer), TaskContext.get()
@@ -126,7 +125,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0) ->
         ids, lengths, s = [], [], task.partitionId()
 
         def chunks() -> Iterator[bytes]:
-            for b in batches:
+            for b in bounded(batches, 1):
                 ids.append(b.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False))
                 coded = enc([t or "" for t in b.column(1).to_pylist()])
                 lengths.append(np.fromiter(map(len, coded), np.int64, len(coded)) // enc.dtype.itemsize + bool(end))
