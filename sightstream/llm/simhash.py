@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightstream.llm.common import stored, tune
+from sightstream.llm.common import bounded, stored
 from sightstream.llm.components import components
 
 SHINGLE = 4
@@ -66,10 +66,9 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, row_key (hash of the text), fp (the 64 bits as a signed long)."""
-    tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches, 1):
             fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))], ["doc_id", "row_key", "fp"])
 
@@ -162,10 +161,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     distinct = by_doc.groupBy("fp").agg(F.min("doc_id").alias("first"))
     reach = components(links(distinct.select("fp"), bits))
     linked = reach.join(distinct, reach.node == distinct.fp).select("root", "fp", "first")
-    least = linked.groupBy("root").agg(F.min("first").alias("least"))
+    least = stored(linked.groupBy("root").agg(F.min("first").alias("least")), "least")
     named = linked.join(least, "root").select("fp", "root", "least")
     every = distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"), F.coalesce("least", "first").alias("component_id"))
-    # a table of its own, so that both sides are dealt out for the join alone and Spark can split a fingerprint with many rows
+    # tables of their own, so that both sides are dealt out for the join alone and Spark can split a root or fingerprint with many rows
     every = stored(every, "components")
     return by_doc.join(every, "fp").select("doc_id", "row_key", "fp", "group", "component_id")
 
