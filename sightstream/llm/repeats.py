@@ -1,20 +1,24 @@
 """Operator 2: removal of word sequences that an earlier document holds, over a compacted de Bruijn graph.
 
 Every run of K words is an edge of a de Bruijn graph. Edges are too many to shuffle one by one, so each document's
-edges are first compacted into paths: the run of K-word windows whose smallest M-word sequence (by hash) is the same
-occurrence. Equal windows always have an equal smallest sequence, so all occurrences of an edge meet under one anchor.
-
-1. Paths (anchor, doc_id, path hash), each once a document, are dealt out by anchor. An anchor of one document only is
-   done with.
-2. An anchor whose occurrences all carry one path hash does not branch: the path repeats as a whole, and every
-   occurrence after the smallest doc_id goes. This settles copies and shared passages without a row for each edge.
+edges are first compacted into paths: the run of K-word windows whose smallest M-word sequence (by hash), the anchor, is
+the same occurrence. Equal windows always have an equal anchor, so all occurrences of an edge meet under one.
+
+1. Anchors, each once a document, are counted: those of one document only are done with. The others are joined back to
+   their documents.
+2. There their paths are read again with where they stand: (anchor, digest of the words, document, first word, windows).
+   An anchor under which all digests are one does not branch: the path repeats as a whole, and its source is the place in
+   the smallest doc_id. This settles copies and shared passages without a row for each edge.
 3. Anchors that branch (the ends of repeated passages, common short sequences) are joined with their documents and
-   taken apart into edges; edges are dealt out by their hash, and those of a smaller doc_id repeat.
-4. The hashes of what repeats are joined with the source documents, where paths and windows are computed again: a place
-   is removed only if the words that stand there have a hash that was found. What is removed becomes spans.
+   taken apart into edges, which meet by the digest of their words; the source of an edge is its smallest doc_id's place.
+4. Each document gets what repeats of it, with its place and that of the source, by a join. A place is removed only if the
+   words that stand there have the digest of the source's words (128 bits of BLAKE2b, so that equal digests mean equal
+   words; 64-bit hashes only bring candidates together). So are other places of the same words in the document. Pieces
+   that follow each other here and in their source are one copy.
 
-Under an anchor, rows stream through a window function that spills. Text that repeats itself within a document gives no
-more rows than text that doesn't.
+Counts by anchor, digest and edge are aggregates that combine before the shuffle, joined back by the same key, so that
+Spark can split one that a third of all documents share. The texts are shuffled once: all joins with them keep all rows
+and share one exchange. Text that repeats itself within a document gives no more rows than text that doesn't.
 
 Nulls and ties: a null text has no words. A null doc_id neither loses words nor makes others lose them. Rows with one
 doc_id count as one document, each judged by its own text. Fewer than K words have no window. Other columns are
@@ -23,12 +27,12 @@ ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightstream.llm.common import SPACES, Words, bounded, byte_set, grams, mix, signed, text_slices, words_of
@@ -44,18 +48,12 @@ def path_hash(windows: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarr
     return mix(windows[start] * np.uint64(0x9E3779B97F4A7C15) + windows[start + n - 1] * np.uint64(0xC2B2AE3D27D4EB4F) + n.astype(np.uint64))
 
 
-def _windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all k-word windows, flags of those inside one document, and the document of each."""
-    w = grams(words.hash, k)
-    doc = words.doc
-    return w, doc[: len(w)] == doc[k - 1 :] if len(w) else np.zeros(0, bool), doc
-
-
 def paths_of(words: Words, k: int = K, m: int = M) -> tuple[np.ndarray, ...]:
     """(document, anchor, first window in the document, windows, path hash) for each path."""
-    w, valid, doc = _windows(words, k)
+    w, doc = grams(words.hash, k), words.doc
     if not len(w):
         return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    valid = doc[: len(w)] == doc[k - 1 :]
     g = grams(words.hash, m)
     n = len(w)
     least, where = g[:n].copy(), np.zeros(n, np.int8)
@@ -73,31 +71,48 @@ def paths_of(words: Words, k: int = K, m: int = M) -> tuple[np.ndarray, ...]:
     return doc[start], least[start], start - words.first[doc[start]], end - start, path_hash(w, start, end - start)
 
 
+def of_document(doc: np.ndarray, path: np.ndarray) -> np.ndarray:
+    return mix(path + (doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def once_a_document(doc: np.ndarray, path: np.ndarray) -> np.ndarray:
     """Indices of the first place of each path of each document."""
     return np.unique(of_document(doc, path), return_index=True)[1]
 
 
-def of_document(doc: np.ndarray, path: np.ndarray) -> np.ndarray:
-    return mix(path + (doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+def single(windows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Path hashes of one window each."""
+    return path_hash(windows, at, np.ones(len(at), np.int64)) if len(at) else np.zeros(0, np.uint64)
+
 
+def digests(words: Words, first: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """Of n_words words from each first word of the slice, joined by a space: two 64-bit integers."""
+    raw = words.data.tobytes()
+    starts, ends = words.start[first].tolist(), words.end[first + n_words - 1].tolist() if len(first) else []
+    found = b"".join(blake2b(b" ".join(raw[a:b].split()), digest_size=16).digest() for a, b in zip(starts, ends, strict=True))
+    return np.frombuffer(found, np.int64).reshape(-1, 2)
 
-def paths(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """anchor, doc_id, path: a row for each path of a document, however often it is in it."""
+
+def anchors(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
+    """anchor, doc_id: a row for each anchor of a document, however often it is in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches, 1):
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for b in batches:
+            ids = b.column(0).to_numpy()
             for lo, _, data, offsets in text_slices(b.column(1)):
-                doc, anchor, _, _, path = paths_of(words_of(data, offsets, _WORD), k, m)
-                one = once_a_document(doc, path)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(anchor[one])), pa.array(ids[lo + doc[one]]), pa.array(signed(path[one]))], ["anchor", "doc_id", "path"])
+                doc, anchor, _, _, _ = paths_of(words_of(data, offsets, _WORD), k, m)
+                one = once_a_document(doc, anchor)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(anchor[one])), pa.array(ids[lo + doc[one]])], ["anchor", "doc_id"])
 
-    return docs.where("doc_id is not null and text is not null").mapInArrow(run, "anchor long, doc_id long, path long")
+    return docs.where("text is not null").mapInArrow(run, "anchor long, doc_id long")
 
 
-def edges(marked: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """marked: doc_id, text, marks (path hashes, or null). -> path, doc_id: each window of the marked paths, as a path of one window."""
+PLACE = "anchor long, p long, q long, doc_id long, start long, n long"
+
+
+def places(marked: DataFrame, k: int = K, m: int = M, edges: bool = False) -> DataFrame:
+    """marked: doc_id, text, marks (anchors, or null). -> PLACE: the paths of the marked anchors, or each of their windows, by the
+    digest (p, q) of their words; each once a document, where it stands first. start counts words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, 1):
@@ -108,85 +123,123 @@ def edges(marked: DataFrame, k: int = K, m: int = M) -> DataFrame:
             flat, cut = marks.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(marks.value_lengths().to_numpy())])
             for lo, hi, data, offsets in text_slices(b.column(1)):
                 words = words_of(data, offsets, _WORD)
-                doc, _, start, n, path = paths_of(words, k, m)
+                doc, anchor, start, n, path = paths_of(words, k, m)
                 own = of_document(np.repeat(np.arange(hi - lo), np.diff(cut[lo : hi + 1])), flat[cut[lo] : cut[hi]])
-                hit = np.isin(of_document(doc, path), own)
-                doc, start, n = doc[hit], start[hit] + words.first[doc[hit]], n[hit]
-                at = np.repeat(start, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                doc = np.repeat(doc, n)
-                edge = single(grams(words.hash, k), at)
-                one = once_a_document(doc, edge)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(edge[one])), pa.array(ids[lo + doc[one]])], ["path", "doc_id"])
+                hit = np.isin(of_document(doc, anchor), own)
+                doc, anchor, start, n, path = doc[hit], anchor[hit], start[hit], n[hit], path[hit]
+                if edges:
+                    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    doc, anchor, start = np.repeat(doc, n), np.repeat(anchor, n), np.repeat(start, n) + inside
+                    n = np.ones(len(doc), np.int64)
+                    path = single(grams(words.hash, k), words.first[doc] + start)
+                one = np.sort(once_a_document(doc, path))
+                doc, anchor, start, n = doc[one], anchor[one], start[one], n[one]
+                pq = digests(words, words.first[doc] + start, n + k - 1)
+                columns = [signed(anchor), pq[:, 0].copy(), pq[:, 1].copy(), ids[lo + doc], start.astype(np.int64), n.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "p", "q", "doc_id", "start", "n"])
 
-    return marked.mapInArrow(run, "path long, doc_id long")
+    return marked.mapInArrow(run, PLACE)
 
 
-def single(windows: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Path hashes of one window each."""
-    return path_hash(windows, at, np.ones(len(at), np.int64)) if len(at) else np.zeros(0, np.uint64)
+SOURCE = "struct(doc_id, start)"
+FOUND = ["doc_id", "start", "n", "p", "source_id", "source_start"]
 
 
 def repeats(docs: DataFrame, dealt: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """docs: (doc_id, text); dealt: the same, dealt out by doc_id. -> doc_id, found: hashes of the paths and windows of it that
-    an earlier document holds. The joins on dealt keep all its rows, so that Spark shuffles the texts once for all of them."""
-    under = Window.partitionBy("anchor")
-    met = (
-        paths(docs, k, m)
-        .select("*", F.min("doc_id").over(under).alias("first"), F.max("doc_id").over(under).alias("last"), F.min("path").over(under).alias("low"), F.max("path").over(under).alias("high"))
-        .where("first < last")
-        .select("doc_id", "path", "first", F.expr("low = high").alias("whole"))
-        .where("not whole or doc_id > first")
-    )
-    by_doc = met.groupBy("doc_id").agg(F.collect_list(F.when(F.col("whole"), F.col("path"))).alias("settled"), F.collect_list(F.when(~F.col("whole"), F.col("path"))).alias("marks"))
-    marked = dealt.join(by_doc.where("size(marks) > 0").select("doc_id", "marks").hint("shuffle_hash"), "doc_id", "left")
-    met_again = edges(marked.select("doc_id", "text", "marks"), k, m).select("*", F.min("doc_id").over(Window.partitionBy("path")).alias("first")).where("doc_id > first")
-    parts = by_doc.select("doc_id", F.explode("settled").alias("path")).union(met_again.select("doc_id", "path"))
-    return parts.groupBy("doc_id").agg(F.collect_list("path").alias("found"))
-
-
-def removed(words: Words, found: np.ndarray, k: int = K, m: int = M) -> np.ndarray:
-    """Which words of a single document go: those of its paths and windows whose hash was found, wherever they are in it."""
+    """docs: (doc_id, text); dealt: the same, dealt out by doc_id. -> FOUND: places of a document whose words an earlier one holds,
+    and where."""
+    every = anchors(docs, k, m)
+    shared = every.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor")
+    marks = lambda rows: rows.groupBy("doc_id").agg(F.collect_list("anchor").alias("marks")).hint("shuffle_hash")
+    with_marks = lambda rows: dealt.join(marks(rows), "doc_id", "left").select("doc_id", "text", "marks")
+    paths = places(with_marks(every.join(shared, "anchor")), k, m)
+    least = lambda c: F.min(c).alias(f"low_{c}")
+    most = lambda c: F.max(c).alias(f"high_{c}")
+    facts = paths.groupBy("anchor").agg(least("p"), most("p"), least("q"), most("q"), F.min(F.expr(SOURCE)).alias("source")).withColumn("whole", F.expr("low_p = high_p and low_q = high_q")).select("anchor", "whole", "source")
+    judged = paths.join(facts, "anchor")
+    found = lambda rows: rows.where("doc_id > source.doc_id").select("doc_id", "start", "n", "p", F.col("source.doc_id").alias("source_id"), F.col("source.start").alias("source_start"))
+    edges = places(with_marks(judged.where("not whole").select("anchor", "doc_id").distinct()), k, m, edges=True)
+    sources = edges.groupBy("p").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("p")
+    again = edges.join(sources, "p")
+    source = again.groupBy("p", "q").agg(F.min(F.expr(SOURCE)).alias("source"))
+    return found(judged.where("whole")).union(found(again.join(source, ["p", "q"])))
+
+
+def removed(words: Words, start: np.ndarray, n: np.ndarray, p: np.ndarray, k: int = K, m: int = M) -> tuple[np.ndarray, np.ndarray]:
+    """(which words of a single document go, which of the places found are this text's): a place counts if its words have
+    the digest p, and so do other paths and windows of the text with the same words."""
     gone = np.zeros(len(words.hash) + 1, np.int64)
-    _, _, start, n, path = paths_of(words, k, m)
-    hit = np.isin(path, found)
-    np.add.at(gone, start[hit], 1)
-    np.add.at(gone, (start + n + k - 1)[hit], -1)
     w = grams(words.hash, k)
-    at = np.flatnonzero(np.isin(single(w, np.arange(len(w))), found))
-    np.add.at(gone, at, 1)
-    np.add.at(gone, at + k, -1)
-    return np.cumsum(gone[:-1]) > 0
+    inside = start + n <= len(w)
+    ours = np.zeros(len(start), bool)
+    at = np.flatnonzero(inside)
+    ours[at] = digests(words, start[at], n[at] + k - 1)[:, 0] == p[at]
+    wanted = dict(zip(path_hash(w, start[ours], n[ours]).tolist(), p[ours].tolist(), strict=True)) if ours.any() else {}
+    if wanted:
+        _, _, starts, many, path = paths_of(words, k, m)
+        alone = single(w, np.arange(len(w)))
+        keys = np.array(list(wanted), np.uint64)
+        np.add.at(gone, start[ours], 1)
+        np.add.at(gone, start[ours] + n[ours] + k - 1, -1)
+        whole, edge = np.isin(path, keys), np.flatnonzero(np.isin(alone, keys))
+        first = np.concatenate([starts[whole], edge])
+        length = np.concatenate([many[whole], np.ones(len(edge), np.int64)])
+        same = digests(words, first, length + k - 1)[:, 0] == np.array([wanted[h] for h in path_hash(w, first, length).tolist()], np.int64)
+        np.add.at(gone, first[same], 1)
+        np.add.at(gone, first[same] + length[same] + k - 1, -1)
+    return np.cumsum(gone[:-1]) > 0, ours
+
+
+def copies_of(start: np.ndarray, n: np.ndarray, source: np.ndarray, source_start: np.ndarray, k: int) -> list[list[int]]:
+    """[first word, word after the last, source's doc_id, its first word]: pieces that go on from one another, here and in the
+    source, are one."""
+    out: list[list[int]] = []
+    for a, m, s, b in sorted(zip(start.tolist(), n.tolist(), source.tolist(), source_start.tolist(), strict=True)):
+        end = a + m + k - 1
+        if out and out[-1][2] == s and a <= out[-1][1] - k + 1 and b - a == out[-1][3] - out[-1][0]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([a, end, s, b])
+    return out
 
 
 def remove_repeats(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """doc_id, n_words, spans (removed words: first, after the last), kept (the other words, joined by one space)."""
+    """doc_id, n_words, spans (removed words: first, after the last), copies (where repeated words have their source, see
+    copies_of), kept (the other words, joined by one space)."""
     if not m <= k <= 128:
         raise ValueError("m <= k <= 128 is needed")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    dealt = docs.repartition("doc_id")
-    joined = dealt.join(repeats(docs, dealt, k, m).hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "found")
+    known = docs.where("doc_id is not null")
+    dealt = known.repartition("doc_id")
+    by_doc = repeats(known, dealt, k, m).groupBy("doc_id").agg(F.collect_list(F.struct(*FOUND[1:])).alias("found"))
+    joined = dealt.join(by_doc.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "found")
+    joined = joined.union(docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast(joined.schema["found"].dataType)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, 1):
-            n_words, spans, kept = [], [], []
+            n_words, spans, copies, kept = [], [], [], []
             found = b.column(2)
-            path = found.flatten().to_numpy().view(np.uint64)
+            columns = [c.to_numpy() for c in found.flatten().flatten()]
             cut = np.concatenate([[0], np.cumsum(found.value_lengths().fill_null(0).to_numpy())])
             for i, text in enumerate(b.column(1)):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 own = raw.split()
                 n_words.append(len(own))
                 gone = np.zeros(0, bool)
+                copies.append([])
                 if cut[i + 1] > cut[i]:
+                    start, n, p, source, source_start = (c[cut[i] : cut[i + 1]] for c in columns)
                     data = np.frombuffer(raw, np.uint8)
-                    gone = removed(words_of(data, np.array([0, len(data)]), _WORD), path[cut[i] : cut[i + 1]], k, m)
+                    gone, ours = removed(words_of(data, np.array([0, len(data)]), _WORD), start, n, p, k, m)
                     own = [own[j] for j in np.flatnonzero(~gone)]
+                    copies[-1] = copies_of(start[ours], n[ours], source[ours], source_start[ours], k)
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 spans.append(edge.reshape(-1, 2).tolist())
                 kept.append(b" ".join(own).decode())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.string())], ["doc_id", "n_words", "spans", "kept"])
+            pairs = pa.list_(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pairs), pa.array(copies, pairs), pa.array(kept, pa.string())], ["doc_id", "n_words", "spans", "copies", "kept"])
 
-    return joined.mapInArrow(run, "doc_id long, n_words long, spans array<array<long>>, kept string")
+    return joined.mapInArrow(run, "doc_id long, n_words long, spans array<array<long>>, copies array<array<long>>, kept string")
 
 
 def op2(docs: DataFrame) -> DataFrame:
