@@ -1,16 +1,21 @@
 """Operator 7: passages of a benchmark in documents, by a positional inverted index that is distributed by document.
 
-Each task holds the postings (positions) of the benchmark's terms in its own documents. A first pass over the documents
-counts the terms, so that every window of an item knows its rarest term. The second pass starts from the posting list
-of that term alone, moves each posting by the term's offset to the place where the window would start, and intersects
-with the lists of the other terms, from the next rarest on. What is left are exact phrase matches. With slop, a window
-also matches in proximity: its rarest distinct terms, in any order, all within slop words of each other.
+The index is a table: documents are cut into segments of about SEGMENT bytes, and a row for each segment and term holds the
+term's posting list, its positions in the segment as differences; a row without a term holds the segment's documents and
+how many words each has. Texts are read once, to build it; searches read the index alone.
 
-Only the benchmark goes to every task, and only SLICE bytes of it: a larger one is processed slice by slice, by item.
+A search takes the rows of the benchmark's terms and brings those of a segment together. Summed lengths of the lists tell
+each window of an item its rarest term. Of that list alone each posting is moved by the term's offset to the place where
+the window would start, and the places are intersected with the lists of the other terms, moved likewise, from the next
+rarest on. What is left are exact phrase matches. For matches in proximity, the same postings are intersected with
+stretches of the other lists: every term of the window has to be within SLOP words of the rarest one, in any order.
+
+To every task goes a slice of the benchmark: its terms, its words as 4-byte numbers and, for each window, 19 bytes. SLICE
+bounds what is sent; a larger benchmark goes slice by slice over one index.
 
 Nulls and ties: a null text has no words, an item without words matches nothing, a null item_id covers words but is not
-named. Items with one id count once. Rows with one doc_id are judged each by its own text. Other columns are ignored.
-An empty benchmark hits nothing; no documents give no rows.
+named. Items with one id count once. Of equally rare terms the first of the window counts as rarest. Rows with one doc_id
+are judged each by its own text. Other columns are ignored. An empty benchmark hits nothing; no documents give no rows.
 """
 
 from __future__ import annotations
@@ -20,18 +25,23 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightstream.llm.common import Words, byte_set, lower_ascii, text_slices, words_of
+from sightstream.llm.common import Words, byte_set, lower_ascii, stored, text_slices, words_of
 
 WINDOW = 10
 
-#: Bytes of benchmark text that a task is given at once.
-SLICE = 8 << 20
+#: How far the words of a window may be from its rarest one for a match in proximity.
+SLOP = 10
+
+#: Bytes that a task is sent of a benchmark at once, as one 6 bytes of text are taken to be a word.
+SLICE = 32 << 20
+SENT_PER_BYTE = 4
 
-#: Rarest distinct terms that a match in proximity needs.
-RAREST = 3
+#: Bytes of text in a segment of the index. A longer document is a segment of its own.
+SEGMENT = 8 << 20
 
 _WORD = byte_set(bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 
@@ -40,154 +50,181 @@ def index_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return words_of(lower_ascii(data), offsets, _WORD)
 
 
+INDEX = "segment long, term long, postings array<int>, docs array<struct<doc_id: long, row_key: long, n: int>>"
+
+
+def index(docs: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """docs: doc_id, text, row_key -> INDEX, in the shared folder. Positions count a segment's words; the first of a list is one
+    itself, the others are differences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 24
+        hashes, counts, rows, size = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            h, n = np.concatenate(hashes), np.concatenate(counts)
+            order = np.argsort(h, kind="stable")
+            h = h[order]
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+            gaps = np.diff(order, prepend=0)
+            gaps[starts] = order[starts]
+            t = len(starts)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([starts, [len(h)], [len(h)]]).astype(np.int32)), pa.array(gaps.astype(np.int32)))
+            held = pa.Table.from_batches(rows)
+            kind = pa.struct([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int32())])
+            docs = pa.StructArray.from_arrays([held["doc_id"].combine_chunks(), held["row_key"].combine_chunks(), pa.array(n.astype(np.int32))], fields=list(kind))
+            docs = pa.ListArray.from_arrays(pa.array([*[None] * t, 0, len(n)], pa.int32()), docs) if not t else pa.concat_arrays([pa.nulls(t, pa.list_(kind)), pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), docs)])
+            terms = pa.array(np.concatenate([h[starts].view(np.int64), [0]]), mask=np.arange(t + 1) == t)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(t + 1, number)), terms, lists, docs], ["segment", "term", "postings", "docs"])
+
+        for b in batches:
+            for lo, hi, data, offsets in text_slices(b.column(1)):
+                words = index_words(data, offsets)
+                hashes.append(words.hash)
+                counts.append(np.diff(words.first))
+                rows.append(pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo)], ["doc_id", "row_key"]))
+                size += len(data)
+                if size >= segment:
+                    yield out()
+                    hashes, counts, rows, size, number = [], [], [], 0, number + 1
+        if rows:
+            yield out()
+
+    return stored(docs.select("doc_id", "text", "row_key").mapInArrow(run, INDEX), "postings")
+
+
 class Probes(NamedTuple):
-    """Windows of items, ready for search."""
-
-    terms: np.ndarray  # hashes of all terms, ascending
-    item: np.ndarray  # item of each window
-    size: np.ndarray  # words of each window
-    hash: np.ndarray  # windows x WINDOW
-    order: np.ndarray  # windows x WINDOW: offsets, rarest term first
-    anchors: np.ndarray  # terms that are the rarest of a window, ascending
-    cut: np.ndarray  # windows of anchor i are by_anchor[cut[i]:cut[i + 1]]
-    by_anchor: np.ndarray
+    """Windows of a slice of items, ready for search."""
+
+    terms: np.ndarray  # hashes of all terms, ascending, as signed integers
+    words: np.ndarray  # uint32: the terms of the items' words, one item after another
+    start: np.ndarray  # uint32: where each window begins in words
+    item: np.ndarray  # uint32: item of each window
+    size: np.ndarray  # uint8: words of each window
+    order: np.ndarray  # uint8, windows x WINDOW: offsets, rarest term first
+    by_anchor: np.ndarray  # windows in the order of their rarest terms
+    cut: np.ndarray  # windows whose rarest term is t are by_anchor[cut[t]:cut[t + 1]]
     ids: list[str | None]
 
 
-def item_windows(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(item, words, hashes) of each distinct window of each item."""
-    items, sizes, rows = [], [], []
-    base = 0
-    for _, hi, data, offsets in text_slices(pa.array(texts, pa.string())):
-        words = index_words(data, offsets)
-        for i in range(len(offsets) - 1):
-            h = words.hash[words.first[i] : words.first[i + 1]]
-            k = min(n, len(h))
-            if k:
-                w = np.unique(np.lib.stride_tricks.sliding_window_view(h, k), axis=0)
-                items.append(np.full(len(w), base + i))
-                sizes.append(np.full(len(w), k))
-                rows.append(np.pad(w, ((0, 0), (0, n - k))))
-        base = hi
-    if not rows:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros((0, n), np.uint64)
-    return np.concatenate(items), np.concatenate(sizes), np.concatenate(rows)
-
-
-def probes(ids: list[str | None], windows: tuple[np.ndarray, np.ndarray, np.ndarray], terms: np.ndarray, count: np.ndarray) -> Probes:
-    item, size, h = windows
-    there = np.arange(h.shape[1]) < size[:, None]
-    freq = np.where(there, count[np.minimum(np.searchsorted(terms, h), len(terms) - 1)], np.iinfo(np.int64).max)
-    order = np.argsort(freq, axis=1, kind="stable")
-    anchor = np.take_along_axis(h, order[:, :1], 1)[:, 0]
-    anchors, inverse = np.unique(anchor, return_inverse=True)
-    return Probes(terms, item, size, h, order, anchors, np.concatenate([[0], np.cumsum(np.bincount(inverse, minlength=len(anchors)))]), np.argsort(inverse, kind="stable"), ids)
-
-
-def phrases(words: Words, p: Probes) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, window) of each exact match."""
-    h = words.hash
+def item_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all items' words, number of words before each item and in all)."""
+    hashes, counts = [np.zeros(0, np.uint64)], []
+    for _, _, data, offsets in text_slices(pa.array(texts, pa.string())):
+        w = index_words(data, offsets)
+        hashes.append(w.hash)
+        counts.append(np.diff(w.first))
+    return np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1, np.int64)
+
+
+def probes(ids: list[str | None], hashes: np.ndarray, first: np.ndarray, terms: np.ndarray, count: np.ndarray, n: int) -> Probes:
+    words = np.searchsorted(terms, hashes.view(np.int64)).astype(np.uint32)
+    length = np.diff(first)
+    k = np.minimum(n, length)
+    many = np.where(k > 0, length - k + 1, 0)
+    item = np.repeat(np.arange(len(length)), many)
+    start = np.repeat(first[:-1], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    size = k[item]
+    there = np.arange(n) < size[:, None]
+    at = np.minimum(start[:, None] + np.arange(n), max(len(words) - 1, 0))
+    freq = np.where(there, count[words[at]], np.iinfo(np.int64).max) if len(start) else np.zeros((0, n), np.int64)
+    order = np.argsort(freq, axis=1, kind="stable").astype(np.uint8)
+    anchor = words[start + order[:, 0]] if len(start) else np.zeros(0, np.int64)
+    cut = np.concatenate([[0], np.cumsum(np.bincount(anchor, minlength=len(terms)))])
+    return Probes(terms, words, start.astype(np.uint32), item.astype(np.uint32), size.astype(np.uint8), order, np.argsort(anchor, kind="stable").astype(np.uint32), cut, ids)
+
+
+def found_in(posting: np.ndarray, first: np.ndarray, p: Probes, slop: int | None) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """posting: ascending term << 32 | position. first: words before each document and in all. -> (first word, window) of each
+    exact match and (place of the rarest term, window) of each match in proximity."""
     none = np.zeros(0, np.int64)
-    if not len(h) or not len(p.anchors):
-        return none, none
-    a = np.minimum(np.searchsorted(p.anchors, h), len(p.anchors) - 1)
-    pos = np.flatnonzero(p.anchors[a] == h)
-    a = a[pos]
-    n = p.cut[a + 1] - p.cut[a]
-    w = p.by_anchor[np.repeat(p.cut[a], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
-    pos = np.repeat(pos, n)
-    doc_of = np.searchsorted(words.first, pos, "right") - 1
+    if not len(posting) or not len(p.start):
+        return (none, none), (none, none)
+    term, pos = posting >> 32, posting & 0xFFFFFFFF
+    many = p.cut[term + 1] - p.cut[term]
+    pos, w = np.repeat(pos, many), p.by_anchor[np.repeat(p.cut[term], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)]
+    doc = np.searchsorted(first, pos, "right") - 1
+    lowest, highest = first[doc], first[doc + 1]
+
+    def holds(w: np.ndarray, r: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether the list of the windows' r-th rarest term has a place from low to high."""
+        wanted = p.words[p.start[w].astype(np.int64) + p.order[w, r]].astype(np.int64) << 32
+        i = np.searchsorted(posting, wanted | low)
+        return (i < len(posting)) & (posting[np.minimum(i, len(posting) - 1)] <= (wanted | high))
+
     start = pos - p.order[w, 0]
-    fits = (start >= words.first[doc_of]) & (start + p.size[w] <= words.first[doc_of + 1])
-    start, w = start[fits], w[fits]
-    for r in range(1, p.hash.shape[1]):
-        if not len(w):
+    fits = (start >= lowest) & (start + p.size[w] <= highest)
+    exact, ew = start[fits], w[fits]
+    for r in range(1, p.order.shape[1]):
+        more = np.flatnonzero(r < p.size[ew])
+        if not len(more):
             break
-        off = p.order[w, r]
-        same = (r >= p.size[w]) | (h[np.minimum(start + off, len(h) - 1)] == p.hash[w, off])
-        start, w = start[same], w[same]
-    return start, w
+        place = exact[more] + p.order[ew[more], r]
+        keep = np.ones(len(ew), bool)
+        keep[more] = holds(ew[more], r, place, place)
+        exact, ew = exact[keep], ew[keep]
+    if slop is None:
+        return (exact, ew), (none, none)
+    low, high = np.maximum(pos - slop, lowest), np.minimum(pos + slop, highest - 1)
+    for r in range(1, p.order.shape[1]):
+        more = np.flatnonzero(r < p.size[w])
+        if not len(more):
+            break
+        keep = np.ones(len(w), bool)
+        keep[more] = holds(w[more], r, low[more], high[more])
+        pos, w, low, high = pos[keep], w[keep], low[keep], high[keep]
+    return (exact, ew), (pos, w)
 
 
-def nearby(words: Words, p: Probes, slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the rarest term, window) where the window's rarest distinct terms are within slop words around it."""
-    h = words.hash
-    none = np.zeros(0, np.int64)
-    if not len(h) or not len(p.terms):
-        return none, none
-    t = np.minimum(np.searchsorted(p.terms, h), len(p.terms) - 1)
-    at = np.flatnonzero(p.terms[t] == h)
-    posting = np.sort(t[at].astype(np.int64) << 32 | at)
-    starts, windows = [], []
-    for w in range(len(p.item)):
-        own = list(dict.fromkeys(np.searchsorted(p.terms, p.hash[w, p.order[w, : p.size[w]]]).tolist()))[:RAREST]
-        lo, hi = np.searchsorted(posting, [own[0] << 32, (own[0] + 1) << 32])
-        pos = posting[lo:hi] & 0xFFFFFFFF
-        doc = np.searchsorted(words.first, pos, "right") - 1
-        for term in own[1:]:
-            low, high = np.maximum(pos - slop, words.first[doc]), np.minimum(pos + slop, words.first[doc + 1] - 1)
-            i = np.searchsorted(posting, term << 32 | low)
-            hit = (i < len(posting)) & (posting[np.minimum(i, len(posting) - 1)] <= (term << 32 | high))
-            pos, doc = pos[hit], doc[hit]
-        starts.append(pos)
-        windows.append(np.full(len(pos), w))
-    return (np.concatenate(starts), np.concatenate(windows)) if starts else (none, none)
-
-
-def term_counts(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
-    """How often each term is in the documents: summed in the tasks, then by Spark; a row for each term comes back."""
-    held = docs.sparkSession.sparkContext.broadcast(terms)
+HITS = "doc_id long, row_key long, n_words long, spans array<array<long>>, items array<string>, near_items array<string>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = held.value
-        n = np.zeros(len(terms), np.int64)
-        for b in batches:
-            for _, _, data, offsets in text_slices(b.column(0)):
-                h = index_words(data, offsets).hash
-                t = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-                n += np.bincount(t[terms[t] == h], minlength=len(terms))
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["term", "n"])
 
+def _search(postings: DataFrame, items: list, n: int, slop: int | None) -> DataFrame:
+    spark = postings.sparkSession
+    ids = [None if r.item_id is None else str(r.item_id) for r in items]
+    hashes, first = item_words([r.text for r in items])
+    terms = np.unique(hashes.view(np.int64))
+    wanted = spark.createDataFrame(pa.table({"term": pa.array(terms, pa.int64())}).to_pandas(), "term long")
+    rows = postings.where("term is not null").join(wanted, "term", "left_semi").select("segment", "term", "postings", F.lit(None).cast("array<struct<doc_id: long, row_key: long, n: int>>").alias("docs"))
     count = np.zeros(len(terms), np.int64)
-    if len(terms):
-        for r in docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
-            count[r.term] = r.n
-    return count
+    for r in rows.groupBy("term").agg(F.sum(F.size("postings")).alias("n")).toLocalIterator():
+        count[np.searchsorted(terms, r.term)] = r.n
+    held = spark.sparkContext.broadcast(probes(ids, hashes, first, terms, count, n))
 
-
-def _search(docs: DataFrame, items: list, n: int, slop: int | None) -> DataFrame:
-    ids, texts = [None if r.item_id is None else str(r.item_id) for r in items], [r.text for r in items]
-    windows = item_windows(texts, n)
-    there = np.arange(n) < windows[1][:, None]
-    terms = np.unique(windows[2][there])
-    held = docs.sparkSession.sparkContext.broadcast(probes(ids, windows, terms, term_counts(docs, terms)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(t: pa.Table) -> pa.Table:
         p = held.value
-        for b in batches:
-            for lo, hi, data, offsets in text_slices(b.column(1)):
-                words = index_words(data, offsets)
-                start, w = phrases(words, p)
-                cover = np.zeros(len(words.hash) + 1, np.int64)
-                np.add.at(cover, start, 1)
-                np.add.at(cover, start + p.size[w], -1)
-                covered = np.cumsum(cover[:-1]) > 0
-                spans, named, close = [[] for _ in range(hi - lo)], [set() for _ in range(hi - lo)], [set() for _ in range(hi - lo)]
-                for d in np.unique(np.searchsorted(words.first, start, "right") - 1):
-                    c = covered[words.first[d] : words.first[d + 1]]
-                    spans[d] = np.flatnonzero(np.diff(np.concatenate([[0], c.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
-                for out, (s, v) in ((named, (start, w)), (close, nearby(words, p, slop) if slop is not None else (start[:0], w[:0]))):
-                    for d, i in {*zip((np.searchsorted(words.first, s, "right") - 1).tolist(), p.item[v].tolist(), strict=True)}:
-                        if p.ids[i] is not None:
-                            out[d].add(p.ids[i])
-                kind = pa.list_(pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[lo:hi], b.column(2)[lo:hi], pa.array(np.diff(words.first)), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in named], kind), pa.array([sorted(x) for x in close], kind)],
-                    ["doc_id", "row_key", "n_words", "spans", "items", "near_items"],
-                )
-
-    return docs.mapInArrow(run, "doc_id long, row_key long, n_words long, spans array<array<long>>, items array<string>, near_items array<string>")
+        facts = t.filter(pa.compute.is_null(t["term"]))["docs"].combine_chunks().flatten()
+        lists = t.filter(pa.compute.is_valid(t["term"]))
+        term = np.searchsorted(p.terms, lists["term"].to_numpy())
+        by_term = np.argsort(term, kind="stable")
+        lists, term = lists.take(pa.array(by_term)), term[by_term]
+        found = lists["postings"].combine_chunks()
+        many, gaps = found.value_lengths().to_numpy(), found.flatten().to_numpy().astype(np.int64)
+        pos = np.cumsum(gaps)
+        before = np.cumsum(many) - many
+        pos -= np.repeat(np.concatenate([[0], pos])[before], many) if len(pos) else 0
+        first = np.concatenate([[0], np.cumsum(facts.field(2).to_numpy())]).astype(np.int64)
+        (start, w), (near, v) = found_in(np.repeat(term.astype(np.int64) << 32, many) | pos, first, p, slop)
+        cover = np.zeros(int(first[-1]) + 1, np.int64)
+        np.add.at(cover, start, 1)
+        np.add.at(cover, start + p.size[w], -1)
+        covered = np.cumsum(cover[:-1]) > 0
+        spans, named, close = ([[] for _ in range(len(facts))], *([set() for _ in range(len(facts))] for _ in "ab"))
+        for d in np.unique(np.searchsorted(first, start, "right") - 1):
+            c = covered[first[d] : first[d + 1]]
+            spans[d] = np.flatnonzero(np.diff(np.concatenate([[0], c.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
+        for out, (s, x) in ((named, (start, w)), (close, (near, v))):
+            pairs = np.unique((np.searchsorted(first, s, "right") - 1) << 32 | p.item[x]) if len(s) else np.zeros(0, np.int64)
+            for d, i in zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist(), strict=True):
+                if p.ids[i] is not None:
+                    out[d].add(p.ids[i])
+        kind = pa.list_(pa.string())
+        return pa.table(
+            [facts.field(0), facts.field(1), pa.array(np.diff(first)), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in named], kind), pa.array([sorted(x) for x in close], kind)],
+            ["doc_id", "row_key", "n_words", "spans", "items", "near_items"],
+        )
+
+    return rows.union(postings.where("term is null").select("segment", "term", "postings", "docs")).groupBy("segment").applyInArrow(run, HITS)
 
 
 def _merged(spans):  # noqa: ANN001, ANN202
@@ -201,17 +238,22 @@ def _merged(spans):  # noqa: ANN001, ANN202
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, slop: int | None = None, slice_bytes: int = SLICE) -> DataFrame:
-    """doc_id, row_key (hash of the text), n_words, spans (words inside exact matches: first, after the last), items (ids, sorted as strings), and with
-    slop near_items (items of which a window is matched in proximity)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, slop: int | None = SLOP, slice_bytes: int = SLICE) -> DataFrame:
+    """doc_id, row_key (hash of the text), n_words, spans (words inside exact matches: first, after the last), items (ids, sorted as strings), and
+    near_items (items of which a window is matched in proximity; none if slop is None)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("row_key"))
+    return search(index(docs), benchmark, n, slop, slice_bytes)
+
+
+def search(postings: DataFrame, benchmark: DataFrame, n: int = WINDOW, slop: int | None = SLOP, slice_bytes: int = SLICE) -> DataFrame:
+    """postings: what index() gave. -> the columns of contamination."""
     items = benchmark.select("item_id", F.col("text").cast("string"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = -(-max(total, 1) // slice_bytes)
+    slices = -(-max(total * SENT_PER_BYTE, 1) // slice_bytes)
     of = F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(slices))
     out = None
     for k in range(slices):
-        found = _search(docs, items.where(of == k).collect(), n, slop)
+        found = _search(postings, items.where(of == k).collect(), n, slop)
         if out is None:
             out = found
             continue
@@ -224,7 +266,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, slop:
 
 
 def op7(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The contract's columns, and near_items long, near_sha256 for matches in proximity."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    named = lambda c: F.sha2(F.array_join(c, ","), 256)
     return contamination(docs, benchmark).select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), named("items").alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.size("near_items").cast("long").alias("near_items"), named("near_items").alias("near_sha256")
     )

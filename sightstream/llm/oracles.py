@@ -28,7 +28,7 @@ WITH d AS (
 ), b AS (
   SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS words, least(len({_WORDS}), 10) AS k FROM benchmark
 ), g AS (
-  SELECT DISTINCT item, k, array_to_string(words[i + 1 : i + k], ' ') AS gram FROM (SELECT item, words, k, unnest(range(len(words) - k + 1)) AS i FROM b WHERE k > 0)
+  SELECT DISTINCT item, k, words[i + 1 : i + k] AS terms, array_to_string(words[i + 1 : i + k], ' ') AS gram FROM (SELECT item, words, k, unnest(range(len(words) - k + 1)) AS i FROM b WHERE k > 0)
 ), w AS (
   SELECT doc_id, k, i, array_to_string(words[i + 1 : i + k], ' ') AS gram FROM (SELECT doc_id, words, k, unnest(range(greatest(len(words) - k + 1, 0))) AS i FROM d, (SELECT DISTINCT k FROM g))
 ), m AS (
@@ -37,7 +37,22 @@ WITH d AS (
   SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, p FROM (SELECT DISTINCT doc_id, i, k, unnest(range(i, i + k)) AS p FROM m)) GROUP BY doc_id
 ), items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id
+), tokens AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM d
+), freq AS (
+  SELECT word, count(*) AS n FROM tokens GROUP BY word
+), parts AS (
+  SELECT gram, unnest(terms) AS word, unnest(range(k)) AS o FROM (SELECT DISTINCT gram, terms, k FROM g)
+), rarest AS (
+  SELECT gram, first(p.word ORDER BY coalesce(f.n, 0), o) AS word FROM parts p LEFT JOIN freq f ON f.word = p.word GROUP BY gram
+), spots AS (
+  SELECT DISTINCT r.gram, t.doc_id, t.i FROM rarest r JOIN tokens t ON t.word = r.word
+), close AS (
+  SELECT DISTINCT s.doc_id, g.item FROM spots s JOIN d ON d.doc_id = s.doc_id JOIN g ON g.gram = s.gram WHERE list_has_all(d.words[greatest(s.i - 9, 1) : s.i + 11], g.terms)
+), near AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS listed FROM close GROUP BY doc_id
 )
-SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items.listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  CAST(coalesce(near.n, 0) AS BIGINT) AS near_items, sha256(coalesce(near.listed, '')) AS near_sha256
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id LEFT JOIN near ON near.doc_id = d.doc_id
 """

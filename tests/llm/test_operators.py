@@ -60,7 +60,7 @@ ITEMS = [(1, "This line IS in many documents"), (2, "abc"), (10, None), (11, "..
         (lambda d, s: token_files.op1(d, TOK), lambda d: brute.op1(d, TOK)),
         (lambda d, s: repeats.op2(d), brute.op2),
         (lambda d, s: simhash.op5(d), brute.op5),
-        (lambda d, s: decontaminate.op7(d, s.createDataFrame(ITEMS, "item_id long, text string")), lambda d: brute.op7(d, [x for x in ITEMS if x[0] is not None])),
+        (lambda d, s: decontaminate.op7(d, s.createDataFrame(ITEMS, "item_id long, text string")).drop("near_items", "near_sha256"), lambda d: brute.op7(d, [x for x in ITEMS if x[0] is not None])),
         (lambda d, s: lines.op8(d), brute.op8),
     ],
     ids=["op1", "op2", "op5", "op7", "op8"],
@@ -321,10 +321,77 @@ def test_broken_markup_ends():
 def test_benchmark_in_slices_and_proximity(spark, docs):
     items = spark.createDataFrame([(i, t) for i, t in ITEMS if i], "item_id long, text string")
     df = frame(spark, docs)
-    whole = {(r.doc_id, r.n_words, str(r.spans), str(r["items"])) for r in decontaminate.contamination(df, items).collect()}
-    cut = {(r.doc_id, r.n_words, str(r.spans), str(r["items"])) for r in decontaminate.contamination(df, items, slice_bytes=12).collect()}
-    assert whole == cut
-    near = spark.createDataFrame([(1, "documents we have: is many of them in this line"), (2, "line")], "doc_id long, text string")
+    hits = lambda **k: {(r.doc_id, r.n_words, str(r.spans), str(r["items"]), str(r.near_items)) for r in decontaminate.contamination(df, items, **k).collect()}
+    assert hits() == hits(slice_bytes=48)
+    near = spark.createDataFrame([(1, "documents we have: is many of them in this line"), (2, "line"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: (r["items"], r.near_items) for r in decontaminate.contamination(near, items.where("item_id = 1"), slop=12).collect()}
-    assert got == {1: ([], ["1"]), 2: ([], [])}
-    assert [r.contaminated for r in decontaminate.op7(near, items.limit(0)).collect()] == [False, False]
+    assert got == {1: ([], ["1"]), 2: ([], []), 3: ([], [])}
+    assert [r.contaminated for r in decontaminate.op7(near, items.limit(0)).collect()] == [False] * 3
+    assert [(r.n_words, r.n_hit, r.n_items) for r in decontaminate.op7(near.limit(0), items).collect()] == []
+
+
+def test_proximity_against_all_places(spark, monkeypatch):
+    """Every term of a window within slop words of the window's rarest term, the first of equally rare ones; many segments."""
+    r = random.Random(12)
+    words = lambda n: [f"{r.choice('abcdefgh')}{r.choice('xyz')}" for _ in range(n)]
+    docs = [(i, words(r.choice([0, 1, 5, 40, 200]))) for i in range(60)]
+    items = [(i, words(r.choice([1, 2, 4, 6, 12]))) for i in range(30)]
+    index = decontaminate.index(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").withColumn("row_key", F.xxhash64("text")), segment=200)
+    assert index.select("segment").distinct().count() > 4
+    got = {x.doc_id: set(x.near_items) for x in decontaminate.search(index, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"), n=5, slop=6).collect()}
+    count = {}
+    for _, w in docs:
+        for x in w:
+            count[x] = count.get(x, 0) + 1
+    want = {i: set() for i, _ in docs}
+    for item, w in items:
+        k = min(5, len(w))
+        for s in range(len(w) - k + 1):
+            window = w[s : s + k]
+            rarest = min(range(k), key=lambda o: (count.get(window[o], 0), o))
+            for i, text in docs:
+                if any(x == window[rarest] and set(window) <= set(text[max(0, at - 6) : at + 7]) for at, x in enumerate(text)):
+                    want[i].add(str(item))
+    assert got == want and sum(map(len, want.values())) > 50
+
+
+def test_copies_are_where_the_words_are(spark, docs):
+    """Coordinates of repeated words and of their source, held against the texts."""
+    found = 0
+    for r in repeats.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        own = brute.WORD.findall(dict(docs)[r.doc_id] or "")
+        covered = set()
+        for a, b, source, at in r.copies:
+            assert source < r.doc_id and own[a:b] == brute.WORD.findall(dict(docs)[source])[at : at + b - a]
+            covered |= set(range(a, b))
+            found += b - a >= 50
+        assert covered <= {j for a, b in r.spans for j in range(a, b)}
+    assert found > 5
+
+
+def test_equal_hashes_of_other_words_remove_nothing(monkeypatch):
+    """All path hashes collide: only places whose words have the digest go."""
+    monkeypatch.setattr(repeats, "path_hash", lambda w, start, n: np.full(len(start), 7, np.uint64))
+    raw = np.frombuffer(" ".join(f"w{i}" for i in range(40)).encode(), np.uint8)
+    words = words_of(raw, np.array([0, len(raw)]), byte_set(b" "))
+    start, n = np.array([3]), np.array([2])
+    right = repeats.digests(words, start, n + repeats.K - 1)[:, 0]
+    gone, ours = repeats.removed(words, start, n, right + 1)
+    assert not gone.any() and not ours.any()
+    gone, ours = repeats.removed(words, start, n, right)
+    assert np.flatnonzero(gone).tolist() == list(range(3, 3 + 2 + repeats.K - 1)) and ours.all()
+
+
+def test_anchors_that_branch_and_repeated_ids(spark, monkeypatch):
+    """Passages that begin and end in the middle of other texts; rows with one doc_id keep what only they share."""
+    r = random.Random(14)
+    passage = [f"p{i}" for i in range(40)]
+    texts = []
+    for i in range(30):
+        a, b = sorted(r.sample(range(41), 2))
+        texts.append((i, " ".join([f"u{i}_{j}" for j in range(r.randrange(9))] + passage[a:b] + [f"v{i}_{j}" for j in range(r.randrange(9))] + passage[a:b][:20])))
+    assert rows(repeats.op2(spark.createDataFrame(texts, "doc_id long, text string"))) == sorted(brute.op2(texts))
+    same = spark.createDataFrame([(5, " ".join(passage)), (5, "x " + " ".join(passage)), (None, " ".join(passage))], "doc_id long, text string")
+    assert [x.n_removed for x in repeats.op2(same).collect()] == [0, 0, 0]
+    later = same.union(spark.createDataFrame([(6, "y " + " ".join(passage) + " z")], same.schema))
+    assert sorted(x.n_removed for x in repeats.op2(later).collect()) == [0, 0, 0, 40]
