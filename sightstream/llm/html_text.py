@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -96,6 +97,7 @@ def attributes(tag: str, raw: str) -> tuple[int, ...]:
 def parse(page: str) -> Tree:
     parent, depth, tags, kinds, marked, linked, segments = [-1], [0], [_TAG["other"]], [()], [False], [0], []
     stack: list[tuple[str, int]] = [("", 0)]
+    opened: defaultdict[str, list[int]] = defaultdict(lambda: [-1])  # where each tag is in the stack, so that nothing is searched for, however deep it is
     buffer: list[str] = []
     link = False
 
@@ -109,6 +111,11 @@ def parse(page: str) -> Tree:
             buffer.clear()
         link = False
 
+    def close() -> str:
+        tag = stack.pop()[0]
+        opened[tag].pop()
+        return tag
+
     def text(raw: str) -> None:
         if raw:
             buffer.append(raw)
@@ -130,9 +137,9 @@ def parse(page: str) -> Tree:
         if m[1]:
             if tag == "a":
                 link = False
-            elif tag not in INLINE and tag not in VOID and any(t == tag for t, _ in stack):
+            elif tag not in INLINE and tag not in VOID and opened[tag][-1] > 0:
                 flush()
-                while stack.pop()[0] != tag:
+                while close() != tag:
                     pass
             continue
         if tag in INLINE:
@@ -145,21 +152,17 @@ def parse(page: str) -> Tree:
             continue
         if tag in HIDDEN:
             if not m[3].endswith("/"):
-                close = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
+                closing = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(page, at)
+                at = closing.end() if closing else end
             if tag not in ("script", "style", "template", "noscript"):
                 buffer.append(" ")
             continue
         flush()
         if stack[-1][0] == "p":
-            stack.pop()
-        if tag in ENDS:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ENDS[tag]:
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPE:
-                    break
+            close()
+        if tag in ENDS and (last := max(opened[t][-1] for t in ENDS[tag])) > max(opened[t][-1] for t in SCOPE - ENDS[tag]):
+            while len(stack) > last:
+                close()
         node, up = len(parent), stack[-1][1]
         parent.append(up)
         depth.append(depth[up] + 1)
@@ -169,6 +172,7 @@ def parse(page: str) -> Tree:
         linked.append(0)
         if not m[3].endswith("/"):
             stack.append((tag, node))
+            opened[tag].append(len(stack) - 1)
     flush()
     return Tree(parent, depth, tags, kinds, marked, segments, linked)
 
