@@ -99,11 +99,32 @@ def _local(path: str) -> str | None:
 
 
 def _put(path: str, name: str, attempt: str, chunks: Iterator[bytes]) -> None:
+    """Written aside and renamed. A task that runs again may find the file there: it is the same, so its own goes. Some stores
+    refuse to rename onto a file, which then is the same case."""
     store, at = _store(path)
-    with store.open_output_stream(f"{at}/_{name}.{attempt}") as f:
+    aside, whole = f"{at}/_{name}.{attempt}", f"{at}/{name}"
+    with store.open_output_stream(aside) as f:
         for c in chunks:
             f.write(c)
-    store.move(f"{at}/_{name}.{attempt}", f"{at}/{name}")
+    there = lambda: store.get_file_info(whole).type.name == "File"
+    try:
+        if not there():
+            store.move(aside, whole)
+            return
+    except OSError:
+        if not there():
+            raise
+    store.delete_file(aside)
+
+
+def _tidy(path: str) -> None:
+    """What attempts that failed have left goes, once all files are whole."""
+    from pyarrow import fs
+
+    store, at = _store(path)
+    for f in store.get_file_info(fs.FileSelector(at)):
+        if f.base_name.startswith("_"):
+            store.delete_file(f.path)
 
 
 def _get(path: str, name: str, dtype: str) -> np.ndarray:
@@ -159,6 +180,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0) ->
             yield b
 
     _each(spark, shards).mapInArrow(offsets, "shard long").count()
+    _tidy(path)
     _put(path, "manifest.json", "driver", iter([json.dumps(manifest).encode()]))
     return manifest
 

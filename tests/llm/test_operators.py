@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,26 @@ def test_token_files_give_back_all_ids(spark, docs, tmp_path):
     assert manifest["tokens"] == sum(map(len, got.values()))
 
 
+def test_a_file_that_is_there_stays(tmp_path):
+    """A task that runs again, as after a lost executor, and what failed attempts leave."""
+    token_files._put(str(tmp_path), "tokens-000000.bin", "1", iter([b"ab", b"c"]))
+    token_files._put(str(tmp_path), "tokens-000000.bin", "2", iter([b"abc"]))
+    (tmp_path / "_tokens-000001.bin.7").write_bytes(b"half")
+    token_files._tidy(str(tmp_path))
+    assert {p.name: p.read_bytes() for p in tmp_path.iterdir()} == {"tokens-000000.bin": b"abc"}
+
+
+def test_batches_are_bounded_by_bytes(monkeypatch):
+    from sightstream.llm import common
+
+    monkeypatch.setattr(common, "BYTES", 100)
+    monkeypatch.setattr(common, "ROWS", 7)
+    texts = ["x" * n for n in (0, 250, 40, 40, 40, 0, 99, 1, 1)] + [None] * 20
+    parts = list(common.bounded([pa.RecordBatch.from_arrays([pa.array(range(29)), pa.array(texts)], ["i", "t"])] * 2, 1))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == texts * 2
+    assert all(p.num_rows <= 7 and (p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= 100) for p in parts)
+
+
 def test_pieces_are_encoded_as_the_whole():
     enc = token_files.PieceEncoder(TOK)
     texts = ["a b", " a  b ", "it's\nhere \n x", "  ", "tab\t end", "é ß", "a  b", "1 2 ,x ! y", "a 　b", "don't 've"]
@@ -214,6 +235,103 @@ def test_lm_is_better_than_its_base_and_counts_right(spark):
     assert [tuple(x)[1:5] for x in lm.op6(spark.createDataFrame([(2, "a b")], "doc_id long, text string")).collect()] == [(brute.zlib.crc32(b"2") % 5 == 1, 3, 3, 3)]
 
 
+def test_lm_scores_against_plain_counts(spark):
+    """Counts, held-out estimates, weights by expectation-maximisation and scores, from dictionaries."""
+    import math
+    import zlib
+    from collections import Counter
+
+    r = random.Random(21)
+    texts = [(i, " ".join(r.choices("a b c d e f".split(), [9, 5, 3, 2, 1, 1], k=r.randrange(0, 30)))) for i in range(150)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    fold = {x.doc_id for x in df.where(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(lm.FOLDS)) == 0).collect()}
+    toks = {i: [*t.split(), None] for i, t in texts}
+    learns = lambda i: zlib.crc32(str(i).encode()) % 5 != 1
+    pairs = lambda t: list(zip([None, *t[:-1]], t, strict=True))
+    word, pair, held_word, held_pair = Counter(), Counter(), Counter(), Counter()
+    for i, t in toks.items():
+        if learns(i):
+            word.update(t)
+            pair.update(pairs(t))
+            if i in fold:
+                held_word.update(t)
+                held_pair.update(pairs(t))
+    n, v, rest = sum(word.values()), len(word), sum((word - held_word).values())
+    bucket = lambda c: min(int(math.log2(c)) + 1 if c else 0, lm.BUCKETS - 1)
+    cell = lambda p: min(max(int(math.floor(-2 * math.log2(p))), 0), lm.CELLS - 2) + 1 if p else 0
+    sums = {}
+    for i in sorted(fold):
+        for a, b in pairs(toks[i]) if learns(i) else ():
+            cv, c1, c2 = word[a] - held_word[a], word[b] - held_word[b], pair[a, b] - held_pair[a, b]
+            p2, p1 = c2 / max(cv, 1), c1 / rest
+            s = sums.setdefault((bucket(cv), cell(p2), cell(p1)), [0, 0.0, 0.0])
+            s[0], s[1], s[2] = s[0] + 1, s[1] + p2, s[2] + p1
+    weights, common = [[0.5, 0.4, 0.1] for _ in range(lm.BUCKETS)], [0.5, 0.4, 0.1]
+    for _ in range(lm.EM_ROUNDS):
+        got = [[0.0] * 3 for _ in range(lm.BUCKETS)]
+        for (b, _, _), (count, s2, s1) in sums.items():
+            part = [w * p for w, p in zip(weights[b], (s2 / count, s1 / count, 1 / (v + 1)), strict=True)]
+            for j in range(3):
+                got[b][j] += count * part[j] / sum(part)
+        total = sum(map(sum, got))
+        common = [sum(g[j] for g in got) / total for j in range(3)]
+        weights = [[(g[j] + common[j]) / (sum(g) + 1) for j in range(3)] for g in got]
+    weights[0] = [0.0, *(x / (weights[0][1] + weights[0][2]) for x in weights[0][1:])]
+    assert len(sums) > 10
+    for x in lm.op6(df).collect():
+        want = 0.0
+        for a, b in pairs(toks[x.doc_id]):
+            w = weights[bucket(word[a])]
+            want += math.log10(w[0] * pair[a, b] / max(word[a], 1) + w[1] * word[b] / n + w[2] / (v + 1))
+        assert math.isclose(x.score, want, rel_tol=1e-9)
+
+
+def test_rows_with_one_doc_id_have_their_own_results(spark):
+    """Repeated ids by value: each row is fingerprinted, scored, searched and told for its own text; equal rows alike."""
+    from collections import Counter
+
+    texts = [(1, "alpha beta gamma delta epsilon zeta"), (1, "one two three four five six"), (1, "one two three four five six"), (2, "one two three four five six"), (None, None), (None, "alpha")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    fp = lambda t: f"{brute.fingerprint(t):016x}"
+    assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash.op5(df).collect()) == Counter((i, fp(t), None if i is None else 1) for i, t in texts)
+    assert Counter((r.doc_id, r.n_tokens) for r in lm.op6(df).collect()) == Counter((i, len((t or "").split()) + 1) for i, t in texts)
+    items = spark.createDataFrame([(7, "three four five")], "item_id long, text string")
+    assert Counter((r.doc_id, r.n_words, r.n_hit) for r in decontaminate.op7(df, items).collect()) == Counter((i, len((t or "").split()), 3 if t and "three" in t else 0) for i, t in texts)
+    langs = df.withColumn("lang", F.lit("en"))
+    assert Counter((r.doc_id, r.lang_pred) for r in language.op10(langs).collect()) == Counter((i, "en" if t else "und") for i, t in texts)
+    mixed = Counter((r.doc_id, r.text) for r in mixing.op3(df.withColumn("source", F.lit("s"))).collect())
+    assert mixed[1, texts[1][1]] == 2 * mixed[1, texts[0][1]] and mixed[None, None] == mixed[None, "alpha"]
+
+
+def test_language_forward_pass_and_ties():
+    """Probabilities of a text against a plain loop over its windows; equal ones go to the language first by name."""
+    rng = np.random.default_rng(3)
+    k, langs = 2, ["aa", "bb", "cc"]
+    f32 = lambda *shape: rng.normal(0, 0.5, shape).astype(np.float32)
+    net = language.Net(langs, (f32(2 * k, 257), f32(2 * k, 257)), (f32(2 * k, k), f32(2 * k, k)), f32(3, 2 * k), f32(3))
+    raw = "Größe 12, pas de problème; ".encode() * 5
+    sums, letters = np.zeros(3), 0
+    for lo in range(0, len(raw), language.WINDOW):
+        seq = [*raw[lo : lo + language.WINDOW]]
+        seq += [language.PAD] * (language.WINDOW - len(seq))
+        states = []
+        for x, u, order in ((net.x[0], net.u[0], seq), (net.x[1], net.u[1], seq[::-1])):
+            h, out = np.zeros(k), []
+            for byte in order:
+                gate = 1 / (1 + np.exp(-(x[:k, byte] + u[:k] @ h)))
+                h = h + gate * (np.tanh(x[k:, byte] + gate * (u[k:] @ h)) - h)
+                out.append(h)
+            states.append(out)
+        for byte, a, b in zip(seq, states[0], states[1][::-1], strict=True):
+            if byte != language.PAD and (byte >= 128 or chr(byte).isalpha()):
+                z = np.exp(net.out @ np.concatenate([a, b]) + net.bias)
+                sums, letters = sums + z / z.sum(), letters + 1
+    got = language.pooled(net, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+    assert np.allclose(got, sums / letters, atol=1e-5)
+    flat = language.Net(langs, net.x, net.u, np.zeros((3, 2 * k), np.float32), np.zeros(3, np.float32))
+    assert langs[int(language.pooled(flat, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].argmax())] == "aa"
+
+
 def test_lm_packs_hashes():
     rng = np.random.default_rng(4)
     for keys in (np.zeros(0, np.uint64), np.array([0, 5, 1 << 63], np.uint64), np.unique(rng.integers(0, 1 << 40, 999, dtype=np.uint64))):
@@ -318,6 +436,19 @@ def test_broken_markup_ends():
         html_text.parse(page)
 
 
+def test_deep_pages_take_linear_time():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        for page in ("<div>" * n + "</x>" * n, "<li>" + "<b1>" * n + "<li>" * n, "<td>" + "<q1>" * n + "<tr>" * n, "<div>" * n + "</div>" * n):
+            html_text.parse(page)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(16_000) < 12 * max(took(4000), 0.05)
+
+
 def test_benchmark_in_slices_and_proximity(spark, docs):
     items = spark.createDataFrame([(i, t) for i, t in ITEMS if i], "item_id long, text string")
     df = frame(spark, docs)
