@@ -35,16 +35,6 @@ def bounded(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBat
             lo = hi
 
 
-def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
-    """df as a table in the shared folder, dealt out by keys: joins by them shuffle the other side alone."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = new_path(spark, name)
-    table_name = path.rsplit("/", 1)[1].replace("-", "_")
-    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).saveAsTable(table_name)
-    return spark.table(table_name)
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder by Hadoop's file system, whatever store it is in."""
     jvm = spark.sparkContext._jvm
