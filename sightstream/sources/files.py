@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Whether Spark deletes a query's shuffle files once it has run.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir. A local master, whose only machine sees all, may
     leave it unset."""
@@ -26,9 +30,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again: computed once, and outlives any executor."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    """Written to the shared folder and read again: computed once, and outlives any executor. What was shuffled for it goes
+    when it is written."""
+    path, conf = new_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(SHUFFLES_GO)
+    conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(SHUFFLES_GO, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
