@@ -17,8 +17,8 @@ the same occurrence. Equal windows always have an equal anchor, so all occurrenc
    that follow each other here and in their source are one copy.
 
 Counts by anchor, digest and edge are aggregates that combine before the shuffle, joined back by the same key, so that
-Spark can split one that a third of all documents share. The texts are shuffled once: all joins with them keep all rows
-and share one exchange. Text that repeats itself within a document gives no more rows than text that doesn't.
+Spark can split one that a third of all documents share. Text that repeats itself within a document gives no more rows than
+text that doesn't.
 
 Nulls and ties: a null text has no words. A null doc_id neither loses words nor makes others lose them. Rows with one
 doc_id count as one document, each judged by its own text. Fewer than K words have no window. Other columns are
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightstream.llm.common import SPACES, Words, bounded, byte_set, grams, mix, signed, text_slices, words_of
+from sightstream.llm.common import SPACES, Words, bounded, byte_set, grams, mix, signed, stored, text_slices, words_of
 
 K = 13
 M = 5
@@ -145,24 +145,26 @@ SOURCE = "struct(doc_id, start)"
 FOUND = ["doc_id", "start", "n", "p", "source_id", "source_start"]
 
 
-def repeats(docs: DataFrame, dealt: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """docs: (doc_id, text); dealt: the same, dealt out by doc_id. -> FOUND: places of a document whose words an earlier one holds,
-    and where."""
+def repeats(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
+    """docs: doc_id, text -> FOUND: places of a document whose words an earlier one holds, and where.
+
+    Each step is a table in the shared folder, so that what was shuffled for it goes before the next."""
     every = anchors(docs, k, m)
     shared = every.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor")
-    marks = lambda rows: rows.groupBy("doc_id").agg(F.collect_list("anchor").alias("marks")).hint("shuffle_hash")
-    with_marks = lambda rows: dealt.join(marks(rows), "doc_id", "left").select("doc_id", "text", "marks")
-    paths = places(with_marks(every.join(shared, "anchor")), k, m)
+    marks = lambda rows, name: stored(rows.groupBy("doc_id").agg(F.collect_list("anchor").alias("marks")), name)
+    marked = lambda marks: docs.join(marks, "doc_id").select("doc_id", "text", "marks")
+    paths = stored(places(marked(marks(every.join(shared, "anchor"), "marks")), k, m), "paths")
     least = lambda c: F.min(c).alias(f"low_{c}")
     most = lambda c: F.max(c).alias(f"high_{c}")
-    facts = paths.groupBy("anchor").agg(least("p"), most("p"), least("q"), most("q"), F.min(F.expr(SOURCE)).alias("source")).withColumn("whole", F.expr("low_p = high_p and low_q = high_q")).select("anchor", "whole", "source")
-    judged = paths.join(facts, "anchor")
+    facts = stored(paths.groupBy("anchor").agg(least("p"), most("p"), least("q"), most("q"), F.min(F.expr(SOURCE)).alias("source")), "anchors")
+    judged = paths.join(facts.select("anchor", F.expr("low_p = high_p and low_q = high_q").alias("whole"), "source"), "anchor")
     found = lambda rows: rows.where("doc_id > source.doc_id").select("doc_id", "start", "n", "p", F.col("source.doc_id").alias("source_id"), F.col("source.start").alias("source_start"))
-    edges = places(with_marks(judged.where("not whole").select("anchor", "doc_id").distinct()), k, m, edges=True)
-    sources = edges.groupBy("p").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("p")
-    again = edges.join(sources, "p")
-    source = again.groupBy("p", "q").agg(F.min(F.expr(SOURCE)).alias("source"))
-    return found(judged.where("whole")).union(found(again.join(source, ["p", "q"])))
+    whole = stored(found(judged.where("whole")), "whole")
+    edges = stored(places(marked(marks(judged.where("not whole").select("anchor", "doc_id").distinct(), "branches")), k, m, edges=True), "edges")
+    sources = stored(edges.groupBy("p").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("p"), "edge-keys")
+    again = stored(edges.join(sources, "p"), "edges-again")
+    source = stored(again.groupBy("p", "q").agg(F.min(F.expr(SOURCE)).alias("source")), "edge-sources")
+    return whole.union(found(again.join(source, ["p", "q"])))
 
 
 def removed(words: Words, start: np.ndarray, n: np.ndarray, p: np.ndarray, k: int = K, m: int = M) -> tuple[np.ndarray, np.ndarray]:
@@ -210,9 +212,8 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
         raise ValueError("m <= k <= 128 is needed")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     known = docs.where("doc_id is not null")
-    dealt = known.repartition("doc_id")
-    by_doc = repeats(known, dealt, k, m).groupBy("doc_id").agg(F.collect_list(F.struct(*FOUND[1:])).alias("found"))
-    joined = dealt.join(by_doc.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "found")
+    by_doc = stored(repeats(known, k, m).groupBy("doc_id").agg(F.collect_list(F.struct(*FOUND[1:])).alias("found")), "repeats")
+    joined = known.join(by_doc, "doc_id", "left").select("doc_id", "text", "found")
     joined = joined.union(docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast(joined.schema["found"].dataType)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
