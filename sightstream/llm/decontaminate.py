@@ -41,7 +41,7 @@ SLICE = 32 << 20
 SENT_PER_BYTE = 4
 
 #: Bytes of text in a segment of the index. A longer document is a segment of its own.
-SEGMENT = 8 << 20
+SEGMENT = 16 << 20
 
 _WORD = byte_set(bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 
@@ -184,7 +184,8 @@ def _search(postings: DataFrame, items: list, n: int, slop: int | None) -> DataF
     ids = [None if r.item_id is None else str(r.item_id) for r in items]
     hashes, first = item_words([r.text for r in items])
     terms = np.unique(hashes.view(np.int64))
-    wanted = spark.createDataFrame(pa.table({"term": pa.array(terms, pa.int64())}).to_pandas(), "term long")
+    # a row for each term of the slice, which SLICE bounds: the index's other rows stay where they are
+    wanted = F.broadcast(spark.createDataFrame(pa.table({"term": pa.array(terms, pa.int64())}).to_pandas(), "term long"))
     rows = postings.where("term is not null").join(wanted, "term", "left_semi").select("segment", "term", "postings", F.lit(None).cast("array<struct<doc_id: long, row_key: long, n: int>>").alias("docs"))
     count = np.zeros(len(terms), np.int64)
     for r in rows.groupBy("term").agg(F.sum(F.size("postings")).alias("n")).toLocalIterator():

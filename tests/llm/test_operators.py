@@ -406,6 +406,39 @@ def test_main_text(spark, model):
     assert html_text.op9(df.limit(0)).count() == 0
 
 
+def test_main_text_of_the_tables_pages(spark, sf_dir, model):
+    """All pages of the table, whose article is marked by its element, against the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.depth, self.hidden, self.parts = 0, 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            self.hidden += tag in ("script", "style")
+
+        def handle_endtag(self, tag):
+            self.depth -= tag == "article"
+            self.hidden -= tag in ("script", "style")
+
+        def handle_data(self, data):
+            if self.depth and not self.hidden:
+                self.parts.append(data)
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        a = Article()
+        a.feed(r.html or "")
+        a.close()
+        want[r.page_id] = "".join("".join(a.parts).split())
+    got = {r.page_id: r for r in html_text.main_text(pages, model).collect()}
+    assert {i: "".join(r.text.split()) for i, r in got.items()} == want and any(want.values())
+    assert all(r.n_chars == len(r.text) and r.text == " ".join(r.text.split()) for r in got.values())
+
+
 def test_main_text_of_held_out_pages(model):
     right = total = 0
     for page in html_text.pages(150, seed=99):
