@@ -150,7 +150,7 @@ def repeats(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
 
     Each step is a table in the shared folder, so that what was shuffled for it goes before the next."""
     every = anchors(docs, k, m)
-    shared = every.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor")
+    shared = stored(every.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor"), "shared")
     marks = lambda rows, name: stored(rows.groupBy("doc_id").agg(F.collect_list("anchor").alias("marks")), name)
     marked = lambda marks: docs.join(marks, "doc_id").select("doc_id", "text", "marks")
     paths = stored(places(marked(marks(every.join(shared, "anchor"), "marks")), k, m), "paths")
@@ -167,28 +167,33 @@ def repeats(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     return whole.union(found(again.join(source, ["p", "q"])))
 
 
-def removed(words: Words, start: np.ndarray, n: np.ndarray, p: np.ndarray, k: int = K, m: int = M) -> tuple[np.ndarray, np.ndarray]:
-    """(which words of a single document go, which of the places found are this text's): a place counts if its words have
-    the digest p, and so do other paths and windows of the text with the same words."""
+def removed(words: Words, doc: np.ndarray, start: np.ndarray, n: np.ndarray, p: np.ndarray, k: int = K, m: int = M) -> tuple[np.ndarray, np.ndarray]:
+    """Places found (document, first word in it, windows, digest) -> (which words of the slice go, which places are right). A
+    place is right if its words have the digest p. Its words go, and so do other paths and windows of that document with
+    the same words."""
     gone = np.zeros(len(words.hash) + 1, np.int64)
     w = grams(words.hash, k)
-    inside = start + n <= len(w)
-    ours = np.zeros(len(start), bool)
-    at = np.flatnonzero(inside)
-    ours[at] = digests(words, start[at], n[at] + k - 1)[:, 0] == p[at]
-    wanted = dict(zip(path_hash(w, start[ours], n[ours]).tolist(), p[ours].tolist(), strict=True)) if ours.any() else {}
-    if wanted:
-        _, _, starts, many, path = paths_of(words, k, m)
-        alone = single(w, np.arange(len(w)))
-        keys = np.array(list(wanted), np.uint64)
-        np.add.at(gone, start[ours], 1)
-        np.add.at(gone, start[ours] + n[ours] + k - 1, -1)
-        whole, edge = np.isin(path, keys), np.flatnonzero(np.isin(alone, keys))
-        first = np.concatenate([starts[whole], edge])
-        length = np.concatenate([many[whole], np.ones(len(edge), np.int64)])
-        same = digests(words, first, length + k - 1)[:, 0] == np.array([wanted[h] for h in path_hash(w, first, length).tolist()], np.int64)
-        np.add.at(gone, first[same], 1)
-        np.add.at(gone, first[same] + length[same] + k - 1, -1)
+    at = words.first[doc] + start
+    ours = at + n + k - 1 <= words.first[doc + 1]
+    some = np.flatnonzero(ours)
+    ours[some] = digests(words, at[some], n[some] + k - 1)[:, 0] == p[some]
+    doc, at, n, p = doc[ours], at[ours], n[ours], p[ours]
+    if not len(at):
+        return np.zeros(len(words.hash), bool), ours
+    key, first = np.unique(of_document(doc, path_hash(w, at, n)), return_index=True)
+    p = p[first]
+    of = words.doc
+    path_doc, _, path_start, many, path = paths_of(words, k, m)
+    valid = np.flatnonzero(of[: len(w)] == of[k - 1 :])
+    place = np.concatenate([words.first[path_doc] + path_start, valid])
+    length = np.concatenate([many, np.ones(len(valid), np.int64)])
+    own = np.concatenate([of_document(path_doc, path), of_document(of[valid], single(w, valid))])
+    i = np.minimum(np.searchsorted(key, own), len(key) - 1)
+    hit = np.flatnonzero((key[i] == own) & ~np.isin(place << 8 | length, at << 8 | n))
+    hit = hit[digests(words, place[hit], length[hit] + k - 1)[:, 0] == p[i[hit]]]
+    for a, many in ((at, n), (place[hit], length[hit])):
+        np.add.at(gone, a, 1)
+        np.add.at(gone, a + many + k - 1, -1)
     return np.cumsum(gone[:-1]) > 0, ours
 
 
@@ -222,21 +227,26 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
             found = b.column(2)
             columns = [c.to_numpy() for c in found.flatten().flatten()]
             cut = np.concatenate([[0], np.cumsum(found.value_lengths().fill_null(0).to_numpy())])
-            for i, text in enumerate(b.column(1)):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                own = raw.split()
-                n_words.append(len(own))
-                gone = np.zeros(0, bool)
-                copies.append([])
-                if cut[i + 1] > cut[i]:
-                    start, n, p, source, source_start = (c[cut[i] : cut[i + 1]] for c in columns)
-                    data = np.frombuffer(raw, np.uint8)
-                    gone, ours = removed(words_of(data, np.array([0, len(data)]), _WORD), start, n, p, k, m)
-                    own = [own[j] for j in np.flatnonzero(~gone)]
-                    copies[-1] = copies_of(start[ours], n[ours], source[ours], source_start[ours], k)
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                spans.append(edge.reshape(-1, 2).tolist())
-                kept.append(b" ".join(own).decode())
+            for lo, hi, data, offsets in text_slices(b.column(1)):
+                words = words_of(data, offsets, _WORD)
+                start, n, p, source, source_start = (c[cut[lo] : cut[hi]] for c in columns)
+                doc = np.repeat(np.arange(hi - lo), np.diff(cut[lo : hi + 1]))
+                gone, ours = removed(words, doc, start, n, p, k, m)
+                lost = np.concatenate([[0], np.cumsum(gone)])[words.first]
+                raw = data.tobytes()
+                for i in range(hi - lo):
+                    own = raw[offsets[i] : offsets[i + 1]].split()
+                    n_words.append(len(own))
+                    spans.append([])
+                    copies.append([])
+                    if lost[i + 1] > lost[i]:
+                        away = gone[words.first[i] : words.first[i + 1]]
+                        spans[-1] = np.flatnonzero(np.diff(np.concatenate([[0], away.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
+                        mine = slice(cut[lo + i] - cut[lo], cut[lo + i + 1] - cut[lo])
+                        right = np.flatnonzero(ours[mine]) + mine.start
+                        copies[-1] = copies_of(start[right], n[right], source[right], source_start[right], k)
+                        own = [own[j] for j in np.flatnonzero(~away).tolist()]
+                    kept.append(b" ".join(own).decode())
             pairs = pa.list_(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pairs), pa.array(copies, pairs), pa.array(kept, pa.string())], ["doc_id", "n_words", "spans", "copies", "kept"])
 

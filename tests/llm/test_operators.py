@@ -538,11 +538,11 @@ def test_equal_hashes_of_other_words_remove_nothing(monkeypatch):
     monkeypatch.setattr(repeats, "path_hash", lambda w, start, n: np.full(len(start), 7, np.uint64))
     raw = np.frombuffer(" ".join(f"w{i}" for i in range(40)).encode(), np.uint8)
     words = words_of(raw, np.array([0, len(raw)]), byte_set(b" "))
-    start, n = np.array([3]), np.array([2])
+    doc, start, n = np.array([0]), np.array([3]), np.array([2])
     right = repeats.digests(words, start, n + repeats.K - 1)[:, 0]
-    gone, ours = repeats.removed(words, start, n, right + 1)
+    gone, ours = repeats.removed(words, doc, start, n, right + 1)
     assert not gone.any() and not ours.any()
-    gone, ours = repeats.removed(words, start, n, right)
+    gone, ours = repeats.removed(words, doc, start, n, right)
     assert np.flatnonzero(gone).tolist() == list(range(3, 3 + 2 + repeats.K - 1)) and ours.all()
 
 
