@@ -16,13 +16,26 @@ __all__ = ["new_path", "shared_dir", "stored"]
 
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 
-#: Rows, and bytes of their texts, that a task's Python works on at once. Spark bounds a batch by 64 MB; a longer text is alone.
+#: Rows, and bytes of their texts, that a task's Python works on at once; a longer text is alone.
 ROWS, BYTES = 512, 4 << 20
 
 #: Bytes of text that one numpy pass works on. A longer document is one pass of its own.
 SLICE_BYTES = 1 << 20
 
 
+#: Bytes of an Arrow batch. Spark's own bound, 64 MB, is held by the JVM and by Python for each task, beside what is made of it.
+BATCH = "4m"
+
+
+def tune(df: DataFrame) -> DataFrame:
+    """df, whose session has Arrow batches of BATCH bytes from now on, unless it was given a bound of its own. Plans read the
+    setting when they run, so that it can't be set back here."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == str(64 << 20) + "b":
+        conf.set(key, BATCH)
+    return df
+
+
 def bounded(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ROWS rows whose texts, in column `at`, have BYTES bytes at most."""
     for b in batches:

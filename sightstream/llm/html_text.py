@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from sightstream.llm.common import bounded
+from sightstream.llm.common import bounded, tune
 from sightstream.llm.html_pages import NAMES, pages
 
 #: Elements that are part of the line they stand in.
@@ -289,7 +289,7 @@ def extract(htmls: list[str | None], model: Model) -> list[str]:
 def main_text(table: DataFrame, model: Model | None = None) -> DataFrame:
     """The columns of table, text and n_chars. model: None trains one from generated labelled pages."""
     model = model or default_model()
-    table = table.drop("text", "n_chars")
+    table = tune(table).drop("text", "n_chars")
     at = table.columns.index("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

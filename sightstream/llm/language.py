@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from sightstream.llm.common import bounded, text_slices
+from sightstream.llm.common import bounded, text_slices, tune
 
 WINDOW = 64
 HIDDEN = 8
@@ -205,7 +205,7 @@ def pooled(net: Net, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def predict(docs: DataFrame, net: Net) -> DataFrame:
     """The columns of docs, lang_pred and score (which replace columns of these names)."""
-    docs = docs.drop("lang_pred", "score", "_letters")
+    docs = tune(docs).drop("lang_pred", "score", "_letters")
     schema = StructType([*docs.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     at = docs.columns.index("text")
 

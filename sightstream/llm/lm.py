@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightstream.llm.common import SPACES, byte_set, lower_ascii, mix, stored, text_slices, words_of
+from sightstream.llm.common import SPACES, byte_set, lower_ascii, mix, stored, text_slices, tune, words_of
 
 #: Bytes of text in a chunk, on average, and in each range of hashes, as many bytes' n-grams.
 CHUNK = 16 << 20
@@ -212,7 +212,7 @@ def learn_weights(cell: np.ndarray, tokens: np.ndarray, s2: np.ndarray, s1: np.n
 
 def score(docs: DataFrame, learns: Column) -> DataFrame:
     """doc_id, kind, n_tokens, n_known, train_tokens, base_score, score. learns: condition on docs for training documents."""
-    chunks, ranges = chunked(docs, learns)
+    chunks, ranges = chunked(tune(docs), learns)
     totals = stored(totals_of(blocks_of(chunks, ranges)), "lm-counts")
     n, n_fold, v = (int(x or 0) for x in totals.where("chunk = -1").agg(F.sum("n"), F.sum("n_fold"), F.sum("v")).first())
     rows = held_out_histogram(chunks, totals, n - n_fold).orderBy("cell").collect()

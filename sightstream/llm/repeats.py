@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightstream.llm.common import SPACES, Words, bounded, byte_set, grams, mix, signed, stored, text_slices, words_of
+from sightstream.llm.common import SPACES, Words, bounded, byte_set, grams, mix, signed, stored, text_slices, tune, words_of
 
 K = 13
 M = 5
@@ -215,7 +215,7 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     copies_of), kept (the other words, joined by one space)."""
     if not m <= k <= 128:
         raise ValueError("m <= k <= 128 is needed")
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = tune(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     known = docs.where("doc_id is not null")
     by_doc = stored(repeats(known, k, m).groupBy("doc_id").agg(F.collect_list(F.struct(*FOUND[1:])).alias("found")), "repeats")
     joined = known.join(by_doc, "doc_id", "left").select("doc_id", "text", "found")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightstream.llm.common import bounded, stored
+from sightstream.llm.common import bounded, stored, tune
 from sightstream.llm.components import components
 
 SHINGLE = 4
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))], ["doc_id", "row_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("row_key")).mapInArrow(run, "doc_id long, row_key long, fp long")
+    return tune(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("row_key")).mapInArrow(run, "doc_id long, row_key long, fp long")
 
 
 def near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightstream.llm.common import bounded, new_path
+from sightstream.llm.common import bounded, new_path, tune
 
 NO_ID = np.iinfo(np.int64).min
 MANIFEST = "shard long, docs long, tokens long"
@@ -163,7 +163,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0) ->
 
     store, at = _store(path)
     store.create_dir(at, recursive=True)
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = tune(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     shards = sorted((r.asDict() for r in ordered.mapInArrow(shard, MANIFEST).collect()), key=lambda r: r["shard"])
     base = 0
     for r in shards:
