@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -36,6 +38,13 @@ def tune(df: DataFrame) -> DataFrame:
     return df
 
 
+def trim() -> None:
+    """Memory that a worker has freed goes back to the machine, since workers wait for later tasks beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def bounded(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ROWS rows whose texts, in column `at`, have BYTES bytes at most."""
     for b in batches:
@@ -46,6 +55,7 @@ def bounded(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBat
             hi = min(lo + ROWS, max(lo + 1, int(np.searchsorted(size, before + BYTES, "right"))), b.num_rows)
             yield b.slice(lo, hi - lo)
             lo = hi
+    trim()
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightstream.llm.common import Words, byte_set, lower_ascii, stored, text_slices, tune, words_of
+from sightstream.llm.common import Words, byte_set, lower_ascii, stored, text_slices, trim, tune, words_of
 
 WINDOW = 10
 
@@ -41,7 +41,7 @@ SLICE = 32 << 20
 SENT_PER_BYTE = 4
 
 #: Bytes of text in a segment of the index. A longer document is a segment of its own.
-SEGMENT = 8 << 20
+SEGMENT = 4 << 20
 
 _WORD = byte_set(bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 
@@ -89,6 +89,7 @@ def index(docs: DataFrame, segment: int = SEGMENT) -> DataFrame:
                     hashes, counts, rows, size, number = [], [], [], 0, number + 1
         if rows:
             yield out()
+        trim()
 
     return stored(tune(docs).select("doc_id", "text", "row_key").mapInArrow(run, INDEX), "postings")
 
