@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightstream.llm import decontaminate, html_text, language, lines, lm, mixing, neighbours, oracles, repeats, simhash, token_files
+from sightstream.llm import decontaminate, html_text, language, lines, lm, mixing, neighbours, oracles, prefix_trie, ranked, repeats, simhash, token_counts, token_files
 from sightstream.llm.common import table
 
 
@@ -32,8 +32,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lines": over(lines.op8, "documents"),
         "op9_html_text": over(html_text.op9, "pages"),
         "op10_language": over(language.op10, "documents"),
+        "op11_ranked": over(ranked.op11, "documents", "benchmark"),
+        "op12_prefix_trie": over(prefix_trie.op12, "conversations"),
+        "op13_token_counts": over(lambda d: token_counts.op13(d, tokenizer_file()), "documents"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_repeats": oracles.OP2_SQL, "op7_decontaminate": oracles.OP7_SQL, "op3_mixing": mixing.OP3_SQL, "op4_neighbours": neighbours.OP4_SQL, "op8_lines": lines.OP8_SQL}
+    return {"op2_repeats": oracles.OP2_SQL, "op7_decontaminate": oracles.OP7_SQL, "op3_mixing": mixing.OP3_SQL, "op4_neighbours": neighbours.OP4_SQL, "op8_lines": lines.OP8_SQL, "op11_ranked": ranked.OP11_SQL, "op12_prefix_trie": prefix_trie.OP12_SQL}
