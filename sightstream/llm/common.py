@@ -65,6 +65,14 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as it takes for df to have no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -155,8 +163,10 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def text_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, document borders in them) of about SLICE_BYTES each; null counts as empty."""
+def text_slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, document borders in them) of about SLICE_BYTES, or `size` if that is less, each; null
+    counts as empty."""
+    size = min(size, SLICE_BYTES)
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     if not len(texts):
         return
@@ -165,7 +175,7 @@ def text_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     lo = 0
     while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE_BYTES, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
         hi = min(hi, len(texts))
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi

@@ -10,8 +10,9 @@ the window would start, and the places are intersected with the lists of the oth
 rarest on. What is left are exact phrase matches. For matches in proximity, the same postings are intersected with
 stretches of the other lists: every term of the window has to be within SLOP words of the rarest one, in any order.
 
-To every task goes a slice of the benchmark: its terms, its words as 4-byte numbers and, for each window, 19 bytes. SLICE
-bounds what is sent; a larger benchmark goes slice by slice over one index.
+To every task goes a slice of the benchmark: its terms, its words as 4-byte numbers and, for each window, 23 bytes. SLICE
+bounds what is sent; a larger benchmark goes slice by slice over one index. Windows of the same words are one window with
+a list of its items, however many items are one common word, and a task pairs at most PAIRS postings and windows at once.
 
 Nulls and ties: a null text has no words, an item without words matches nothing, a null item_id covers words but is not
 named. Items with one id count once. Of equally rare terms the first of the window counts as rarest. Rows with one doc_id
@@ -40,9 +41,12 @@ SLOP = 10
 SLICE = 32 << 20
 SENT_PER_BYTE = 4
 
-#: Bytes of text in a segment of the index. A longer document is a segment of its own.
+#: Bytes of text that a segment of the index has at most, unless it is one longer document.
 SEGMENT = 4 << 20
 
+#: Pairs of a posting and a window that are looked at together.
+PAIRS = 1 << 20
+
 _WORD = byte_set(bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 
 
@@ -78,15 +82,15 @@ def index(docs: DataFrame, segment: int = SEGMENT) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.full(t + 1, number)), terms, lists, docs], ["segment", "term", "postings", "docs"])
 
         for b in batches:
-            for lo, hi, data, offsets in text_slices(b.column(1)):
+            for lo, hi, data, offsets in text_slices(b.column(1), segment):
+                if rows and size + len(data) > segment:
+                    yield out()
+                    hashes, counts, rows, size, number = [], [], [], 0, number + 1
                 words = index_words(data, offsets)
                 hashes.append(words.hash)
                 counts.append(np.diff(words.first))
                 rows.append(pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo)], ["doc_id", "row_key"]))
                 size += len(data)
-                if size >= segment:
-                    yield out()
-                    hashes, counts, rows, size, number = [], [], [], 0, number + 1
         if rows:
             yield out()
         trim()
@@ -95,12 +99,13 @@ def index(docs: DataFrame, segment: int = SEGMENT) -> DataFrame:
 
 
 class Probes(NamedTuple):
-    """Windows of a slice of items, ready for search."""
+    """Distinct windows of a slice of items, ready for search."""
 
     terms: np.ndarray  # hashes of all terms, ascending, as signed integers
     words: np.ndarray  # uint32: the terms of the items' words, one item after another
     start: np.ndarray  # uint32: where each window begins in words
-    item: np.ndarray  # uint32: item of each window
+    item: np.ndarray  # uint32: items of the windows, one window after another
+    item_cut: np.ndarray  # those of window w are item[item_cut[w]:item_cut[w + 1]]
     size: np.ndarray  # uint8: words of each window
     order: np.ndarray  # uint8, windows x WINDOW: offsets, rarest term first
     by_anchor: np.ndarray  # windows in the order of their rarest terms
@@ -128,21 +133,42 @@ def probes(ids: list[str | None], hashes: np.ndarray, first: np.ndarray, terms:
     size = k[item]
     there = np.arange(n) < size[:, None]
     at = np.minimum(start[:, None] + np.arange(n), max(len(words) - 1, 0))
+    if len(start):
+        # windows of the same words become one
+        same = np.ascontiguousarray(np.where(there, words[at], np.uint32(0xFFFFFFFF)))
+        _, one, of = np.unique(same.view(f"V{4 * n}").reshape(-1), return_index=True, return_inverse=True)
+        pairs = np.unique(of.astype(np.int64) << 32 | item)
+        item, item_cut = pairs & 0xFFFFFFFF, np.searchsorted(pairs >> 32, np.arange(len(one) + 1))
+        start, size, there, at = start[one], size[one], there[one], at[one]
+    else:
+        item_cut = np.zeros(1, np.int64)
     freq = np.where(there, count[words[at]], np.iinfo(np.int64).max) if len(start) else np.zeros((0, n), np.int64)
     order = np.argsort(freq, axis=1, kind="stable").astype(np.uint8)
     anchor = words[start + order[:, 0]] if len(start) else np.zeros(0, np.int64)
     cut = np.concatenate([[0], np.cumsum(np.bincount(anchor, minlength=len(terms)))])
-    return Probes(terms, words, start.astype(np.uint32), item.astype(np.uint32), size.astype(np.uint8), order, np.argsort(anchor, kind="stable").astype(np.uint32), cut, ids)
+    return Probes(terms, words, start.astype(np.uint32), item.astype(np.uint32), item_cut, size.astype(np.uint8), order, np.argsort(anchor, kind="stable").astype(np.uint32), cut, ids)
 
 
-def found_in(posting: np.ndarray, first: np.ndarray, p: Probes, slop: int | None) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+def found_in(posting: np.ndarray, first: np.ndarray, p: Probes, slop: int | None) -> Iterator[tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]]:
     """posting: ascending term << 32 | position. first: words before each document and in all. -> (first word, window) of each
-    exact match and (place of the rarest term, window) of each match in proximity."""
-    none = np.zeros(0, np.int64)
+    exact match and (place of the rarest term, window) of each match in proximity, PAIRS pairs looked at by PAIRS."""
     if not len(posting) or not len(p.start):
-        return (none, none), (none, none)
-    term, pos = posting >> 32, posting & 0xFFFFFFFF
-    many = p.cut[term + 1] - p.cut[term]
+        return
+    many = (p.cut[1:] - p.cut[:-1])[posting >> 32]
+    ends = np.cumsum(many)
+    lo = 0
+    while lo < len(posting):
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
+        if ends[hi - 1] > before:
+            yield _found(posting[lo:hi], many[lo:hi], posting, first, p, slop)
+        lo = hi
+
+
+def _found(own: np.ndarray, many: np.ndarray, posting: np.ndarray, first: np.ndarray, p: Probes, slop: int | None) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """found_in for some of the postings, `own`; many: windows whose rarest term is that of each."""
+    none = np.zeros(0, np.int64)
+    term, pos = own >> 32, own & 0xFFFFFFFF
     pos, w = np.repeat(pos, many), p.by_anchor[np.repeat(p.cut[term], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)]
     doc = np.searchsorted(first, pos, "right") - 1
     lowest, highest = first[doc], first[doc + 1]
@@ -206,20 +232,21 @@ def _search(postings: DataFrame, items: list, n: int, slop: int | None) -> DataF
         before = np.cumsum(many) - many
         pos -= np.repeat(np.concatenate([[0], pos])[before], many) if len(pos) else 0
         first = np.concatenate([[0], np.cumsum(facts.field(2).to_numpy())]).astype(np.int64)
-        (start, w), (near, v) = found_in(np.repeat(term.astype(np.int64) << 32, many) | pos, first, p, slop)
         cover = np.zeros(int(first[-1]) + 1, np.int64)
-        np.add.at(cover, start, 1)
-        np.add.at(cover, start + p.size[w], -1)
+        pairs: tuple[list, list] = ([], [])  # documents << 32 | windows, exact and in proximity
+        for (start, w), (near, v) in found_in(np.repeat(term.astype(np.int64) << 32, many) | pos, first, p, slop):
+            cover += np.bincount(start, minlength=len(cover)) - np.bincount(start + p.size[w], minlength=len(cover))
+            for seen, at, x in zip(pairs, (start, near), (w, v), strict=True):
+                seen.append(np.unique((np.searchsorted(first, at, "right") - 1) << 32 | x))
         covered = np.cumsum(cover[:-1]) > 0
         spans, named, close = ([[] for _ in range(len(facts))], *([set() for _ in range(len(facts))] for _ in "ab"))
-        for d in np.unique(np.searchsorted(first, start, "right") - 1):
+        for d in np.unique(np.searchsorted(first, np.flatnonzero(cover[:-1] > 0), "right") - 1):
             c = covered[first[d] : first[d + 1]]
             spans[d] = np.flatnonzero(np.diff(np.concatenate([[0], c.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
-        for out, (s, x) in ((named, (start, w)), (close, (near, v))):
-            pairs = np.unique((np.searchsorted(first, s, "right") - 1) << 32 | p.item[x]) if len(s) else np.zeros(0, np.int64)
-            for d, i in zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist(), strict=True):
-                if p.ids[i] is not None:
-                    out[d].add(p.ids[i])
+        for out, seen in zip((named, close), pairs, strict=True):
+            both = np.unique(np.concatenate([np.zeros(0, np.int64), *seen]))
+            for d, x in zip((both >> 32).tolist(), (both & 0xFFFFFFFF).tolist(), strict=True):
+                out[d].update(i for i in map(p.ids.__getitem__, p.item[p.item_cut[x] : p.item_cut[x + 1]]) if i is not None)
         kind = pa.list_(pa.string())
         return pa.table(
             [facts.field(0), facts.field(1), pa.array(np.diff(first)), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in named], kind), pa.array([sorted(x) for x in close], kind)],

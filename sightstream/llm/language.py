@@ -5,16 +5,20 @@ softmax over both directions' states labels the position; a document's probabili
 Texts are cut into windows of WINDOW bytes, all of which are read, so that windows of many documents run side by side.
 
 The network is trained here in numpy by backpropagation through time, on a bounded sample: PER_LANG documents of each
-language, the smallest by a hash of doc_id, SPOTS windows of each. Counts tell which hashes can be among the smallest,
-so that only about twice the sample is ever compared. That sample is what the driver gets.
+language, the smallest by a hash of doc_id and text, SPOTS windows of each. Counts tell which hashes can be among the
+smallest, so that only about twice the sample is ever compared; a language that gets fewer than it could (many equal rows
+have one hash) is sampled again from all its rows. That sample is what the driver gets.
 
-Nulls and ties: a null text, or one without a letter, is 'und' with score 0. Rows with a null lang aren't learned from.
+A state is as long as a window: the network is begun anew every WINDOW bytes, so no context reaches further.
+
+Nulls and ties: rows without a doc_id are learned from like others. A null text, or one without a letter, is 'und' with score 0. Rows with a null lang aren't learned from.
 Equal probabilities go to the language first by name. Other columns are ignored. Without a learned language all is
 'und'; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from sightstream.llm.common import bounded, text_slices, tune
+from sightstream.llm.common import bounded, free_name, text_slices, tune
 
 WINDOW = 64
 HIDDEN = 8
@@ -162,22 +166,24 @@ def sequences(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 def learn(docs: DataFrame, hidden: int = HIDDEN, steps: int = STEPS, per_lang: int = PER_LANG, spots: int = SPOTS) -> Net:
     """docs: text, lang and doc_id of labelled documents."""
     spot = lambda j: F.substring("text", F.greatest(F.lit(1), (F.pmod(F.xxhash64("doc_id", F.lit(j)), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1)).cast("int"), F.lit(WINDOW))
-    labelled = docs.where("lang is not null").withColumn("lang", F.col("lang").cast("string"))
+    labelled = docs.where("lang is not null").withColumn("lang", F.col("lang").cast("string")).where(F.col("text").rlike(r"\p{L}"))
     # twice as many as are wanted come near the smallest by hash; the rest needn't be compared
-    cut = {r["lang"]: 2 * per_lang / r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if not cut:
+    count = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    if not count:
         return Net([], *((np.zeros((0, 0)),) * 2,) * 2, np.zeros((0, 0)), np.zeros(0))
-    share = F.element_at(F.create_map(*(F.lit(x) for kv in sorted(cut.items()) for x in kv)), F.col("lang"))
-    h = F.xxhash64("doc_id", F.lit("sample"))
+    h = F.xxhash64("doc_id", "text", F.lit("sample"))
     order = Window.partitionBy("lang").orderBy("h", "doc_id", "spots")
-    sample = (
-        labelled.where((h.cast("double") / 2.0**64 + 0.5 <= share) & F.col("text").rlike(r"\p{L}"))
-        .select("lang", "doc_id", h.alias("h"), F.array(*(spot(j) for j in range(spots))).alias("spots"))
-        .withColumn("n", F.row_number().over(order))
-        .where(F.col("n") <= per_lang)
-        .select("lang", "h", "doc_id", "spots")
-    )
-    rows = sorted((tuple(r) for r in sample.collect()), key=str)
+
+    def sample(rows: DataFrame) -> list[tuple]:
+        found = rows.select("lang", "doc_id", h.alias("h"), F.array(*(spot(j) for j in range(spots))).alias("spots"))
+        return [tuple(r) for r in found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("lang", "h", "doc_id", "spots").collect()]
+
+    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sorted(count.items()) for x in (lang, 2 * per_lang / n))), F.col("lang"))
+    rows = sample(labelled.where(h.cast("double") / 2.0**64 + 0.5 <= share))
+    got = Counter(r[0] for r in rows)
+    if short := [lang for lang, n in count.items() if got[lang] < min(n, per_lang)]:
+        rows = [r for r in rows if r[0] not in short] + sample(labelled.where(F.col("lang").isin(short)))
+    rows.sort(key=str)
     langs = sorted({r[0] for r in rows})
     raw = [(langs.index(lang), s.encode()[:WINDOW]) for lang, _, _, found in rows for s in found if s]
     if not raw:
@@ -205,7 +211,7 @@ def pooled(net: Net, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def predict(docs: DataFrame, net: Net) -> DataFrame:
     """The columns of docs, lang_pred and score (which replace columns of these names)."""
-    docs = tune(docs).drop("lang_pred", "score", "_letters")
+    docs = tune(docs).drop("lang_pred", "score")
     schema = StructType([*docs.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     at = docs.columns.index("text")
 
@@ -221,7 +227,7 @@ def predict(docs: DataFrame, net: Net) -> DataFrame:
                             lang[lo + i], score[lo + i] = net.langs[j], min(max(q, 0.0), 1.0)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
 
-    return docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)
+    return docs.withColumn(free_name(docs, "_letters"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)
 
 
 def fold_of(doc_id: Column, n: int) -> Column:

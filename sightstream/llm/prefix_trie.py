@@ -232,7 +232,10 @@ def trie(seqs: DataFrame, local: int = LOCAL) -> DataFrame:
         large = stored(facts(rows), "trie-buckets")
         if not large.count():
             break
-        rows = rows.join(large.select("bucket", F.col("until").alias("depth")), "bucket")
+        if number:
+            rows = rows.join(large.select("bucket", F.col("until").alias("depth")), "bucket")
+        else:  # the root alone
+            rows = rows.withColumn("depth", F.lit(large.first().until))
         after = F.size("ids") > F.col("depth")
         ended = stored(rows.where(~after).select("bucket", F.col("conv").alias("end_seq"), F.col("n").alias("end_n")), "trie-ends")
         going = rows.where(after).select("bucket", "depth", F.get("ids", F.col("depth").cast("int")).alias("digit"), "conv", "n", "ids", "sizes")

@@ -151,7 +151,7 @@ def index(docs: DataFrame, c: Collection, shard: int = SHARD) -> DataFrame:
             return shard_row(term, doc, ids, length, c)
 
         for b in batches:
-            for lo, hi, data, offsets in text_slices(b.column(1)):
+            for lo, hi, data, offsets in text_slices(b.column(1), shard):
                 w = terms_of(data, offsets)
                 length = np.diff(w.first)
                 some = length > 0

@@ -363,6 +363,19 @@ def test_languages_on_held_out_texts(spark):
     assert language.op10(df.limit(0)).count() == 0
 
 
+def test_languages_without_doc_ids_are_learned(spark):
+    """A whole language whose rows have no doc_id, over the bound of the sample; equal rows, which have one hash."""
+    r = random.Random(6)
+    say = lambda k: " ".join(r.choice(LATIN[k].split()) for _ in range(12))
+    texts = [(i, say("aa"), "aa", 1) for i in range(1500)] + [(None, say("ee"), "ee", 1) for _ in range(1500)] + [(None, "suru rusu muru " * 4, "uu", 1)] * 900
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string, _letters int")
+    net = language.learn(df)
+    assert net.langs == ["aa", "ee", "uu"]
+    out = language.predict(df, net)
+    assert out.columns == ["doc_id", "text", "lang", "_letters", "lang_pred", "score"]
+    assert out.where("lang = lang_pred").count() > 0.97 * len(texts)
+
+
 def test_language_gradients():
     rng = np.random.default_rng(0)
     k, seq = 3, rng.integers(0, 257, (5, 4))
@@ -501,7 +514,8 @@ def test_proximity_against_all_places(spark, monkeypatch):
     docs = [(i, words(r.choice([0, 1, 5, 40, 200]))) for i in range(60)]
     items = [(i, words(r.choice([1, 2, 4, 6, 12]))) for i in range(30)]
     index = decontaminate.index(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").withColumn("row_key", F.xxhash64("text")), segment=200)
-    assert index.select("segment").distinct().count() > 4
+    cut = index.where("term is null").select("segment", F.size("docs").alias("docs"), F.expr("aggregate(docs, 0, (n, d) -> n + d.n)").alias("words")).collect()
+    assert all(r.words <= 200 // 2 or r.docs == 1 for r in cut) and len(cut) > sum(len(w) == 200 for _, w in docs) > 5
     got = {x.doc_id: set(x.near_items) for x in decontaminate.search(index, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"), n=5, slop=6).collect()}
     count = {}
     for _, w in docs:
@@ -519,6 +533,28 @@ def test_proximity_against_all_places(spark, monkeypatch):
     assert got == want and sum(map(len, want.values())) > 50
 
 
+def test_equal_windows_are_one(spark, monkeypatch):
+    """Thousands of items that are one common word against a document of that word; pairs are walked in small slices."""
+    word, many = "yes", 5000
+    items = [(i, word) for i in range(many)] + [(many, "no"), (many + 1, "yes yes"), (many + 2, "yes no yes")]
+    docs = [(1, f"{word} " * (1 << 20)), (2, "no yes, no"), (3, "other words"), (4, None)]
+    sized = []
+    inner = decontaminate._found
+    posting = np.arange(200_000, dtype=np.int64)
+    hashes, first = decontaminate.item_words([t for _, t in items])
+    terms = np.unique(hashes.view(np.int64))
+    p = decontaminate.probes([str(i) for i, _ in items], hashes, first, terms, np.array([5, 9]), 10)
+    assert len(p.start) == 4 and len(p.item) == len(items)
+    monkeypatch.setattr(decontaminate, "_found", lambda own, n, *more: sized.append(int(n.sum())) or inner(own, n, *more))
+    monkeypatch.setattr(decontaminate, "PAIRS", 1000)
+    list(decontaminate.found_in(posting, np.array([0, 200_000]), p, 10))
+    assert len(sized) > 100 and max(sized) <= 1000
+    got = {r.doc_id: r for r in decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got[1]["items"]) == {*map(str, range(many)), str(many + 1)} and got[1].spans == [[0, 1 << 20]]
+    assert set(got[2]["items"]) == {str(i) for i in range(many + 1)} and got[2].spans == [[0, 3]]
+    assert [got[i].spans for i in (3, 4)] == [[], []]
+
+
 def test_copies_are_where_the_words_are(spark, docs):
     """Coordinates of repeated words and of their source, held against the texts."""
     found = 0
