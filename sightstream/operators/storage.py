@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightstream.functions.text import trimmed
+from sightstream.sources.versions import Versions
+
+TABLE = "rows"
 
 CAPTURES = "id bigint, captured_at timestamp, source string, recognized_text string, character_count int"
 
@@ -59,59 +65,93 @@ def browser_totals(shown: DataFrame) -> DataFrame:
     return counts.select("source", "rows", both.alias("total_rows"), (both > 0).alias("has_rows"))
 
 
+class Appended(NamedTuple):
+    """What an append did: the rows it stored, with their ids, and those it rejected."""
+
+    stored: DataFrame
+    rejected: DataFrame
+
+
 class Store:
-    """A table as Parquet in a folder: appended to with ids that go on, unique by key, read with columns it didn't have yet.
-    One writer at a time: two appends at once could give the same ids."""
+    """A table as Parquet in a folder, in versions: appended to with ids that go on and are never given twice, whatever was
+    deleted since; unique by key, if it has one; read with columns it didn't have yet.
+
+    Writers don't wait for each other. One that finds that another has made the version it was about to make judges its rows
+    again, against that one (sources.versions). Readers see whole versions."""
 
     #: Rows whose numbers one task gives.
     GROUP = 1_000_000
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: list[str], defaults: dict[str, object] | None = None) -> None:
-        self.spark, self.path, self.schema, self.key, self.defaults = spark, path, schema, key, defaults or {}
-
-    def read(self) -> DataFrame:
-        """Q14: files written before a column was added give its default."""
-        try:
-            df = self.spark.read.schema(self.schema).option("mergeSchema", "true").parquet(self.path)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], self.schema)
-        return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in self.defaults.items()})
-
-    def append(self, rows: DataFrame, order: list[str], partition_by: str | None = None) -> DataFrame:
-        """Q1, Q3, Q7, Q8: stores rows whose key isn't there yet, ids following the largest; returns those rejected.
-
-        Rows are judged once, into a table beside this one. New ones are numbered within groups by a hash of the key, as many
-        as the rows need, and a group's ids follow those of the groups before it: only the groups' sizes are summed up."""
-        held = self.read().select(*self.key).withColumn("_held", F.lit(True))
-        n = F.row_number().over(Window.partitionBy(*self.key).orderBy(*order))
+    #: How often a writer begins again before it gives up.
+    TRIES = 20
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: list[str] | None = None, defaults: dict[str, object] | None = None) -> None:
+        self.spark, self.schema, self.key, self.defaults = spark, schema, key or [], defaults or {}
+        self.versions = Versions(spark, path)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """Q14: files written before a column was added give its default. version: that version's rows; None: the last one's."""
+        return self._filled(self.versions.read(TABLE, self.schema, version))
+
+    def _filled(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in self.defaults.items()})
+
+    def append(self, rows: DataFrame, order: list[str], partition_by: str | None = None) -> Appended:
+        """Q1, Q3, Q7, Q8: stores rows, those whose key isn't there yet, under ids that follow the largest ever given."""
+        rows = rows.drop("id")
+        for _ in range(self.TRIES):
+            number, manifest = self.versions.manifest()
+            judged, name = self._judged(rows, order, manifest["tables"].get(TABLE, []))
+            first = manifest.get("next_id", 1)
+            new, count = self._numbered(judged.where("_new").drop("_new"), order, first)
+            folder = self.versions.write(TABLE, new, partition_by)
+            if self.versions.commit(number + 1, self._next(manifest, [*manifest["tables"].get(TABLE, []), folder], first + count)):
+                return Appended(self._filled(self.versions.rows(TABLE, self.schema, [folder])), judged.where("not _new").drop("_new", "_g"))
+            self.versions.remove(TABLE, [folder])
+            self.versions.remove("judged", [name])
+        raise RuntimeError(f"{self.TRIES} other writers were faster")
+
+    def _judged(self, rows: DataFrame, order: list[str], folders: list[str]) -> tuple[DataFrame, str]:
+        """rows with _new, whether they can be stored, and _g, their group, in a folder beside the table: judged once."""
         groups = max(1, -(-rows.count() // self.GROUP))
-        group = F.pmod(F.xxhash64(*self.key), F.lit(groups)).cast("int")
-        judged = rows.withColumn("_n", n).join(held, self.key, "left").select(*rows.columns, ((F.col("_n") == 1) & F.col("_held").isNull()).alias("_new"), group.alias("_g"))
-        aside = f"{self.path.rstrip('/')}.judged-{uuid.uuid4().hex[:8]}"
-        judged.write.parquet(aside)
-        judged = self.spark.read.schema(judged.schema).parquet(aside)
-        new, last = judged.where("_new").drop("id"), self.read().agg(F.max("id")).first()[0] or 0
-        sizes = new.groupBy("_g").agg(F.count("*").alias("_size"))
+        by = self.key or rows.columns
+        group = F.pmod(F.xxhash64(*by), F.lit(groups)).cast("int").alias("_g")
+        if self.key:
+            held = self.versions.rows(TABLE, self.schema, folders).select(*(F.col(k).alias(f"_held_{k}") for k in self.key)).distinct().withColumn("_held", F.lit(True))
+            same = [F.col(k).eqNullSafe(F.col(f"_held_{k}")) for k in self.key]
+            n = F.row_number().over(Window.partitionBy(*self.key).orderBy(*order))
+            judged = rows.withColumn("_n", n).join(held, reduce(and_, same), "left").select(*rows.columns, ((F.col("_n") == 1) & F.col("_held").isNull()).alias("_new"), group)
+        else:
+            judged = rows.select("*", F.lit(True).alias("_new"), group)
+        name = self.versions.write("judged", judged)
+        return self.spark.read.schema(judged.schema).parquet(self.versions.folder("judged", name)), name
+
+    def _numbered(self, rows: DataFrame, order: list[str], first: int) -> tuple[DataFrame, int]:
+        """rows with ids from `first` on, without gaps. They are numbered within groups, as many as the rows need, and a group's
+        ids follow those of the groups before it: only the groups' sizes are summed up."""
+        sizes = rows.groupBy("_g").agg(F.count("*").alias("_size"))
         base = sizes.select("_g", F.coalesce(F.sum("_size").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
         number = F.row_number().over(Window.partitionBy("_g").orderBy(*order, *self.key))
-        writer = new.withColumn("_i", number).join(base, "_g").withColumn("id", (F.col("_i") + F.col("_base") + last).cast("long")).drop("_g", "_i", "_base", "_new").write.mode("append")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path)
-        return judged.where("not _new").select(*rows.columns)
+        count = sizes.agg(F.sum("_size")).first()[0] or 0
+        return rows.withColumn("_i", number).join(base, "_g").withColumn("id", (F.col("_i") + F.col("_base") + F.lit(first - 1)).cast("long")).drop("_g", "_i", "_base"), count
+
+    def _next(self, manifest: dict, folders: list[str], next_id: int) -> dict:
+        return {**manifest, "tables": {**manifest["tables"], TABLE: folders}, "next_id": next_id}
 
     def delete_older(self, time: str, cutoff: Column) -> None:
-        """Q6, Q10: rewrites the table without rows strictly older than cutoff."""
-        self._keep(pruned(self.read(), time, cutoff))
+        """Q6, Q10: a version without rows strictly older than cutoff; rows without a time go too."""
+        self._keep(lambda rows: pruned(rows, time, cutoff))
 
     def clear(self, condition: Column | None = None) -> None:
-        """Q6, Q7, Q10: everything goes, or what condition holds for (a source, for one)."""
-        if condition is None:
-            self.spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(self.path)
-        else:
-            self._keep(self.read().where(~F.coalesce(condition, F.lit(False))))
-
-    def _keep(self, rows: DataFrame) -> None:
-        from sightstream.sources.files import replace
-
-        replace(self.spark, rows, self.path)
+        """Q6, Q7, Q10: everything goes, or what condition holds for (a source, for one). Ids go on."""
+        self._keep(None if condition is None else lambda rows: rows.where(~F.coalesce(condition, F.lit(False))))
+
+    def _keep(self, rule: Callable[[DataFrame], DataFrame] | None) -> None:
+        for _ in range(self.TRIES):
+            number, manifest = self.versions.manifest()
+            held = manifest["tables"].get(TABLE, [])
+            folders = [self.versions.write(TABLE, rule(self.versions.rows(TABLE, self.schema, held)))] if rule and held else []
+            if self.versions.commit(number + 1, self._next(manifest, folders, manifest.get("next_id", 1))):
+                return
+            self.versions.remove(TABLE, folders)
+        raise RuntimeError(f"{self.TRIES} other writers were faster")

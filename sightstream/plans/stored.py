@@ -14,6 +14,10 @@ from sightstream.sources.files import new_path
 from sightstream.sources.providers import input_devices, main_display
 
 
+#: The time that reused_ids deletes before.
+MIDDLE = "1995-01-01"
+
+
 def numbered(store: Q.Store, first_ids: int) -> DataFrame:
     """A store's rows, and which append gave them their id."""
     return store.read().withColumn("batch", F.when(F.col("id") <= first_ids, 1).otherwise(2))
@@ -25,7 +29,7 @@ def stored_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Q.Store(spark, new_path(spark, "captures"), Q.CAPTURES + ", doc_id bigint", ["source"])
     store.append(rows.where("doc_id % 2 = 0"), ["captured_at"])
     n = store.read().count()
-    rejected = store.append(rows, ["captured_at"]).select("doc_id", F.lit(0).alias("batch"), "character_count", F.lit("").alias("text_sha256"))
+    rejected = store.append(rows, ["captured_at"]).rejected.select("doc_id", F.lit(0).alias("batch"), "character_count", F.lit("").alias("text_sha256"))
     return numbered(store, n).select("doc_id", "batch", "character_count", T.sha("recognized_text").alias("text_sha256")).union(rejected)
 
 
@@ -37,6 +41,22 @@ def stored_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("session_id", "seq", "text_hash", "layout_hash", F.lit(least == 1 and most == n).alias("ids_are_dense"))
 
 
+def reused_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of three appends: all orders of the first half of the customers, then those are deleted that are older than the
+    middle of the time, then all others, then everything goes and the urgent ones come again. Ids are as they were given."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.col("o_orderdate").cast("timestamp").alias("at"))
+    store = Q.Store(spark, new_path(spark, "ids"), "id bigint, o_orderkey bigint, o_custkey bigint, o_orderpriority string, at timestamp, given bigint")
+    given = lambda df: df.withColumn("given", F.lit(None).cast("long"))
+    first = store.append(given(o.where("o_custkey % 2 = 0")), ["at", "o_orderkey"]).stored
+    store.delete_older("at", F.lit(MIDDLE).cast("timestamp"))
+    second = store.append(given(o.where("o_custkey % 2 = 1")), ["at", "o_orderkey"]).stored
+    held = store.read()
+    store.clear()
+    third = store.append(given(o.where("o_orderpriority = '1-URGENT'")), ["at", "o_orderkey"]).stored
+    told = lambda df, step: df.groupBy(F.lit(step).alias("step")).agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count_distinct("id").alias("ids"), F.count("*").alias("n"))
+    return told(first, 1).union(told(second, 2)).union(told(held.where("o_custkey % 2 = 0"), 3).select("step", F.lit(0).alias("least"), F.lit(0).alias("most"), "ids", "n")).union(told(third, 4)).union(told(store.read(), 5))
+
+
 def stored_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest analyses of sealed windows, after those of the first ten windows of a session were cleared."""
     rows = sealed(spark, sf_dir).groupBy("session_id", "window_no", F.col("ended_at").alias("generated_at")).agg(F.count("*").alias("encounter_count"))
@@ -91,6 +111,8 @@ UNION ALL SELECT doc_id, 0::INTEGER, CAST(coalesce(length(text), 0) AS INTEGER),
     "stored_snapshots": (stored_snapshots, f"WITH {SNAPS}, r AS (SELECT *, row_number() OVER (PARTITION BY text_hash, layout_hash ORDER BY t, seq) AS n FROM snaps) SELECT session_id, seq, text_hash, layout_hash, true AS ids_are_dense FROM r WHERE n = 1"),
     "stored_analyses": (stored_analyses, f"WITH {SEALED} SELECT session_id, window_no, ended_at AS generated_at, count(*) AS encounter_count FROM sealed_enc WHERE window_no > 10 GROUP BY session_id, window_no, ended_at ORDER BY generated_at DESC, session_id DESC, window_no DESC LIMIT 50"),
     "stored_chunks": (stored_chunks, f"WITH {CHUNKS} SELECT session_id, chunk_id, source, start_time, sha256(text) AS text_sha256 FROM chunks WHERE start_time >= 8 AND NOT (source = 'microphone' AND seq >= 6)"),
+    "reused_ids": (reused_ids, f"""WITH n AS (SELECT count(*) FILTER (WHERE o_custkey % 2 = 0) AS a, count(*) FILTER (WHERE o_custkey % 2 = 1) AS b, count(*) FILTER (WHERE o_custkey % 2 = 0 AND o_orderdate >= TIMESTAMP '{MIDDLE}') AS k, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS u FROM orders)
+SELECT 1::INTEGER AS step, 1::BIGINT AS least, a AS most, a AS ids, a AS n FROM n UNION ALL SELECT 2, a + 1, a + b, b, b FROM n UNION ALL SELECT 3, 0, 0, k, k FROM n UNION ALL SELECT 4, a + b + 1, a + b + u, u, u FROM n UNION ALL SELECT 5, a + b + 1, a + b + u, u, u FROM n"""),
     "evolved_store": (evolved_store, "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 'not known' ELSE o_orderpriority END AS o_orderpriority FROM orders"),
     "browser_totals": (browser_totals, """WITH n AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'computer' ELSE 'microphone' END AS source, least(count(*), 50) AS rows FROM events GROUP BY 1)
 SELECT source, rows, CAST(sum(rows) OVER () AS BIGINT) AS total_rows, true AS has_rows FROM n"""),

@@ -1,4 +1,4 @@
-"""Files in and out: WAV files, JSON and Markdown documents, tables that are written anew."""
+"""Files in and out: WAV files, JSON and Markdown documents, tables in the shared folder."""
 
 from __future__ import annotations
 
@@ -42,19 +42,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def replace(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Writes df, which may read from path, in place of what is there: beside it first, then by renaming."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    new, old = f"{path.rstrip('/')}.new-{uuid.uuid4().hex[:8]}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(new)
-    p = hadoop.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(p):
-        fs.rename(p, hadoop.Path(old))
-    fs.rename(hadoop.Path(new), p)
-    fs.delete(hadoop.Path(old), True)
-
-
 def wav_files(spark: SparkSession, path: str) -> DataFrame:
     """Path, sample_rate, channels, samples (floats) of 16-bit WAV files with the usual header of 44 bytes."""
     from sightstream.functions.audio import decode_pcm
