@@ -46,7 +46,7 @@ def _sizes(rate: str, seconds: float, overlap: float) -> tuple[Column, Column]:
     if not 0 <= overlap < seconds:
         raise ValueError("0 <= overlap < seconds is needed")
     size = F.greatest(F.lit(1), F.round(F.lit(seconds) * F.col(rate)).cast("long"))
-    return size, size - F.round(F.lit(overlap) * F.col(rate)).cast("long")
+    return size, F.greatest(F.lit(1), size - F.round(F.lit(overlap) * F.col(rate)).cast("long"))
 
 
 def _ready(frames: Column, size: Column, hop: Column) -> Column:

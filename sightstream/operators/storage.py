@@ -65,6 +65,17 @@ def browser_totals(shown: DataFrame) -> DataFrame:
     return counts.select("source", "rows", both.alias("total_rows"), (both > 0).alias("has_rows"))
 
 
+def numbered(rows: DataFrame, order: list[str], first: int) -> tuple[DataFrame, int]:
+    """rows (with _g, the group of each) with ids from `first` on, without gaps, and how many there are. They are numbered within
+    groups, as many as the rows need, and a group's ids follow those of the groups before it: only the groups' sizes are
+    summed up."""
+    sizes = rows.groupBy("_g").agg(F.count("*").alias("_size"))
+    base = sizes.select("_g", F.coalesce(F.sum("_size").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    number = F.row_number().over(Window.partitionBy("_g").orderBy(*order))
+    count = sizes.agg(F.sum("_size")).first()[0] or 0
+    return rows.withColumn("_i", number).join(base, "_g").withColumn("id", (F.col("_i") + F.col("_base") + F.lit(first - 1)).cast("long")).drop("_g", "_i", "_base"), count
+
+
 class Appended(NamedTuple):
     """What an append did: the rows it stored, with their ids, and those it rejected."""
 
@@ -103,7 +114,7 @@ class Store:
             number, manifest = self.versions.manifest()
             judged, name = self._judged(rows, order, manifest["tables"].get(TABLE, []))
             first = manifest.get("next_id", 1)
-            new, count = self._numbered(judged.where("_new").drop("_new"), order, first)
+            new, count = numbered(judged.where("_new").drop("_new"), [*order, *self.key], first)
             folder = self.versions.write(TABLE, new, partition_by)
             if self.versions.commit(number + 1, self._next(manifest, [*manifest["tables"].get(TABLE, []), folder], first + count)):
                 return Appended(self._filled(self.versions.rows(TABLE, self.schema, [folder])), judged.where("not _new").drop("_new", "_g"))
@@ -126,15 +137,6 @@ class Store:
         name = self.versions.write("judged", judged)
         return self.spark.read.schema(judged.schema).parquet(self.versions.folder("judged", name)), name
 
-    def _numbered(self, rows: DataFrame, order: list[str], first: int) -> tuple[DataFrame, int]:
-        """rows with ids from `first` on, without gaps. They are numbered within groups, as many as the rows need, and a group's
-        ids follow those of the groups before it: only the groups' sizes are summed up."""
-        sizes = rows.groupBy("_g").agg(F.count("*").alias("_size"))
-        base = sizes.select("_g", F.coalesce(F.sum("_size").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-        number = F.row_number().over(Window.partitionBy("_g").orderBy(*order, *self.key))
-        count = sizes.agg(F.sum("_size")).first()[0] or 0
-        return rows.withColumn("_i", number).join(base, "_g").withColumn("id", (F.col("_i") + F.col("_base") + F.lit(first - 1)).cast("long")).drop("_g", "_i", "_base"), count
-
     def _next(self, manifest: dict, folders: list[str], next_id: int) -> dict:
         return {**manifest, "tables": {**manifest["tables"], TABLE: folders}, "next_id": next_id}
 
