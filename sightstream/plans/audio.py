@@ -11,9 +11,11 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from sightstream.functions import audio as S
 from sightstream.functions import text as T
 from sightstream.operators import audio as A
-from sightstream.sources.derived import signals
+from sightstream.sources.derived import packets_of, signals, table
 from sightstream.sources.files import new_path, write_wav_files
 from sightstream.sources.files import wav_files as wav_files_of
+from sightstream.streaming import audio as B
+from sightstream.streaming.sink import Sink
 
 #: Seconds of a chunk and of an overlap that go with packets of 32 frames at 200 Hz.
 CHUNK, OVERLAP = 0.5, 0.1
@@ -51,11 +53,26 @@ def resample_linear(spark, sf_dir):
 
 def audio_chunks(spark, sf_dir):
     """Chunks of each source's packets; their samples by number, sum and ends."""
-    c = A.chunks(A.checked(signals(spark, sf_dir)).where("error is null"), CHUNK, OVERLAP)
+    return told(A.chunks(A.checked(signals(spark, sf_dir)).where("error is null"), CHUNK, OVERLAP))
+
+
+def told(c: DataFrame) -> DataFrame:
     total = S.total(F.transform("samples", lambda x: x.cast("double")))
     return c.select("source", "seq", "start_frame", F.size("samples").alias("n_samples"), F.round(total, 6).alias("total"), F.get("samples", F.lit(0)).cast("double").alias("first_sample"), F.element_at("samples", -1).cast("double").alias("last_sample"))
 
 
+def streamed_chunks(spark, sf_dir):
+    """audio_chunks of a stream: packets through each source's buffer of frames into tables that are written whole and once."""
+    fields = signals(spark, sf_dir).schema
+    path = new_path(spark, "streamed")
+    sink = Sink(spark, f"{path}/tables", {"rows": f"source long, {B.ROW}"})
+    packets = spark.readStream.schema(table(spark, sf_dir, "embeddings").schema).parquet(f"{sf_dir}/embeddings.parque[t]")  # a pattern, since a stream takes no single file
+    query = B.buffered(packets_of(packets).select(*fields.names), CHUNK, OVERLAP).writeStream.foreachBatch(lambda rows, n: sink.publish(n, {"rows": rows}))
+    query = query.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return told(B.chunks(sink.read("rows")))
+
+
 def audio_available(spark, sf_dir):
     """What waits in each source's buffer once its chunks were taken."""
     a = A.available(A.checked(signals(spark, sf_dir)).where("error is null"), CHUNK, OVERLAP)
@@ -190,3 +207,5 @@ SELECT packet_id, round(CASE WHEN sqrt(x * y) > 0 THEN abs(d) / sqrt(x * y) ELSE
     "pcm_decode": (pcm_decode, f"WITH {ELEMENTS} SELECT packet_id, CAST(i AS INTEGER) AS frame, round(CAST(CAST({_Q} / 32767.0::DOUBLE AS FLOAT) AS DOUBLE), 6) AS sample FROM el"),
     "interleave": (interleave, f"WITH {ELEMENTS} SELECT packet_id, CAST((i % 32) * 2 + i // 32 AS INTEGER) AS i, CAST(v AS DOUBLE) AS sample FROM el"),
 }
+
+QUERIES["streamed_chunks"] = (streamed_chunks, QUERIES["audio_chunks"][1])

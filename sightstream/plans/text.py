@@ -198,14 +198,6 @@ def joined_observations(spark, sf_dir):
     return joined_text(observations(spark, sf_dir), ["doc_id"])
 
 
-def sample_assembly(spark, sf_dir):
-    """Events of a user in pairs as samples of two displays; a frame is known by its type of event."""
-    from sightstream.sources.providers import assembled
-
-    e = table(spark, sf_dir, "events")
-    return assembled(e.select(F.col("user_id").alias("session_id"), F.floor(F.col("event_id") / 2).alias("seq"), (F.col("event_id") % 2 + 1).alias("display_id"), F.col("event_type").alias("frame_hash"), F.col("event_type").alias("text")))
-
-
 def plain_export(spark, sf_dir):
     """Blocks of a document as text, with their roles."""
     return X.plain_text(classified(spark, sf_dir), ["doc_id"], "block_no", F.concat(F.lit("["), F.col("role"), F.lit("]")))
@@ -388,8 +380,6 @@ SELECT doc_id, '# Screen Text Structure' || chr(10) || chr(10) || '- blockCount:
     "pixel_hashes": (pixel_hashes, "SELECT doc_id, sha256(CAST(length(text) AS VARCHAR) || 'x1|32|' || CAST(length(text) * 4 AS VARCHAR) || '|1' || text) AS frame_hash FROM documents"),
     "recognised_boxes": (recognised_boxes, f"WITH {OBS} SELECT doc_id, obs_idx, {TRIM.format('text')} AS text, 125.0::DOUBLE * (obs_idx % 8) AS x, (1 - ((obs_idx % 4) / 4.0::DOUBLE + 0.125::DOUBLE)) * 500 AS y, 125.0::DOUBLE AS w, 62.5::DOUBLE AS h FROM obs"),
     "joined_observations": (joined_observations, f"WITH {OBS}, j AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY obs_idx) AS text FROM obs GROUP BY doc_id) SELECT doc_id, {TRIM.format('text')} AS text FROM j"),
-    "sample_assembly": (sample_assembly, """WITH e AS (SELECT user_id AS session_id, event_id // 2 AS seq, event_id % 2 + 1 AS display_id, event_type FROM events), r AS (SELECT *, coalesce(lag(event_type) OVER (PARTITION BY session_id, display_id ORDER BY seq) = event_type, false) AS reused FROM e)
-SELECT session_id, seq, count(*) AS displays, count(*) FILTER (WHERE reused) AS reused, string_agg('Display ' || CAST(display_id AS VARCHAR) || chr(10) || event_type, chr(10) || chr(10) ORDER BY display_id) AS text FROM r GROUP BY session_id, seq"""),
     "plain_export": (plain_export, f"WITH {CLASSIFIED} SELECT doc_id, string_agg('[' || role || '] ' || text, chr(10) ORDER BY block_no) AS export FROM classified GROUP BY doc_id"),
     "document_build": (document_build, f"""WITH {REGIONS}{_DIGEST.removeprefix(OBS)}, n AS (SELECT doc_id, count(*) AS n_lines FROM obs GROUP BY doc_id), b AS (SELECT doc_id, count(*) AS n_blocks FROM blocks GROUP BY doc_id), r AS (SELECT doc_id, count(*) AS n_regions FROM regions GROUP BY doc_id)
 SELECT d.doc_id, n_lines, n_blocks, n_regions, text_hash, layout_hash FROM digests d JOIN n ON n.doc_id = d.doc_id JOIN b ON b.doc_id = d.doc_id JOIN r ON r.doc_id = d.doc_id"""),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sightstream.functions import text as T
 from sightstream.operators import classify as C
 from sightstream.operators import export as X
+from sightstream.operators import framecache
 from sightstream.operators import memory as M
 from sightstream.operators import windows as W
 from sightstream.plans.text import norm, role_sql
@@ -127,6 +128,30 @@ def document_runs(spark, sf_dir):
     return M.document_runs(snapshots(spark, sf_dir)).select("session_id", "display_id", "seq", F.col("run").cast("long").alias("run"), "document_seq")
 
 
+#: Seconds and documents that the caches of the queries below hold: about as many as a user's events can expire and fill.
+AGE, HELD = 20 * TTL, 6
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as frames of two displays, by their type and number; a text is that of several frames, and of two layouts."""
+    n = F.floor(F.col("seq") / 2)
+    return samples(spark, sf_dir).select(
+        "session_id", n.alias("sample"), "display_id", "seq", "t", F.concat_ws("-", "text", (n % 3).cast("string")).alias("frame_hash"), "text", T.text_hash("text").alias("text_hash"), T.sha((n % 2).cast("string")).alias("layout_hash")
+    )
+
+
+def frame_cache(spark, sf_dir):
+    """The document that each frame is served."""
+    return framecache.served(frames(spark, sf_dir), AGE, HELD).select("session_id", "display_id", "seq", "document_seq", "reused")
+
+
+def sample_assembly(spark, sf_dir):
+    """Events of a user in pairs as samples of two displays."""
+    rows = frames(spark, sf_dir)
+    told = framecache.served(rows, AGE, HELD).join(rows.select(F.col("seq"), "sample"), "seq").drop("seq").withColumnRenamed("sample", "seq")
+    return framecache.assembled(told, F.lit(2)).select("session_id", "seq", "displays", "reused", "recognised", "text", "complete")
+
+
 def cache_expiry(spark, sf_dir):
     return M.cached_documents(M.document_runs(snapshots(spark, sf_dir)), max_age=20 * TTL).select("session_id", "display_id", "seq", "age_rank")
 
@@ -192,7 +217,29 @@ DOCUMENTS = f"""{SNAPS}, marked AS (SELECT *, CASE WHEN {_SAME.format(_W2)} THEN
   SELECT *, CAST(sum(brk) OVER {_W2} - 1 AS BIGINT) AS run FROM marked
 ), docs AS (SELECT *, min(seq) OVER (PARTITION BY session_id, display_id, run) AS document_seq FROM druns)"""
 
+#: A display's cache step by step: `held` has its documents, the newest first, cur its current one.
+CACHE = f"""{SEEN}, frames AS (
+  SELECT session_id, display_id, seq, t, seq // 2 AS sample, text, text || '-' || CAST(seq // 2 % 3 AS VARCHAR) AS frame, text || '/' || CAST(seq // 2 % 2 AS VARCHAR) AS content, row_number() OVER (PARTITION BY session_id, display_id ORDER BY t, seq) AS n FROM samples
+), steps AS (
+  SELECT session_id, display_id, n, seq AS document_seq, false AS reused, [{{'seq': seq, 'at': t, 'frame': frame, 'text': text}}] AS held, {{'seq': seq, 'at': t, 'content': content, 'text': text}} AS cur, text AS served FROM frames WHERE n = 1
+  UNION ALL
+  SELECT session_id, display_id, n, document_seq, reused, held, cur, CASE WHEN reused THEN hit.text ELSE cur.text END FROM (
+    SELECT *, CASE WHEN reused THEN hit.seq ELSE cur.seq END AS document_seq FROM (
+      SELECT session_id, display_id, n, hit, hit IS NOT NULL AS reused,
+        CASE WHEN hit IS NOT NULL OR same THEN live ELSE list_concat([{{'seq': seq, 'at': t, 'frame': frame, 'text': text}}], live)[1 : {HELD}] END AS held,
+        CASE WHEN hit IS NOT NULL OR same THEN now ELSE {{'seq': seq, 'at': t, 'content': content, 'text': text}} END AS cur
+      FROM (SELECT *, list_filter(live, lambda d: d.frame = frame)[1] AS hit, coalesce(now.content = content, false) AS same FROM (
+        SELECT f.*, list_filter(s.held, lambda d: d.at >= f.t - {AGE}) AS live, CASE WHEN s.cur.at >= f.t - {AGE} THEN s.cur END AS now
+        FROM steps s JOIN frames f ON f.session_id = s.session_id AND f.display_id = s.display_id AND f.n = s.n + 1
+      ))
+    )
+  )
+), told AS (SELECT f.*, s.document_seq, s.reused, s.served FROM steps s JOIN frames f ON f.session_id = s.session_id AND f.display_id = s.display_id AND f.n = s.n)"""
+
 QUERIES = {
+    "frame_cache": (frame_cache, f"WITH RECURSIVE {CACHE} SELECT session_id, display_id, seq, document_seq, reused FROM told"),
+    "sample_assembly": (sample_assembly, f"""WITH RECURSIVE {CACHE} SELECT session_id, sample AS seq, count(*) AS displays, count(*) FILTER (WHERE reused) AS reused, count(*) FILTER (WHERE NOT reused) AS recognised,
+  string_agg('Display ' || CAST(display_id AS VARCHAR) || chr(10) || served, chr(10) || chr(10) ORDER BY display_id) AS text, count(*) >= 2 AS complete FROM told GROUP BY session_id, sample"""),
     "encounters_session": (encounters_session, f"WITH {RUNS} SELECT session_id, display_id, text_hash, run, text, first_seen, last_seen, seen_count FROM enc"),
     "ingest_summary": (ingest_summary, f"WITH {RUNS} SELECT session_id, CAST(sum(seen_count) AS BIGINT) AS total, count(*) AS new, CAST(sum(seen_count) - count(*) AS BIGINT) AS updated, count(*) FILTER (WHERE run > 0) AS pruned FROM enc GROUP BY session_id"),
     "encounter_topk_cap": (encounter_topk_cap, f"WITH {RUNS}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY last_seen DESC, first_seen DESC, display_id, text_hash) AS n FROM enc) SELECT session_id, display_id, text_hash, first_seen, last_seen FROM r WHERE n <= 5"),

@@ -63,7 +63,11 @@ def transcript_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def packets_of(embeddings: DataFrame) -> DataFrame:
+    """packet_id, source, samples, sample_rate, channels: stereo packets of 32 frames, of a table or stream of embeddings."""
+    return embeddings.select(F.col("vec_id").alias("packet_id"), F.col("label").cast("long").alias("source"), F.col("embedding").alias("samples"), F.lit(200.0).alias("sample_rate"), F.lit(2).alias("channels"))
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """packet_id, source, samples, sample_rate, channels: stereo packets of 32 frames."""
-    e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("packet_id"), F.col("label").cast("long").alias("source"), F.col("embedding").alias("samples"), F.lit(200.0).alias("sample_rate"), F.lit(2).alias("channels"))
+    """The packets of the table of embeddings."""
+    return packets_of(table(spark, sf_dir, "embeddings"))

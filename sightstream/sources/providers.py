@@ -1,4 +1,4 @@
-"""Where samples and packets come from (S1, S2, S5-S9): a provider gives a stream or a table of them.
+"""Where samples and packets come from (S1-S5, S7-S9, S12): a provider gives a stream or a table of them.
 
 Devices are outside of the engine; what they write into a folder, a queue or a table is where it begins."""
 
@@ -9,7 +9,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightstream.functions.text import device_label, displays_text, trimmed
+from sightstream.functions.text import device_label, trimmed
 
 BOXES = "session_id long, seq long, t long, display_id long, frame_hash string, obs_idx int, text string, x double, y double, w double, h double, confidence double"
 PACKETS = "packet_id long, source string, samples array<float>, sample_rate double, channels int"
@@ -62,12 +62,3 @@ def joined_text(boxes: DataFrame, keys: list[str]) -> DataFrame:
     """The boxes' texts in order, by lines, trimmed."""
     ordered = F.array_sort(F.collect_list(F.struct("obs_idx", "text")))
     return boxes.groupBy(*keys).agg(trimmed(F.array_join(F.transform(ordered, lambda b: b.text), "\n")).alias("text"))
-
-
-def assembled(displays: DataFrame) -> DataFrame:
-    """A row for each sample from rows for each of its displays: how many there were, how many frames were the same as at
-    the sample before and so needn't be recognised again, and the displays' texts."""
-    w = Window.partitionBy("session_id", "display_id").orderBy("seq")
-    rows = displays.withColumn("reused", F.coalesce(F.lag("frame_hash").over(w) == F.col("frame_hash"), F.lit(False)))
-    part = F.struct((F.col("display_id") - 1).alias("index"), "text")
-    return rows.groupBy("session_id", "seq").agg(F.count("*").alias("displays"), F.count_if("reused").alias("reused"), displays_text(F.collect_list(part)).alias("text"))

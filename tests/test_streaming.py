@@ -123,3 +123,27 @@ def test_folder_sink(spark, sf_dir, tmp_path):
     q = P.to_folder(P.unseen(stream), str(tmp_path / "out"), str(tmp_path / "check"), lambda b: b.withColumn("seen", F.lit(True)))
     q.awaitTermination(240)
     assert spark.read.parquet(str(tmp_path / "out")).count() == M.first_of_each(df, ["t", "seq"]).count()
+
+
+def test_late_rows_are_told_and_kept(spark, tmp_path):
+    """On a shuffled input: rows in time and late ones are all that was sent; which ones is as told by a plain watermark."""
+    from sightstream.streaming.lateness import parted, with_lateness
+
+    r = random.Random(11)
+    rows = [(i % 3, i, float(max(0, i - r.choice([0, 1, 30, 80]))) if i % 17 else None) for i in range(240)]
+    schema = "session_id long, seq long, t double"
+    path = str(tmp_path / "in")
+    for a in range(0, 240, 40):
+        spark.createDataFrame(rows[a : a + 40], schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = spark.createDataFrame(drained(with_lateness(stream, ["session_id"], "t", 20.0), "append"), f"{schema}, late_by double")
+    newest, want = {}, {}
+    for a in range(0, 240, 40):
+        bound = {k: v - 20.0 for k, v in newest.items()}
+        for k, i, t in rows[a : a + 40]:
+            want[i] = bound[k] - t if t is not None and k in bound and t < bound[k] else None
+            if t is not None:
+                newest[k] = max(newest.get(k, t), t)
+    assert {x.seq: x.late_by for x in got.collect()} == want
+    kept, late = parted(got)
+    assert kept.count() + late.count() == got.count() == len(rows) and late.count() > 20 and kept.columns == ["session_id", "seq", "t"]
