@@ -2,12 +2,46 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with a mark, and what they are folded to.
-MARKED = "ÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝáàâäãåçéèêëíìîïñóòôöõúùûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+
+
+@cache
+def marked() -> tuple[str, str]:
+    """Characters that are a letter with marks, then the marks; and the letters of the former: by Unicode's decompositions."""
+    found, marks = {}, []
+    for i in (*range(0x80, 0xD800), *range(0xE000, 0x30000)):
+        c = chr(i)
+        if unicodedata.category(c)[0] == "M":
+            marks.append(c)
+            continue
+        base = unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x)[0] != "M"))
+        if base != c and len(base) == 1:
+            found[c] = base
+    return "".join(found) + "".join(marks), "".join(found.values())
+
+
+def plain(c: Column | str) -> Column:
+    """Whether a text has ASCII characters only, of which none is a carriage return: each is a character of its own."""
+    return (F.octet_length(col(c)) == F.length(col(c))) & ~F.contains(col(c), F.lit("\r"))
+
+
+def length(c: Column | str) -> Column:
+    """Characters as a reader counts them: a letter with its marks, a flag, a line end are one each (extended grapheme clusters)."""
+    return F.when(plain(c), F.length(col(c))).otherwise(F.regexp_count(col(c), F.lit(r"\X"))).cast("int")
+
+
+def characters(text: str) -> list[str]:
+    """The characters that length counts, of a plain string."""
+    if text.isascii() and "\r" not in text:
+        return list(text)
+    import regex
+
+    return regex.findall(r"\X", text)
 
 
 def col(c: Column | str) -> Column:
@@ -64,7 +98,8 @@ def aggregate_hash(parts: Column) -> Column:
 
 
 def fold(c: Column | str) -> Column:
-    return F.lower(F.translate(col(c), MARKED, PLAIN))
+    """Letters without marks, whether a mark is part of the character or follows it, in lower case."""
+    return F.lower(F.when(F.octet_length(col(c)) == F.length(col(c)), col(c)).otherwise(F.translate(col(c), *marked())))
 
 
 def normalized_words(c: Column | str) -> Column:

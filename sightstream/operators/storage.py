@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightstream.functions.text import trimmed
+from sightstream.functions.text import length, trimmed
 from sightstream.sources.versions import Versions
 
 TABLE = "rows"
@@ -44,7 +44,7 @@ def save_texts(rows: DataFrame, text: str = "text") -> tuple[DataFrame, DataFram
     """Q12: (texts trimmed, with character_count; rows that are rejected for being blank)."""
     t = rows.withColumn(text, trimmed(text))
     blank = F.coalesce(F.col(text) == "", F.lit(True))
-    return t.where(~blank).withColumn("character_count", F.length(text)), t.where(blank).withColumn("error", F.lit("empty text"))
+    return t.where(~blank).withColumn("character_count", length(text)), t.where(blank).withColumn("error", F.lit("empty text"))
 
 
 def segments_json(segments: Column) -> Column:

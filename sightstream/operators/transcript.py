@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightstream.functions.audio import correlation
-from sightstream.functions.text import normalized_words, trimmed
+from sightstream.functions.text import characters, normalized_words, trimmed
 
 MAX_OVERLAP = 160
 
@@ -40,16 +40,19 @@ def addition(tail: str, more: str, limit: int = MAX_OVERLAP) -> str:
     """What a trimmed chunk adds to a text that ends with tail (its last `limit` characters, or all)."""
     if not tail:
         return more
-    m = min(len(tail), len(more), limit)
-    end, start = tail.lower(), more[:m].lower()
-    if len(end) == len(tail) and len(start) == m:
-        k = next((k for k in range(m, 0, -1) if end.endswith(start[:k])), 0)
-    else:  # letters whose lower case is longer
-        k = next((k for k in range(m, 0, -1) if tail[-k:].lower() == more[:k].lower()), 0)
-    rest = more[k:].strip(WHITE)
+    before, after = characters(tail)[-limit:], characters(more)
+    m = min(len(before), len(after))
+    end, start = [c.lower() for c in before[-m:]], [c.lower() for c in after[:m]]
+    k = next((k for k in range(m, 0, -1) if end[m - k :] == start[:k]), 0)
+    rest = "".join(after[k:]).strip(WHITE)
     return f" {rest}" if rest else ""
 
 
+def ending(text: str, limit: int = MAX_OVERLAP) -> str:
+    """The last `limit` characters."""
+    return "".join(characters(text[-64 * limit :])[-limit:])
+
+
 def trimmed_parts(chunks: DataFrame, keys: list[str]) -> DataFrame:
     """Keys, no (from 1), seq, language and part, what each chunk adds to its session's text; blank chunks are left out.
 
@@ -68,7 +71,7 @@ def trimmed_parts(chunks: DataFrame, keys: list[str]) -> DataFrame:
                 if key != current:
                     current, tail, no = key, "", 0
                 part = addition(tail, text)
-                tail, no = (tail + part)[-MAX_OVERLAP:], no + 1
+                tail, no = ending(tail + part), no + 1
                 parts.append(part)
                 numbers.append(no)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(numbers, pa.int64()), *b.columns[len(keys) : len(keys) + 2], pa.array(parts, pa.string())], [*keys, "no", "seq", "language", "part"])

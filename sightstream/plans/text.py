@@ -62,7 +62,7 @@ def doc_dedup_hash(spark, sf_dir):
 
 def doc_metrics(spark, sf_dir):
     box = F.length("text") * 8.0
-    return docs(spark, sf_dir).select("doc_id", F.length("text").alias("character_count"), T.word_count("text").alias("word_count"), T.ratio(box * 20, F.lit(1920.0 * 1080)).alias("area_ratio"), T.has_text("text").alias("has_text"))
+    return docs(spark, sf_dir).select("doc_id", T.length("text").alias("character_count"), T.word_count("text").alias("word_count"), T.ratio(box * 20, F.lit(1920.0 * 1080)).alias("area_ratio"), T.has_text("text").alias("has_text"))
 
 
 def normalized_words(spark, sf_dir):
@@ -312,7 +312,7 @@ CLASSIFIED = f"""{BLOCKS}, framed AS (
 ), classified AS (
   SELECT *, {_ROLE} AS role, {_CONF} AS confidence, {_WHY} AS reasons FROM firsts
 )"""
-_FOLDED = f"lower(translate(text, '{T.MARKED}', '{T.PLAIN}'))"
+_FOLDED = "lower(strip_accents(text))"
 _WORDS = f"list_filter(regexp_split_to_array(regexp_replace({_FOLDED}, '[^\\p{{L}}\\p{{M}}\\p{{N}}\\s]', ' ', 'g'), '\\s+'), lambda v: v <> '')"
 _CLOCK = lambda s: f"printf('%02d:%02d.%02d', CAST(round({s} * 100) AS BIGINT) // 6000, (CAST(round({s} * 100) AS BIGINT) // 100) % 60, CAST(round({s} * 100) AS BIGINT) % 100)"
 _S = "(event_id * 37 % 7200 / 8.0)"
@@ -328,7 +328,7 @@ QUERIES = {
     "doc_normalize": (doc_normalize, f"SELECT doc_id, {norm('text')} AS norm_text FROM documents"),
     "doc_hash": (doc_hash, f"SELECT doc_id, sha256({norm('text')}) AS text_hash FROM documents"),
     "doc_dedup_hash": (doc_dedup_hash, f"SELECT sha256({norm('text')}) AS text_hash, min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY 1"),
-    "doc_metrics": (doc_metrics, f"SELECT doc_id, CAST(length(text) AS INTEGER) AS character_count, CAST({COUNT.format('text')} AS INTEGER) AS word_count, length(text) * 8.0::DOUBLE * 20 / (1920.0::DOUBLE * 1080) AS area_ratio, {norm('text')} <> '' AS has_text FROM documents"),
+    "doc_metrics": (doc_metrics, f"SELECT doc_id, CAST(length_grapheme(text) AS INTEGER) AS character_count, CAST({COUNT.format('text')} AS INTEGER) AS word_count, length(text) * 8.0::DOUBLE * 20 / (1920.0::DOUBLE * 1080) AS area_ratio, {norm('text')} <> '' AS has_text FROM documents"),
     "normalized_words": (normalized_words, f"SELECT doc_id, CAST(len({_WORDS}) AS INTEGER) AS n_words, coalesce(array_to_string({_WORDS}, ' '), '') AS words FROM documents"),
     "trimmed_text": (trimmed_text, f"SELECT doc_id, {TRIM.format('text')} AS text FROM documents"),
     "frame_hashes": (frame_hashes, "SELECT doc_id, sha256(text) AS frame_hash, sha256('display:' || CAST(doc_id % 2 + 1 AS VARCHAR) || '|frame:' || sha256(text)) AS display_frame_hash FROM documents"),

@@ -165,7 +165,7 @@ FOLD = lambda keys: f"""RECURSIVE {CHUNKS}, ordered AS (
 ), states AS (
   SELECT *, max(rn) OVER (PARTITION BY {keys}) AS n FROM fold
 )"""
-_FOLDED = f"lower(translate(text, '{T.MARKED}', '{T.PLAIN}'))"
+_FOLDED = "lower(strip_accents(text))"
 _WORDS = f"list_filter(regexp_split_to_array(regexp_replace({_FOLDED}, '[^\\p{{L}}\\p{{M}}\\p{{N}}\\s]', ' ', 'g'), '\\s+'), lambda v: v <> '')"
 PAIRS = f"""d AS (
   SELECT doc_id, text, substr(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 1, 24) AS k FROM documents
@@ -216,6 +216,6 @@ FROM chunks k JOIN l ON l.session_id = k.session_id"""),
     "stored_flag": (stored_flag, "SELECT o_orderkey, o_custkey, o_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) AS stored FROM orders"),
     "union_sources": (union_sources, """WITH c AS (SELECT 'computer' AS source, event_id AS id, event_type AS text FROM events WHERE event_id % 2 = 0 ORDER BY ts DESC, event_id DESC LIMIT 50), m AS (SELECT 'microphone' AS source, event_id AS id, event_type AS text FROM events WHERE event_id % 2 = 1 ORDER BY ts DESC, event_id DESC LIMIT 50)
 SELECT source || '-' || CAST(id AS VARCHAR) AS row_id, source, id, text FROM (SELECT * FROM c UNION ALL SELECT * FROM m)"""),
-    "save_texts": (save_texts, f"SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 0 ELSE CAST(length({TRIM.format('text')}) AS INTEGER) END AS character_count, CASE WHEN doc_id % 13 = 0 THEN 'empty text' ELSE '' END AS error FROM documents"),
+    "save_texts": (save_texts, f"SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 0 ELSE CAST(length_grapheme({TRIM.format('text')}) AS INTEGER) END AS character_count, CASE WHEN doc_id % 13 = 0 THEN 'empty text' ELSE '' END AS error FROM documents"),
     "segments_json": (segments_json, """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '[{"n":' || CAST(turn AS VARCHAR) || ',"role":"' || role || '"}]' ELSE 'null' END AS segments FROM conversations"""),
 }

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sightstream.functions.text import trimmed
 from sightstream.operators import audio as A
 from sightstream.operators.storage import numbered
-from sightstream.operators.transcript import MAX_OVERLAP, addition
+from sightstream.operators.transcript import addition, ending
 from sightstream.sources import asr
 from sightstream.streaming import audio as S
 from sightstream.streaming.processors import transcribed
@@ -84,7 +84,7 @@ def transcript(chunks: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFram
                     tail, no, characters, language = r.text, int(r.chunks), int(r.characters), r.language
                     continue
                 part = addition(tail, r.text)
-                tail, no, characters, language = (tail + part)[-MAX_OVERLAP:], no + 1, characters + len(part), r.language or language
+                tail, no, characters, language = ending(tail + part), no + 1, characters + len(part), r.language or language
                 out.append((source, int(r.seq), no, part, None, None, None, None))
             yield pd.DataFrame(out, columns=names).astype(numbers)
         if source is not None:

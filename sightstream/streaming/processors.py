@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from sightstream.operators.transcript import GATE_SECONDS, MAX_OVERLAP, RECENT_CHUNKS, RECENT_SECONDS, addition
+from sightstream.operators.transcript import GATE_SECONDS, MAX_OVERLAP, RECENT_CHUNKS, RECENT_SECONDS, addition, ending
 from sightstream.operators.windows import MAX_SIGHTINGS
 from sightstream.sources import asr
 
@@ -133,7 +133,7 @@ class ChangedSnapshots(StatefulProcessor):
 
 def append_deduplicated(text: str, more: str, limit: int = MAX_OVERLAP) -> str:
     """A22 over plain strings."""
-    return text + addition(text[-limit:], more, limit)
+    return text + addition(ending(text, limit), more, limit)
 
 
 class RunningTranscript(StatefulProcessor):
@@ -153,7 +153,7 @@ class RunningTranscript(StatefulProcessor):
             more = (r.text or "").strip()
             if more:
                 part = addition(tail, more)
-                tail, characters = (tail + part)[-MAX_OVERLAP:], characters + len(part)
+                tail, characters = ending(tail + part), characters + len(part)
                 added.append(part)
                 chunks, language, seq = chunks + 1, r.language or language, int(r.seq)
         if seq is not None:
