@@ -17,6 +17,10 @@ from sightstream.functions.text import normalize, text_hash, trimmed
 WINDOW_SECONDS = 60
 TTL_SECONDS = 60
 MAX_SIGHTINGS = 60
+
+#: Windows that a block of a session's time is as long as.
+BLOCKS = 64
+
 MAX_ENCOUNTERS = 1500
 REPEATED = 0.5
 
@@ -30,42 +34,105 @@ def text_units(samples: DataFrame) -> DataFrame:
     return samples.withColumn("text", trimmed("text")).where(F.length(normalize("text")) > 1)
 
 
-def windows(samples: DataFrame, length: int = WINDOW_SECONDS, start: Column | None = None) -> DataFrame:
+def windows(samples: DataFrame, length: int = WINDOW_SECONDS, start: Column | None = None, block: int | None = None) -> DataFrame:
     """session_id, window_no (from 1), started_at, ended_at, seal_seq, and from_t, from_seq: where the window's samples
     begin (null: with the session). The last, open window is never given out. start: when the session began; None: at its
-    first sample.
+    first sample. block: seconds of a session that are read together; None: BLOCKS windows.
 
-    Each seal depends on the one before, so a session's ticks are read once in their order; all that is held of a session is
-    its anchor, however long it is. From one anchor the next seal is found by binary search. Of samples at one time only the
-    first can seal, so that ticks are aggregated before the shuffle and a session has no more of them than seconds."""
+    Each seal depends on the one before, yet a session is as many tasks as it has blocks of time. Whatever came before a block,
+    the first seal in it is the first of its ticks at or after some time within `length` of its beginning: of those ticks a
+    table tells, by pointer jumping, which seal is the block's last and how many there are. These tables, a fraction of
+    the ticks, are composed in order of time, and with what each block begins with all blocks find their seals. Of samples at
+    one time only the first can seal, so that ticks are aggregated before the shuffle."""
     length = max(1, length)
+    block = max(length, block or BLOCKS * length)
     begin = F.lit(None).cast("long") if start is None else start.cast("long")
-    ticks = samples.groupBy("session_id", F.col("t").cast("long").alias("t")).agg(F.min(F.col("seq").cast("long")).alias("seq"), F.min(begin).alias("start")).repartition("session_id").sortWithinPartitions("session_id", "t")
-    id_type = samples.select("session_id").schema[0].dataType.simpleString()
-    names = ["session_id", "window_no", "started_at", "ended_at", "seal_seq", "from_t", "from_seq"]
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ticks = samples.groupBy("session_id", F.col("t").cast("long").alias("t")).agg(F.min(F.col("seq").cast("long")).alias("seq"), F.min(begin).alias("start"))
+    ticks = ticks.withColumn("block", F.floor(F.col("t") / block).cast("long")).repartition("session_id", "block").sortWithinPartitions("session_id", "block", "t")
+    kind = samples.select("session_id").schema[0].dataType.simpleString()
+    tables = ticks.mapInPandas(_tables(length, block), f"session_id {kind}, block long, first_t long, start long, last_t long, entries array<struct<t: long, last: long, last_seq: long, n: int>>")
+    begun = tables.repartition("session_id").sortWithinPartitions("session_id", "block").mapInPandas(_begun(length), f"session_id {kind}, block long, anchor long, number long, from_t long, from_seq long")
+    rows = ticks.select("session_id", "block", "t", "seq").join(begun.hint("merge"), ["session_id", "block"]).sortWithinPartitions("session_id", "block", "t")
+    return rows.select("session_id", "block", "t", "seq", "anchor", "number", "from_t", "from_seq").mapInPandas(_seals(length), f"session_id {kind}, window_no int, started_at long, ended_at long, seal_seq long, from_t long, from_seq long")
+
+
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Rows of one key after another, of batches in which they lie together."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        changed = (b[keys].to_numpy()[1:] != b[keys].to_numpy()[:-1]).any(axis=1)
+        cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), len(b)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            part = b.iloc[lo:hi]
+            if held and tuple(held[-1][keys].iloc[-1]) != tuple(part[keys].iloc[0]):
+                yield tuple(held[0][keys].iloc[0]), pd.concat(held)
+                held = []
+            held.append(part)
+    if held:
+        yield tuple(held[0][keys].iloc[0]), pd.concat(held)
+
+
+def _tables(length: int, block: int):  # noqa: ANN202
+    """Of each block: for the ticks that can be its first seal, the last seal that follows from it and how many there are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (session, number), b in _groups(batches, ["session_id", "block"]):
+            t, seq = b["t"].to_numpy(), b["seq"].to_numpy()
+            n = len(t)
+            then = np.searchsorted(t, t + length)
+            last, many = np.arange(n), np.ones(n, np.int64)
+            while (on := then < n).any():
+                to = np.where(on, then, 0)
+                last, many, then = np.where(on, last[to], last), np.where(on, many + many[to], many), np.where(on, then[to], n)
+            # a time to seal at is at most `length` after the block's beginning, unless the session begins in it
+            begins = b["start"].iloc[0]
+            top = np.searchsorted(t, max(number * block + length, t[0] + length, (begins if not pd.isna(begins) else t[0]) + length)) + 1
+            entries = [{"t": int(t[i]), "last": int(t[last[i]]), "last_seq": int(seq[last[i]]), "n": int(many[i])} for i in range(min(n, top))]
+            yield pd.DataFrame([(session, number, int(t[0]), None if pd.isna(begins) else int(begins), int(t[-1]), entries)], columns=["session_id", "block", "first_t", "start", "last_t", "entries"]).astype({"start": "Int64"})
+
+    return run
+
+
+def _begun(length: int):  # noqa: ANN202
+    """The blocks of a session that seal something: the anchor they begin with, how many windows were sealed, where the window began."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current: object = None
-        anchor: int | None = None
-        number, since = 0, (None, None)
+        anchor, number, since = 0, 0, (None, None)
         for b in batches:
             out = []
-            ids, t, seq = b["session_id"].to_numpy(), b["t"].to_numpy(), b["seq"].to_numpy()
-            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if lo == hi:
+            for r in b.itertuples(index=False):
+                if current is None or r.session_id != current:
+                    current, anchor, number, since = r.session_id, int(r.first_t if pd.isna(r.start) else r.start), 0, (None, None)
+                if r.last_t < anchor + length:
                     continue
-                if anchor is None or ids[lo] != current:
-                    first = b["start"].iloc[lo]
-                    current, anchor, number, since = ids[lo], int(t[lo] if pd.isna(first) else first), 0, (None, None)
-                at = lo
-                while (at := at + int(np.searchsorted(t[at:hi], anchor + length))) < hi:
-                    number += 1
-                    out.append((current, number, anchor, int(t[at]), int(seq[at]), *since))
-                    anchor, since, at = int(t[at]), (int(t[at]), int(seq[at])), at + 1
+                out.append((current, r.block, anchor, number, *since))
+                first = next(e for e in r.entries if e["t"] >= anchor + length)
+                anchor, number, since = first["last"], number + first["n"], (first["last"], first["last_seq"])
+            yield pd.DataFrame(out, columns=["session_id", "block", "anchor", "number", "from_t", "from_seq"]).astype({"from_t": "Int64", "from_seq": "Int64"})
+
+    return run
+
+
+def _seals(length: int):  # noqa: ANN202
+    """The seals of each block, from what it begins with. From one anchor the next seal is found by binary search."""
+    names = ["session_id", "window_no", "started_at", "ended_at", "seal_seq", "from_t", "from_seq"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (session, _), b in _groups(batches, ["session_id", "block"]):
+            t, seq = b["t"].to_numpy(), b["seq"].to_numpy()
+            anchor, number = int(b["anchor"].iloc[0]), int(b["number"].iloc[0])
+            since = tuple(None if pd.isna(b[c].iloc[0]) else int(b[c].iloc[0]) for c in ("from_t", "from_seq"))
+            out, at = [], 0
+            while (at := at + int(np.searchsorted(t[at:], anchor + length))) < len(t):
+                number += 1
+                out.append((session, number, anchor, int(t[at]), int(seq[at]), *since))
+                anchor, since, at = int(t[at]), (int(t[at]), int(seq[at])), at + 1
             yield pd.DataFrame(out, columns=names).astype({"from_t": "Int64", "from_seq": "Int64"})
 
-    return ticks.mapInPandas(scan, f"session_id {id_type}, window_no int, started_at long, ended_at long, seal_seq long, from_t long, from_seq long")
+    return run
 
 
 def assign(samples: DataFrame, length: int = WINDOW_SECONDS, start: Column | None = None) -> DataFrame:
