@@ -12,7 +12,7 @@ table of sources goes to all tasks if a count shows that it is small, so that no
 it is joined by source and a salt from the document, each source being there once for each salt.
 
 Nulls and ties: a null or empty source is one source, named ''. A null text has size 0. A source of size 0 is repeated 0
-times. Rows with one doc_id draw the same count. A source without a weight has weight 0. Columns of the input named
+times. Rows with one doc_id draw the same count; rows without one draw by their text. A source without a weight has weight 0. Columns of the input named
 copy or shuffle_key are replaced, all others are kept. An empty table gives no rows.
 """
 
@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightstream.llm.common import free_name
+
 SEED = 42
 STEP = 16.0
 
@@ -32,6 +34,11 @@ SMALL = 10_000
 SALTS = 64
 
 
+def name_of() -> Column:
+    """What a document draws by: its doc_id; without one, its text."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null-"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+
+
 def uniform(*parts: Column | str) -> Column:
     """From 0 to 1, by the first 52 bits of an MD5 of the parts."""
     text = F.md5(F.concat_ws(":", *(F.coalesce(p.cast("string"), F.lit("null")) if isinstance(p, Column) else F.lit(p) for p in parts)))
@@ -65,22 +72,25 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, targe
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, target: float | None = None, seed: int = SEED) -> DataFrame:
     """The columns of docs, copy (from 1) and shuffle_key, in shuffled order."""
     docs = docs.drop("copy", "shuffle_key")
+    own = {c: free_name(docs, c) for c in ("_mix_source", "_mix_parts", "_mix_table", "_mix_salt", "_mix_count", "_mix_name")}
     parts = F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("int")
     rates, n = source_rates(docs, weights, target)
-    rates = rates.select(F.col("source").alias("_mix_source"), parts.alias("_mix_parts"), poisson_table(F.col("rate") / parts).alias("_mix_table"))
+    rates = rates.select(F.col("source").alias(own["_mix_source"]), parts.alias(own["_mix_parts"]), poisson_table(F.col("rate") / parts).alias(own["_mix_table"]))
+    named = docs.withColumn(own["_mix_name"], name_of())
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
     if n <= SMALL:
-        drawn = docs.join(F.broadcast(rates), source == F.col("_mix_source"))
+        drawn = named.join(F.broadcast(rates), source == F.col(own["_mix_source"]))
     else:
-        rates = rates.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        drawn = docs.join(rates, (source == F.col("_mix_source")) & (F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)) == F.col("_mix_salt")))
+        rates = rates.withColumn(own["_mix_salt"], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        drawn = named.join(rates, (source == F.col(own["_mix_source"])) & (F.pmod(F.xxhash64(own["_mix_name"]), F.lit(SALTS)) == F.col(own["_mix_salt"])))
     # each number is a lambda variable below: written inside the filter, its hash would be computed for every value of the table
-    numbers = F.transform(F.sequence(F.lit(1), F.col("_mix_parts")), lambda j: uniform(str(seed), F.col("doc_id"), j))
-    count = F.aggregate(numbers, F.lit(0), lambda n, u: n + F.size(F.filter("_mix_table", lambda t: t <= u)))
-    copies = drawn.select(*(F.col(f"`{c}`") for c in docs.columns), count.alias("_mix_count")).where("_mix_count > 0")
-    copies = copies.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_mix_count"))).alias("copy"))
-    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("copy"), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
-    return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy")
+    numbers = F.transform(F.sequence(F.lit(1), F.col(own["_mix_parts"])), lambda j: uniform(str(seed), F.col(own["_mix_name"]), j))
+    count = F.aggregate(numbers, F.lit(0), lambda n, u: n + F.size(F.filter(own["_mix_table"], lambda t: t <= u)))
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    copies = drawn.select(*kept, own["_mix_name"], count.alias(own["_mix_count"])).where(F.col(own["_mix_count"]) > 0)
+    copies = copies.select(*kept, own["_mix_name"], F.explode(F.sequence(F.lit(1), F.col(own["_mix_count"]))).alias("copy"))
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(own["_mix_name"]), F.lit("copy"), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
+    return copies.select(*kept, "copy", key.alias("shuffle_key")).repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy")
 
 
 def op3(docs: DataFrame) -> DataFrame:
@@ -89,7 +99,9 @@ def op3(docs: DataFrame) -> DataFrame:
 
 def mix_sql(docs: str = "documents", columns: str = "doc_id, source, CAST(copy AS BIGINT) AS copy, shuffle_key, text") -> str:
     return f"""
-WITH RECURSIVE sizes AS (
+WITH RECURSIVE named AS (
+  SELECT *, coalesce(CAST(doc_id AS VARCHAR), 'null-' || md5(coalesce(text, ''))) AS name FROM {docs}
+), sizes AS (
   SELECT coalesce(source, '') AS source, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS size FROM {docs} GROUP BY 1
 ), weighted AS (
   SELECT source, size, CAST(floor(sqrt(CAST(size AS DOUBLE)) * 1000) AS BIGINT) AS weight FROM sizes
@@ -104,14 +116,14 @@ WITH RECURSIVE sizes AS (
   UNION ALL
   SELECT source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM dist WHERE k < 100
 ), draws AS (
-  SELECT d.doc_id, s.source, j, CAST(CAST('0x' || substr(md5('42:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':' || CAST(j AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
-  FROM (SELECT DISTINCT doc_id, coalesce(source, '') AS source FROM {docs}) d JOIN split_rates s ON d.source = s.source, unnest(range(1, s.parts + 1)) AS t(j)
+  SELECT d.name, s.source, j, CAST(CAST('0x' || substr(md5('42:' || d.name || ':' || CAST(j AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
+  FROM (SELECT DISTINCT name, coalesce(source, '') AS source FROM named) d JOIN split_rates s ON d.source = s.source, unnest(range(1, s.parts + 1)) AS t(j)
 ), counts AS (
-  SELECT w.doc_id, w.source, count(*) AS n FROM draws w JOIN dist t ON w.source = t.source AND t.c <= w.u GROUP BY w.doc_id, w.source
+  SELECT w.name, w.source, count(*) AS n FROM draws w JOIN dist t ON w.source = t.source AND t.c <= w.u GROUP BY w.name, w.source
 ), copies AS (
-  SELECT d.*, copy FROM {docs} d JOIN counts c ON d.doc_id IS NOT DISTINCT FROM c.doc_id AND coalesce(d.source, '') = c.source, unnest(range(1, c.n + 1)) AS t(copy)
+  SELECT d.*, copy FROM named d JOIN counts c ON d.name = c.name AND coalesce(d.source, '') = c.source, unnest(range(1, c.n + 1)) AS t(copy)
 )
-SELECT {columns} FROM (SELECT *, CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':copy:' || CAST(copy AS VARCHAR)), 1, 15) AS BIGINT) AS shuffle_key FROM copies)
+SELECT {columns} FROM (SELECT *, CAST('0x' || substr(md5('42:' || name || ':copy:' || CAST(copy AS VARCHAR)), 1, 15) AS BIGINT) AS shuffle_key FROM copies)
 """
 
 

@@ -7,7 +7,8 @@ Layout of a folder: for each shard s, in ascending document order,
 and manifest.json with a record for each shard (documents, tokens, base). The base of a shard is the prefix sum
 of the token counts of the shards before it, so that only one record a shard ever reaches the driver.
 
-Documents are range-partitioned by doc_id, each task encodes and writes its range, and files get their names by an
+Documents are range-partitioned by doc_id and the first characters of their text, so that many rows with one id, or without
+one, are many ranges in the order that sorting gives them; each task encodes and writes its range, and files get their names by an
 atomic rename of what a task finished, so that a task that runs again or twice leaves the same files.
 
 Nulls and ties: a null text is empty (its document is the end id alone), rows with the same doc_id are kept, ordered by
@@ -38,6 +39,9 @@ MANIFEST = "shard long, docs long, tokens long"
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 NEAR_SPACE = re.compile(r" \s|\s ")
 
+#: Characters of a text by which rows of one doc_id, or without one, are ranged.
+HEAD = 64
+
 #: Pieces that a Python worker remembers.
 CACHE = 1_000_000
 
@@ -163,7 +167,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0) ->
 
     store, at = _store(path)
     store.create_dir(at, recursive=True)
-    ordered = tune(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = tune(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id", F.substring("text", 1, HEAD)).sortWithinPartitions("doc_id", "text")
     shards = sorted((r.asDict() for r in ordered.mapInArrow(shard, MANIFEST).collect()), key=lambda r: r["shard"])
     base = 0
     for r in shards:

@@ -300,7 +300,35 @@ def test_rows_with_one_doc_id_have_their_own_results(spark):
     langs = df.withColumn("lang", F.lit("en"))
     assert Counter((r.doc_id, r.lang_pred) for r in language.op10(langs).collect()) == Counter((i, "en" if t else "und") for i, t in texts)
     mixed = Counter((r.doc_id, r.text) for r in mixing.op3(df.withColumn("source", F.lit("s"))).collect())
-    assert mixed[1, texts[1][1]] == 2 * mixed[1, texts[0][1]] and mixed[None, None] == mixed[None, "alpha"]
+    assert mixed[1, texts[1][1]] == 2 * mixed[1, texts[0][1]]
+
+
+def test_rows_without_a_doc_id_are_drawn_and_dealt_by_their_text(spark):
+    """Their counts differ, and they are many ranges of the token files, in the order of their texts."""
+    texts = [(None, f"text number {i}") for i in range(2000)] + [(7, f"seven {i}") for i in range(500)]
+    clash = [f"_mix_{c}" for c in ("source", "parts", "table", "salt", "count", "name")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").select("*", F.lit("s").alias("source"), *(F.lit(1).alias(c) for c in clash))
+    mixed = mixing.mix(df)
+    assert mixed.columns == [*df.columns, "copy", "shuffle_key"]
+    rows = mixed.collect()
+    many = {}
+    for r in rows:
+        if r.doc_id is None:
+            many[r.text] = many.get(r.text, 0) + 1
+    assert 1100 < len(many) < 1400 and 1850 < sum(many.values()) < 2150  # a share of 1 - 1/e; a mean of 1
+    assert len({r.shuffle_key for r in rows if r.doc_id is None}) == sum(many.values())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = token_files.new_path(spark, "tokens")
+        manifest = token_files.write(df.drop(*clash), path, TOK)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(manifest["shards"]) > 2 and max(s["docs"] for s in manifest["shards"]) < 1500
+    got = [(r.doc_id, list(r.tokens)) for r in token_files.read(spark, path).orderBy("start").collect()]
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(TOK)
+    assert got == [(i, [*tok.encode(t, add_special_tokens=False).ids, 0]) for i, t in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))]
 
 
 def test_language_forward_pass_and_ties():
