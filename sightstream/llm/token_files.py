@@ -42,8 +42,9 @@ NEAR_SPACE = re.compile(r" \s|\s ")
 #: Characters of a text by which rows of one doc_id, or without one, are ranged.
 HEAD = 64
 
-#: Pieces that a Python worker remembers.
+#: Pieces that a Python worker remembers, at most but for those of one batch; pieces that are encoded together.
 CACHE = 1_000_000
+TOGETHER = 64
 
 
 class PieceEncoder:
@@ -57,10 +58,31 @@ class PieceEncoder:
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.byte_level = type(self.tok.pre_tokenizer).__name__ == "ByteLevel" and self.tok.normalizer is None
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # what was known until `known` was half of CACHE: words that recur move on
+        special = [(i, t.content) for i, t in sorted(self.tok.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.marker = special[0] if special else None
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def pieces(self, texts: list[str]) -> list[bytes]:
+        """whole() of many short texts, of which some are encoded as one: a special token stands between them."""
+        if self.marker is None or not texts:
+            return self.whole(texts)
+        number, name = self.marker
+        groups = [texts[lo : lo + TOGETHER] for lo in range(0, len(texts), TOGETHER)]
+        out: list[bytes] = []
+        wide = self.dtype.itemsize
+        for own, e in zip(groups, self.tok.encode_batch_fast([name.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            ends = (np.flatnonzero(ids == number) * wide).tolist()
+            if len(ends) != len(own) - 1:  # it is in a text, too
+                out += self.whole(own)
+                continue
+            raw, starts = ids.tobytes(), [0, *(x + wide for x in ends)]
+            out += [raw[a:b] for a, b in zip(starts, [*ends, len(raw)], strict=True)]
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.byte_level:
             return self.whole(texts)
@@ -72,13 +94,16 @@ class PieceEncoder:
                 p = t.split(" ")
             first, rest = p[0], p[1:]
             parts.append((first, rest))
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = {x for _, rest in parts for x in rest if x not in known}
-        if new:
-            new = list(new)
-            known.update(zip(new, self.whole([" " + x for x in new]), strict=True))
+        if len(self.known) > CACHE // 2:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        distinct: set[str] = set()
+        for _, rest in parts:
+            distinct.update(rest)
+        missing = [x for x in distinct if x not in known]
+        known.update((x, before[x]) for x in missing if x in before)
+        new = [x for x in missing if x not in known]
+        known.update(zip(new, self.pieces([" " + x for x in new]), strict=True))
         heads = self.whole([first for first, _ in parts])
         get = known.__getitem__
         return [h + b"".join(map(get, rest)) for h, (_, rest) in zip(heads, parts, strict=True)]

@@ -126,6 +126,19 @@ def test_pieces_are_encoded_as_the_whole():
     assert [np.frombuffer(x, enc.dtype).tolist() for x in enc(texts)] == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_pieces_together_are_encoded_as_alone(monkeypatch):
+    """Pieces with a special token between them, one of which has it itself; a cache that is forgotten by halves."""
+    monkeypatch.setattr(token_files, "TOGETHER", 3)
+    monkeypatch.setattr(token_files, "CACHE", 12)
+    enc = token_files.PieceEncoder(TOK)
+    texts = [" a", " é,x", " <|endoftext|>", " b<|endoftext|>c", " d", " e", "漢字", "", " a"]
+    assert enc.pieces(texts) == enc.whole(texts) and enc.pieces([]) == []
+    for i in range(40):
+        t = [f"start word{i} again x{i % 3} <|endoftext|> y{i}"]
+        assert enc(t) == enc.whole(t) and len(enc.known) <= 12
+    assert "again" in enc.known
+
+
 def test_paths_hold_each_window_once(docs):
     data = np.frombuffer("\n".join(t or "" for _, t in docs).encode(), np.uint8)
     words = words_of(data, np.array([0, len(data) // 2, len(data)]), byte_set(b" \t\n\x0b\x0c\r"))
