@@ -295,8 +295,8 @@ def test_chunks_hold_all_blocks(spark, sf_dir):
 def test_store(spark, tmp_path):
     store = Q.Store(spark, str(tmp_path / "t"), "id bigint, session string, seq bigint, t bigint, note string", ["session", "seq"], {"note": "none"})
     rows = lambda *r: spark.createDataFrame(list(r), "session string, seq bigint, t bigint, note string")
-    assert store.append(rows(("a", 1, 5, "x"), ("a", 1, 6, "y"), ("b", 1, 7, None)), ["t"]).count() == 1
-    assert store.append(rows(("a", 1, 9, "z"), ("c", 1, 8, "q")), ["t"]).count() == 1
+    assert store.append(rows(("a", 1, 5, "x"), ("a", 1, 6, "y"), ("b", 1, 7, None)), ["t"]).rejected.count() == 1
+    assert store.append(rows(("a", 1, 9, "z"), ("c", 1, 8, "q")), ["t"]).rejected.count() == 1
     got = sorted((r.id, r.session, r.t, r.note) for r in store.read().collect())
     assert sorted(x[0] for x in got) == [1, 2, 3] and {x[1:] for x in got} == {("a", 5, "x"), ("b", 7, "none"), ("c", 8, "q")}
     store.delete_older("t", F.lit(7))
