@@ -5,10 +5,12 @@ is the next anchor. An encounter is a text on a display; it is forgotten once it
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,10 @@ MAX_SIGHTINGS = 60
 BLOCKS = 64
 
 MAX_ENCOUNTERS = 1500
+
+#: Times to live that memory is read in at once, after one that only tells what it holds.
+LIVES = 16
+
 REPEATED = 0.5
 
 #: Roles that chrome of a user interface can have.
@@ -158,20 +164,76 @@ def assign(samples: DataFrame, length: int = WINDOW_SECONDS, start: Column | Non
     return samples.withColumn("_stretch", stretch(F.col("t").cast("long"))).join(spans, ["session_id", "_stretch"]).where(inside).select(*samples.columns, "window_no", "started_at", "ended_at")
 
 
-def gap_sessions(rows: DataFrame, keys: list[str], ttl: int = TTL_SECONDS) -> DataFrame:
-    """Rows with a number for each run of sightings of one key that are at most ttl apart."""
+def gap_sessions(rows: DataFrame, keys: list[str], ttl: int = TTL_SECONDS, lost: Column | None = None) -> DataFrame:
+    """Rows with a number for each run of sightings of one key that are at most ttl apart. lost: whether memory had let
+    the key go before a row for another reason, which begins a run too."""
     w = Window.partitionBy(*keys).orderBy("t", "seq")
     new = F.col("t") - F.lag("t").over(w) > ttl
+    if lost is not None:
+        new = new | (lost & (F.rank().over(w) - 1 > F.count_if(F.col("t").isNull()).over(w)))
     return rows.withColumn("_new", F.coalesce(new.cast("int"), F.lit(0))).withColumn("run", F.sum("_new").over(w)).drop("_new")
 
 
-def encounters(samples: DataFrame, keys: list[str], ttl: int = TTL_SECONDS) -> DataFrame:
-    """For each key, display, text and run: the first text, first and last time, how often it was seen, the last
-    MAX_SIGHTINGS sightings and how often it had which role. samples: keys, display_id, t, seq, text, role, x, y, w, h."""
+def evictions(rows: DataFrame, keys: list[str], limit: int, ttl: int = TTL_SECONDS, lives: int = LIVES) -> DataFrame:
+    """Rows with `lost`: whether their text on their display isn't among the `limit` that memory of its keys holds when the
+    row comes. Memory lets those go that were seen least recently, after every sample, which is the rows of one (t, seq). Of
+    one sample's texts those go first that are last by display and hash. rows: keys, display_id, text_hash, t, seq; rows
+    without a t are never held.
+
+    What memory holds are the texts seen last, however it came to hold them. So the rows of one time to live before a stretch of
+    time tell what it holds when the stretch begins, and each stretch of `lives` of them is a task's work of its own: a row goes
+    to its stretch, and to the next one if it is at most ttl before it. A task reads its rows in order and holds `limit`
+    texts and those of one sample."""
+    t, order = F.col("t").cast("double"), ["t", "seq", F.desc("display_id"), F.desc("text_hash")]
+    size = max(1, ttl) * max(1, lives)
+    own = F.floor(t / size).cast("long")
+    following = F.floor((t + ttl) / size).cast("long")
+    dealt = rows.withColumn("_own", own).withColumn("_stretch", F.explode(F.when(following > own, F.array(own, own + 1)).otherwise(F.array(own))))
+    first = F.row_number().over(Window.partitionBy(*keys, "_stretch").orderBy(*order)) == 1
+    dealt = dealt.withColumn("_first", first).sortWithinPartitions(*keys, "_stretch", *order)
+    told = dealt.withColumn("_here", F.coalesce(F.col("_own") == F.col("_stretch"), F.lit(True))).drop("_own", "_stretch")
+    schema = rows.withColumn("lost", F.lit(True)).schema
+    return told.mapInArrow(_evicted(max(1, limit), rows.columns), schema)
+
+
+def _evicted(limit: int, columns: list[str]):  # noqa: ANN202
+    """The rows that are a stretch's own, with `lost`. Texts are held in the order in which they were seen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: OrderedDict[tuple, None] = OrderedDict()
+        sample = None
+        for b in batches:
+            lost = []
+            for first, t, seq, *text in zip(*(b.column(c).to_pylist() for c in ("_first", "t", "seq", "display_id", "text_hash")), strict=True):
+                if first:
+                    held.clear()
+                if t is None:
+                    lost.append(False)
+                    continue
+                if first or (t, seq) != sample:
+                    sample = (t, seq)
+                    while len(held) > limit:
+                        held.popitem(last=False)
+                k = tuple(text)
+                lost.append(k not in held)
+                held[k] = None
+                held.move_to_end(k)
+            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(lost, pa.bool_())], names=[*columns, "lost"])
+            yield out.filter(b.column("_here"))
+
+    return run
+
+
+def encounters(samples: DataFrame, keys: list[str], ttl: int = TTL_SECONDS, limit: int | None = None) -> DataFrame:
+    """For each key, display, text and run: the first text, first and last time, how often it was seen, the last
+    MAX_SIGHTINGS sightings and how often it had which role. samples: keys, display_id, t, seq, text, role, x, y, w, h.
+    limit: texts that memory of a key holds after each sample; one that it let go begins a new run."""
     rows = text_units(samples).withColumn("text_hash", text_hash("text"))
     by = [*keys, "display_id", "text_hash"]
+    if limit is not None:
+        rows = evictions(rows.select(*by, "t", "seq", "text", "role", "x", "y", "w", "h"), keys, limit, ttl)
     newest = Window.partitionBy(*by, "run").orderBy(F.desc("t"), F.desc("seq"))
-    ranked = gap_sessions(rows, by, ttl).withColumn("_n", F.row_number().over(newest))
+    ranked = gap_sessions(rows, by, ttl, None if limit is None else F.col("lost")).withColumn("_n", F.row_number().over(newest))
     sighting = F.when(F.col("_n") <= MAX_SIGHTINGS, F.struct("t", "seq", "x", "y", "w", "h"))
     by_role = ranked.groupBy(*by, "run", "role").agg(F.min(F.struct("t", "seq", "text")).alias("first"), F.max("t").alias("last_seen"), F.count("*").alias("n"), F.collect_list(sighting).alias("s"))
     return by_role.groupBy(*by, "run").agg(
@@ -180,25 +242,32 @@ def encounters(samples: DataFrame, keys: list[str], ttl: int = TTL_SECONDS) -> D
     )
 
 
+def remembered(found: DataFrame, keys: list[str], now: Column, ttl: int = TTL_SECONDS, limit: int = MAX_ENCOUNTERS) -> DataFrame:
+    """The encounters that memory of each key holds at the time `now`, of those that `encounters` found with this limit: the
+    last run of a text, if it was seen in the ttl before, of the `limit` that were seen last."""
+    seen = F.element_at("sightings", -1)
+    last = found.withColumn("_last", F.max("run").over(Window.partitionBy(*keys, "display_id", "text_hash"))).where((F.col("run") == F.col("_last")) & (F.col("last_seen") >= now - ttl))
+    w = Window.partitionBy(*keys).orderBy(seen.t.desc(), seen.seq.desc(), "display_id", "text_hash")
+    return last.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_last", "_n")
+
+
 def dominant_role(roles: Column) -> Column:
     """The most frequent role of an array of (role, n), ties to the first by name; unknown if there is none."""
     return F.coalesce(F.array_min(F.transform(roles, lambda r: F.struct((-r.n).alias("n"), r.role.alias("role")))).role, F.lit("unknown"))
 
 
 def capped(found: DataFrame, keys: list[str], limit: int = MAX_ENCOUNTERS) -> DataFrame:
-    """The encounters seen last, ties to those first seen later, then by display and hash."""
+    """Encounters of all times, the `limit` seen last, ties to those first seen later, then by display and hash."""
     w = Window.partitionBy(*keys).orderBy(F.desc("last_seen"), F.desc("first_seen"), "display_id", "text_hash")
     return found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
 
 
-def sealed_encounters(samples: DataFrame, length: int = WINDOW_SECONDS, ttl: int = TTL_SECONDS) -> DataFrame:
+def sealed_encounters(samples: DataFrame, length: int = WINDOW_SECONDS, ttl: int = TTL_SECONDS, limit: int = MAX_ENCOUNTERS) -> DataFrame:
     """What memory holds when a window is sealed: of each key its last run, if it was seen in the ttl before the end.
     Memory is cleared at a seal, so that runs never cross windows."""
     keys = ["session_id", "window_no", "started_at", "ended_at"]
-    found = encounters(assign(samples, length), keys, ttl)
-    last = Window.partitionBy(*keys, "display_id", "text_hash")
-    kept = found.withColumn("_last", F.max("run").over(last)).where((F.col("run") == F.col("_last")) & (F.col("last_seen") >= F.col("ended_at") - ttl)).drop("_last", "run")
-    return capped(kept, keys).withColumn("role", dominant_role(F.col("roles")))
+    found = encounters(assign(samples, length), keys, ttl, limit)
+    return remembered(found, keys, F.col("ended_at"), ttl, limit).drop("run").withColumn("role", dominant_role(F.col("roles")))
 
 
 def segments(found: DataFrame) -> DataFrame:

@@ -54,9 +54,25 @@ def sighting_cap(spark, sf_dir):
 
 def recent_encounters(spark, sf_dir):
     """Encounters that memory holds at the end of each session, first seen first."""
-    found = W.encounters(seen(spark, sf_dir), ["session_id"], TTL)
+    found = W.encounters(seen(spark, sf_dir), ["session_id"], TTL, W.MAX_ENCOUNTERS)
     last = samples(spark, sf_dir).groupBy("session_id").agg(F.max("t").alias("now"))
-    return found.join(last, "session_id").where(F.col("last_seen") >= F.col("now") - TTL).select("session_id", "display_id", "text", "first_seen", "last_seen").orderBy("session_id", "first_seen", "text")
+    return W.remembered(found.join(last, "session_id"), ["session_id"], F.col("now"), TTL).select("session_id", "display_id", "text", "first_seen", "last_seen").orderBy("session_id", "first_seen", "text")
+
+
+#: Texts that the memory of the queries below holds, about half of what a user's day of events has.
+FEW, DAY = 3, 2 * TTL
+
+
+def evicted_encounters(spark, sf_dir):
+    """Encounters of a memory that lets texts go after every sample."""
+    return W.encounters(seen(spark, sf_dir), ["session_id"], DAY, FEW).select("session_id", "display_id", "text_hash", "run", "first_seen", "last_seen", "seen_count", F.size("sightings").alias("kept"))
+
+
+def remembered_encounters(spark, sf_dir):
+    """What is left in that memory at the end of each session."""
+    last = samples(spark, sf_dir).groupBy("session_id").agg(F.max("t").alias("now"))
+    found = W.encounters(seen(spark, sf_dir), ["session_id"], DAY, FEW).join(last, "session_id")
+    return W.remembered(found, ["session_id"], F.col("now"), DAY, FEW).select("session_id", "display_id", "text_hash", "run", "first_seen", "last_seen", "seen_count")
 
 
 def dominant_role(spark, sf_dir):
@@ -209,6 +225,18 @@ SEALED = f"""{SEALS}, wgaps AS (
 ), segments AS (
   SELECT *, role IN ({', '.join(repr(r) for r in W.CHROME_ROLES)}) AND CAST(sightings AS DOUBLE) / lines / greatest(ended_at - started_at, 1) >= {W.REPEATED} AS repeated_ui FROM segs
 )"""
+#: A text is let go once FEW others were seen since: the distinct ones between two of its sightings are counted.
+EVICTED = f"""{SEEN}, units AS (
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t, seq) AS rn FROM seen WHERE length({NORM_TEXT}) > 1
+), again AS (
+  SELECT *, lag(t) OVER w AS before, lag(rn) OVER w AS before_rn FROM units WINDOW w AS (PARTITION BY session_id, display_id, text_hash ORDER BY rn)
+), others AS (
+  SELECT a.session_id, a.rn, count(DISTINCT CAST(o.display_id AS VARCHAR) || o.text_hash) AS n FROM again a JOIN units o ON o.session_id = a.session_id AND o.rn > a.before_rn AND o.rn < a.rn GROUP BY a.session_id, a.rn
+), eruns AS (
+  SELECT a.*, CAST(sum(CASE WHEN a.t - before > {DAY} OR o.n >= {FEW} THEN 1 ELSE 0 END) OVER (PARTITION BY a.session_id, display_id, text_hash ORDER BY a.rn) AS BIGINT) AS run FROM again a LEFT JOIN others o ON o.session_id = a.session_id AND o.rn = a.rn
+), ev AS (
+  SELECT session_id, display_id, text_hash, run, min(t) AS first_seen, max(t) AS last_seen, max(rn) AS last_rn, count(*) AS seen_count FROM eruns GROUP BY session_id, display_id, text_hash, run
+)"""
 SNAPS = f"""{SEEN}, snaps AS (SELECT session_id, display_id, seq, t, text, text_hash, sha256(CAST(seq % 3 AS VARCHAR)) AS layout_hash FROM placed)"""
 _SAME = "lag(text_hash) OVER {0} IS NOT DISTINCT FROM text_hash AND lag(layout_hash) OVER {0} IS NOT DISTINCT FROM layout_hash AND row_number() OVER {0} > 1"
 _W1 = "(PARTITION BY session_id ORDER BY t, seq)"
@@ -246,6 +274,11 @@ QUERIES = {
     "sighting_cap": (sighting_cap, f"""WITH {SEEN}, r AS (SELECT *, row_number() OVER (PARTITION BY display_id, text_hash ORDER BY t DESC, seq DESC) AS n, count(*) OVER (PARTITION BY display_id, text_hash) AS c FROM seen WHERE length({NORM_TEXT}) > 1)
 SELECT display_id, text_hash, max(c) AS seen_count, CAST(count(*) AS INTEGER) AS kept, first(seq ORDER BY n DESC) AS oldest, first(seq ORDER BY n) AS newest FROM r WHERE n <= {W.MAX_SIGHTINGS} GROUP BY display_id, text_hash"""),
     "recent_encounters": (recent_encounters, f"WITH {RUNS}, l AS (SELECT session_id, max(t) AS now FROM samples GROUP BY session_id) SELECT e.session_id, display_id, text, first_seen, last_seen FROM enc e JOIN l ON e.session_id = l.session_id WHERE last_seen >= now - {TTL}"),
+    "evicted_encounters": (evicted_encounters, f"WITH {EVICTED} SELECT session_id, display_id, text_hash, run, first_seen, last_seen, seen_count, CAST(least(seen_count, {W.MAX_SIGHTINGS}) AS INTEGER) AS kept FROM ev"),
+    "remembered_encounters": (remembered_encounters, f"""WITH {EVICTED}, l AS (SELECT session_id, max(t) AS now FROM samples GROUP BY session_id), texts AS (
+  SELECT *, row_number() OVER (PARTITION BY session_id, display_id, text_hash ORDER BY run DESC) AS newest FROM ev
+), r AS (SELECT texts.*, now, row_number() OVER (PARTITION BY texts.session_id ORDER BY last_rn DESC) AS n FROM texts JOIN l ON l.session_id = texts.session_id WHERE newest = 1)
+SELECT session_id, display_id, text_hash, run, first_seen, last_seen, seen_count FROM r WHERE n <= {FEW} AND last_seen >= now - {DAY}"""),
     "dominant_role": (dominant_role, f"WITH {RUNS}, c AS (SELECT session_id, display_id, text_hash, run, role, row_number() OVER (PARTITION BY session_id, display_id, text_hash, run ORDER BY count(*) DESC, role) AS r FROM runs GROUP BY session_id, display_id, text_hash, run, role) SELECT session_id, display_id, text_hash, run, role FROM c WHERE r = 1"),
     "seal_windows": (seal_windows, f"WITH {SEALS} SELECT session_id, window_no, started_at, ended_at, seal_seq FROM wins"),
     "window_samples": (window_samples, f"WITH {SEALS} SELECT session_id, seq, window_no, started_at, ended_at FROM assigned"),

@@ -7,6 +7,7 @@ session is bounded by its own memory only: encounters of the open window, the la
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -64,6 +65,16 @@ class SealedWindows(StatefulProcessor):
         for k in [k for k, v in held.items() if v[4] < now - self.ttl]:
             del held[k]
 
+    def _evict(self, held: dict[str, list], sample: tuple[int, int] | None = None) -> None:
+        """Lets go what is beyond the limit, unless the last sample (t, seq) isn't over: seen least recently first, of one
+        sample's texts the last by display and hash."""
+        if len(held) <= self.limit:
+            return
+        newest = heapq.nlargest(self.limit, held, key=lambda k: (*held[k][6]["sightings"][-1][:2], -held[k][0], [-ord(c) for c in held[k][1]]))
+        if sample is None or tuple(held[newest[0]][6]["sightings"][-1][:2]) != sample:
+            for k in held.keys() - set(newest):
+                del held[k]
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = {k[0]: [*v[:6], json.loads(v[6])] for k, v in self.memory.iterator()}
         state = self.window.get()
@@ -80,6 +91,7 @@ class SealedWindows(StatefulProcessor):
             norm = normalized(text)
             self._prune(held, t)
             if len(norm) > 1:
+                self._evict(held, (t, int(r.seq)))
                 digest = hashlib.sha256(norm.encode()).hexdigest()
                 k = f"{r.display_id}|{digest}"
                 if k in held:
@@ -89,11 +101,9 @@ class SealedWindows(StatefulProcessor):
                 more, role = held[k][6], getattr(r, "role", None) or "unknown"
                 more["sightings"] = [*more["sightings"], [t, int(r.seq), *(float(getattr(r, c, 0.0)) for c in "xywh")]][-MAX_SIGHTINGS:]
                 more["roles"][role] = more["roles"].get(role, 0) + 1
-                if len(held) > self.limit:
-                    last = max(held, key=lambda k: (-held[k][4], -held[k][3], held[k][0], held[k][1]))
-                    del held[last]
             if t - anchor >= self.length:
                 number += 1
+                self._evict(held)
                 out += [(key[0], number, anchor, t, *v[:6], [dict(zip(PLACE, s, strict=True)) for s in v[6]["sightings"]], [{"role": x, "n": n} for x, n in v[6]["roles"].items()]) for v in held.values()]
                 held, anchor = {}, t
         if anchor is not None:
