@@ -1,5 +1,6 @@
 """Pages whose article is known, from which operator 9 learns. They are put together from the usual parts of web pages
-in random order and with usual names; blocks of the article carry the attribute data-article."""
+in random order and with usual names; blocks of the article carry the attribute data-article. Some pages are text alone,
+with lines and inline elements at most, where a comment with that word marks the element it stands in; some have no article."""
 
 from __future__ import annotations
 
@@ -108,8 +109,27 @@ class Maker:
         r.shuffle(before)
         head = f'<head><meta charset="utf-8"><title>{self.words(4)}</title><style>p{{}}</style><script>var a="</p>";</script></head>'
         body = "".join(self.boiler(k) for k in before) + self.article() + "".join(self.boiler(k) for k in after)
+        if r.random() < 0.1:
+            body = r.choice([self.words(2), f'<a href="#main">{self.words(3)}</a>']) + body
         return f'<!DOCTYPE html><html lang="xx">{head}<body>{body}' + ("</body></html>" if r.random() < 0.9 else "")
 
+    def bare(self) -> str:
+        r = self.r
+        line = lambda: r.choice([self.sentences(r.choice([1, 1, 3])), f"{self.words(2)} <b>{self.words(2)}</b>", self.words(r.choice([2, 5, 9, 30]))])
+        text = "<!--data-article-->" + r.choice(["<br>", "\n", " "]).join(line() for _ in range(r.choice([1, 1, 2, 6])))
+        return r.choice([text, text, f"<body>{text}</body>", f"<html><head><title>{self.words(3)}</title></head><body>{text}</body></html>"])
+
+    def hollow(self) -> str:
+        """A page without an article, all text of which may be one element's."""
+        kind, tags = self.r.choice([("nav", ["nav", "div"]), ("header", ["header", "div"]), ("footer", ["footer", "div"]), ("aside", ["aside", "div"]), ("notice", ["div", "p"]), ("ad", ["div", "section"]), ("comments", ["div", "section"])])
+        inner = self.r.choice([self.sentences(1), f'<a href="/z">{self.words(2)}</a>'])
+        return f"<body>{self.named(kind, tags, inner)}{self.boiler(kind) if self.r.random() < 0.3 else ''}</body>"
+
+
+#: One page in so many is text alone, and one has no article.
+BARE = 12
+
 
 def pages(n: int = 600, seed: int = 11) -> list[str]:
-    return [Maker(seed * 100_003 + i).page() for i in range(n)]
+    makers = [Maker(seed * 100_003 + i) for i in range(n)]
+    return [m.bare() if i % BARE == 0 else m.hollow() if i % BARE == BARE // 2 else m.page() for i, m in enumerate(makers)]

@@ -62,7 +62,7 @@ MARK = "data-article"
 
 #: Length of a node's own text in characters, and its share in links: borders of the groups.
 LENGTHS = (1, 25, 80, 200)
-OWN = 1 + len(TAGS) + len(KINDS) + len(LENGTHS) + 3
+OWN = 1 + len(TAGS) + len(KINDS) + len(LENGTHS) + 4
 
 #: Features that the elements inside a node have from it: parts of a page by tag and by name.
 PASSED_ON = [*(1 + TAGS.index(t) for t in ("head", "nav", "header", "footer", "aside", "article", "main", "form", "fieldset")), *range(1 + len(TAGS), 1 + len(TAGS) + len(KINDS))]
@@ -132,6 +132,8 @@ def parse(page: str) -> Tree:
             text(page[at : m.start()])
         at = m.end()
         if m[2] is None:
+            if m[0].startswith("<!--") and MARK in m[0]:
+                marked[stack[-1][1]] = True
             continue
         tag = m[2].lower()
         if m[1]:
@@ -199,7 +201,7 @@ def forest(trees: list[Tree]) -> Forest:
     parent, own, links = np.empty(n, np.int64), np.zeros(n), np.zeros(n)
     depth, tag = np.concatenate([t.depth for t in trees]), np.concatenate([t.tag for t in trees])
     x = np.zeros((n, FEATURES), np.float32)
-    sentence = np.zeros(n, bool)
+    sentence, alone = np.zeros(n, bool), np.zeros(n, bool)
     for t, base in zip(trees, first, strict=False):
         p = np.array(t.parent)
         parent[base : base + len(p)] = np.where(p < 0, -1, p + base)
@@ -207,6 +209,8 @@ def forest(trees: list[Tree]) -> Forest:
         for node, s in t.segments:
             own[base + node] += len(s)
             sentence[base + node] |= s[-1] in ".!?"
+        if t.segments and len(having := {node for node, _ in t.segments}) == 1:
+            alone[base + having.pop()] = True  # all text of the page is this node's
         for i, k in enumerate(t.kinds):
             if k:
                 x[base + i, [1 + len(TAGS) + j for j in k]] = 1
@@ -218,6 +222,7 @@ def forest(trees: list[Tree]) -> Forest:
     x[:, at + len(LENGTHS)] = links > 0.5 * np.maximum(own, 1)
     x[:, at + len(LENGTHS) + 1] = sentence
     x[:, at + len(LENGTHS) + 2] = (own > 0) & (tag == _TAG["div"])
+    x[:, at + len(LENGTHS) + 3] = alone
     for level in levels_of(depth)[1:]:
         up = parent[level]
         x[level, OWN:] = np.maximum(x[up][:, PASSED_ON], x[up, OWN:])

@@ -493,6 +493,15 @@ def test_main_text_of_the_tables_pages(spark, sf_dir, model):
     assert all(r.n_chars == len(r.text) and r.text == " ".join(r.text.split()) for r in got.values())
 
 
+def test_main_text_of_pages_without_markup(model):
+    """Text alone is the page's text, whatever its length; a menu, a notice or an advert alone isn't."""
+    long = "Words that stand by themselves, and go on. " * 20_000
+    own = {"Just plain text without markup.": None, "one line<br>two lines": "one line two lines", "Hello <b>world</b>": "Hello world", "a &amp; b": "a & b", "<html><body>Text of the body.</body></html>": "Text of the body.", long: long.strip()}
+    assert html_text.extract(list(own), model) == [want or page for page, want in own.items()]
+    for page in ('<nav><a href="x">Home</a></nav>', '<body><div class="cookie-consent">We use cookies. Accept them.</div></body>', '<div class="ad">Buy now. Cheap.</div>', "<footer>&copy; 2020 Us.</footer>"):
+        assert html_text.extract([page], model) == [""]
+
+
 def test_main_text_of_held_out_pages(model):
     right = total = 0
     for page in html_text.pages(150, seed=99):
