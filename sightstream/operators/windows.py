@@ -5,12 +5,13 @@ is the next anchor. An encounter is a text on a display; it is forgotten once it
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,50 +54,86 @@ def windows(samples: DataFrame, length: int = WINDOW_SECONDS, start: Column | No
     length = max(1, length)
     block = max(length, block or BLOCKS * length)
     begin = F.lit(None).cast("long") if start is None else start.cast("long")
-    ticks = samples.groupBy("session_id", F.col("t").cast("long").alias("t")).agg(F.min(F.col("seq").cast("long")).alias("seq"), F.min(begin).alias("start"))
+    ticks = samples.where("session_id is not null and t is not null").groupBy("session_id", F.col("t").cast("long").alias("t")).agg(F.min(F.col("seq").cast("long")).alias("seq"), F.min(begin).alias("start"))
     ticks = ticks.withColumn("block", F.floor(F.col("t") / block).cast("long")).repartition("session_id", "block").sortWithinPartitions("session_id", "block", "t")
     kind = samples.select("session_id").schema[0].dataType.simpleString()
-    tables = ticks.mapInPandas(_tables(length, block), f"session_id {kind}, block long, first_t long, start long, last_t long, entries array<struct<t: long, last: long, last_seq: long, n: int>>")
-    begun = tables.repartition("session_id").sortWithinPartitions("session_id", "block").mapInPandas(_begun(length), f"session_id {kind}, block long, anchor long, number long, from_t long, from_seq long")
+    tables = ticks.mapInArrow(_tables(length, block), f"session_id {kind}, block long, first_t long, start long, last_t long, entries array<struct<t: long, last: long, last_seq: long, n: int>>")
+    begun = tables.repartition("session_id").sortWithinPartitions("session_id", "block").mapInArrow(_begun(length), f"session_id {kind}, block long, anchor long, number long, from_t long, from_seq long")
     rows = ticks.select("session_id", "block", "t", "seq").join(begun.hint("merge"), ["session_id", "block"]).sortWithinPartitions("session_id", "block", "t")
-    return rows.select("session_id", "block", "t", "seq", "anchor", "number", "from_t", "from_seq").mapInPandas(_seals(length), f"session_id {kind}, window_no int, started_at long, ended_at long, seal_seq long, from_t long, from_seq long")
+    return rows.select("session_id", "block", "t", "seq", "anchor", "number", "from_t", "from_seq").mapInArrow(_seals(length), f"session_id {kind}, window_no int, started_at long, ended_at long, seal_seq long, from_t long, from_seq long")
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Rows of one key after another, of batches in which they lie together."""
-    held: list[pd.DataFrame] = []
+class _Groups:
+    """Rows of whole groups in order of time, as arrays, so that all groups of a batch are searched at once."""
+
+    def __init__(self, table: pa.Table, keys: list[str]) -> None:
+        self.table, self.t = table, table["t"].to_numpy()
+        self.starts = np.append(0, _changes(table, keys))
+        self.ends = np.append(self.starts[1:], table.num_rows)
+        self.first, span = self.t[self.starts], self.t[self.ends - 1] - self.t[self.starts]
+        # one axis for all groups: after each is a place that no row has
+        self.after = span + 1
+        self.base = np.cumsum(self.after + 1) - self.after - 1
+        self.of = np.repeat(np.arange(len(self.starts)), self.ends - self.starts)
+        self.place = self.base[self.of] + self.t - self.first[self.of]
+
+    def find(self, group: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Of each of these groups the first row at or after t; its end if there is none."""
+        return np.searchsorted(self.place, self.base[group] + np.clip(t - self.first[group], 0, self.after[group]))
+
+    def head(self, name: str) -> pa.ChunkedArray:
+        """A column of the groups' first rows."""
+        return self.table[name].take(self.starts)
+
+
+def _changes(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """The rows whose key isn't that of the row before."""
+    n = table.num_rows
+    changed = np.zeros(max(0, n - 1), bool)
+    for k in keys:
+        changed |= pc.not_equal(table[k].slice(1), table[k].slice(0, n - 1)).to_numpy()
+    return np.flatnonzero(changed) + 1
+
+
+def _whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[_Groups]:
+    """All groups of one batch after another, of batches in which rows of a key lie together: the last group waits for its end."""
+    held: list[pa.Table] = []
     for b in batches:
-        if not len(b):
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        cuts = _changes(t, keys)
+        if not len(cuts) and held and not len(_changes(pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), t.slice(0, 1)]), keys)):
+            held.append(t)
             continue
-        changed = (b[keys].to_numpy()[1:] != b[keys].to_numpy()[:-1]).any(axis=1)
-        cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), len(b)]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            part = b.iloc[lo:hi]
-            if held and tuple(held[-1][keys].iloc[-1]) != tuple(part[keys].iloc[0]):
-                yield tuple(held[0][keys].iloc[0]), pd.concat(held)
-                held = []
-            held.append(part)
+        cut = int(cuts[-1]) if len(cuts) else 0
+        if held or cut:
+            yield _Groups(pa.concat_tables([*held, t.slice(0, cut)]).combine_chunks(), keys)
+        held = [t.slice(cut)]
     if held:
-        yield tuple(held[0][keys].iloc[0]), pd.concat(held)
+        yield _Groups(pa.concat_tables(held).combine_chunks(), keys)
 
 
 def _tables(length: int, block: int):  # noqa: ANN202
     """Of each block: for the ticks that can be its first seal, the last seal that follows from it and how many there are."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (session, number), b in _groups(batches, ["session_id", "block"]):
-            t, seq = b["t"].to_numpy(), b["seq"].to_numpy()
-            n = len(t)
-            then = np.searchsorted(t, t + length)
-            last, many = np.arange(n), np.ones(n, np.int64)
-            while (on := then < n).any():
-                to = np.where(on, then, 0)
-                last, many, then = np.where(on, last[to], last), np.where(on, many + many[to], many), np.where(on, then[to], n)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _whole(batches, ["session_id", "block"]):
+            t, seq, n = g.t, g.table["seq"], len(g.t)
+            then, end = g.find(g.of, g.t + length), g.ends[g.of]
+            last, many = np.arange(n), np.ones(n, np.int32)
+            while len(at := np.flatnonzero(then < end)):
+                to = then[at]
+                last[at], many[at], then[at] = last[to], many[at] + many[to], then[to]
             # a time to seal at is at most `length` after the block's beginning, unless the session begins in it
-            begins = b["start"].iloc[0]
-            top = np.searchsorted(t, max(number * block + length, t[0] + length, (begins if not pd.isna(begins) else t[0]) + length)) + 1
-            entries = [{"t": int(t[i]), "last": int(t[last[i]]), "last_seq": int(seq[last[i]]), "n": int(many[i])} for i in range(min(n, top))]
-            yield pd.DataFrame([(session, number, int(t[0]), None if pd.isna(begins) else int(begins), int(t[-1]), entries)], columns=["session_id", "block", "first_t", "start", "last_t", "entries"]).astype({"start": "Int64"})
+            begins = np.maximum(g.first, pc.coalesce(g.head("start"), pa.array(g.first)).to_numpy())
+            top = g.find(np.arange(len(g.starts)), np.maximum(g.head("block").to_numpy() * block, begins) + length) + 1
+            size = np.minimum(top, g.ends) - g.starts
+            ends = np.cumsum(size)
+            i = np.arange(ends[-1]) + np.repeat(g.starts - ends + size, size)
+            entries = pa.StructArray.from_arrays([pa.array(t[i]), pa.array(t[last[i]]), seq.take(last[i]).combine_chunks(), pa.array(many[i])], ["t", "last", "last_seq", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), entries)
+            yield from pa.table([g.head("session_id"), g.head("block"), pa.array(g.first), g.head("start"), pa.array(t[g.ends - 1]), lists], ["session_id", "block", "first_t", "start", "last_t", "entries"]).to_batches()
 
     return run
 
@@ -104,39 +141,54 @@ def _tables(length: int, block: int):  # noqa: ANN202
 def _begun(length: int):  # noqa: ANN202
     """The blocks of a session that seal something: the anchor they begin with, how many windows were sealed, where the window began."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: object = None
         anchor, number, since = 0, 0, (None, None)
         for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                if current is None or r.session_id != current:
-                    current, anchor, number, since = r.session_id, int(r.first_t if pd.isna(r.start) else r.start), 0, (None, None)
-                if r.last_t < anchor + length:
+            out: list[tuple] = []
+            entries = b.column("entries")
+            t, last, last_seq, n = (x.to_pylist() for x in entries.flatten().flatten())
+            at = entries.offsets.to_numpy()
+            ranges = zip((at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist(), strict=True)
+            for i, (session, first_t, start, last_t, (lo, hi)) in enumerate(zip(*(b.column(c).to_pylist() for c in ("session_id", "first_t", "start", "last_t")), ranges, strict=True)):
+                if current is None or session != current:
+                    current, anchor, number, since = session, first_t if start is None else start, 0, (None, None)
+                if last_t < anchor + length:
                     continue
-                out.append((current, r.block, anchor, number, *since))
-                first = next(e for e in r.entries if e["t"] >= anchor + length)
-                anchor, number, since = first["last"], number + first["n"], (first["last"], first["last_seq"])
-            yield pd.DataFrame(out, columns=["session_id", "block", "anchor", "number", "from_t", "from_seq"]).astype({"from_t": "Int64", "from_seq": "Int64"})
+                out.append((i, anchor, number, *since))
+                e = bisect_left(t, anchor + length, lo, hi)
+                anchor, number, since = last[e], number + n[e], (last[e], last_seq[e])
+            rows, *more = zip(*out, strict=True) if out else [()] * 5
+            rows = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("session_id").take(rows), b.column("block").take(rows), *(pa.array(x, pa.int64()) for x in more)], ["session_id", "block", "anchor", "number", "from_t", "from_seq"])
 
     return run
 
 
 def _seals(length: int):  # noqa: ANN202
-    """The seals of each block, from what it begins with. From one anchor the next seal is found by binary search."""
+    """The seals of each block, from what it begins with. From one anchor the next seal is found by binary search, in all blocks
+    of a batch at once."""
     names = ["session_id", "window_no", "started_at", "ended_at", "seal_seq", "from_t", "from_seq"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (session, _), b in _groups(batches, ["session_id", "block"]):
-            t, seq = b["t"].to_numpy(), b["seq"].to_numpy()
-            anchor, number = int(b["anchor"].iloc[0]), int(b["number"].iloc[0])
-            since = tuple(None if pd.isna(b[c].iloc[0]) else int(b[c].iloc[0]) for c in ("from_t", "from_seq"))
-            out, at = [], 0
-            while (at := at + int(np.searchsorted(t[at:], anchor + length))) < len(t):
-                number += 1
-                out.append((session, number, anchor, int(t[at]), int(seq[at]), *since))
-                anchor, since, at = int(t[at]), (int(t[at]), int(seq[at])), at + 1
-            yield pd.DataFrame(out, columns=names).astype({"from_t": "Int64", "from_seq": "Int64"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _whole(batches, ["session_id", "block"]):
+            live, found = np.arange(len(g.starts)), []
+            anchor, number, since = g.head("anchor").to_numpy(), g.head("number").to_numpy(), np.full(len(live), -1)
+            while True:
+                at = g.find(live, anchor + length)
+                on = at < g.ends[live]
+                live, at, number = live[on], at[on], number[on] + 1
+                if not len(live):
+                    break
+                found.append((live, number, anchor[on], at, since[on]))
+                anchor, since = g.t[at], at
+            if not found:
+                continue
+            live, number, anchor, at, since = (np.concatenate(x) for x in zip(*found, strict=True))
+            begun, start = pa.array(since < 0), g.starts[live]
+            since_row = np.maximum(since, 0)
+            before = [pc.if_else(begun, g.table[f"from_{c}"].take(start), g.table[c].take(since_row)) for c in ("t", "seq")]
+            yield from pa.table([g.table["session_id"].take(start), pa.array(number, pa.int32()), pa.array(anchor), pa.array(g.t[at]), g.table["seq"].take(at), *before], names).to_batches()
 
     return run
 
@@ -183,14 +235,16 @@ def evictions(rows: DataFrame, keys: list[str], limit: int, ttl: int = TTL_SECON
     What memory holds are the texts seen last, however it came to hold them. So the rows of one time to live before a stretch of
     time tell what it holds when the stretch begins, and each stretch of `lives` of them is a task's work of its own: a row goes
     to its stretch, and to the next one if it is at most ttl before it. A task reads its rows in order and holds `limit`
-    texts and those of one sample."""
+    texts and those of one sample. Where a stretch and what comes to it have at most `limit` rows, memory lets nothing go and none
+    is `lost`: a text that it doesn't hold there is its first, or was last seen longer than ttl before."""
     t, order = F.col("t").cast("double"), ["t", "seq", F.desc("display_id"), F.desc("text_hash")]
     size = max(1, ttl) * max(1, lives)
     own = F.floor(t / size).cast("long")
     following = F.floor((t + ttl) / size).cast("long")
     dealt = rows.withColumn("_own", own).withColumn("_stretch", F.explode(F.when(following > own, F.array(own, own + 1)).otherwise(F.array(own))))
-    first = F.row_number().over(Window.partitionBy(*keys, "_stretch").orderBy(*order)) == 1
-    dealt = dealt.withColumn("_first", first).sortWithinPartitions(*keys, "_stretch", *order)
+    stretch = Window.partitionBy(*keys, "_stretch").orderBy(*order)
+    full = F.count("*").over(stretch.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) > max(1, limit)
+    dealt = dealt.withColumns({"_first": F.row_number().over(stretch) == 1, "_full": full}).sortWithinPartitions(*keys, "_stretch", *order)
     told = dealt.withColumn("_here", F.coalesce(F.col("_own") == F.col("_stretch"), F.lit(True))).drop("_own", "_stretch")
     schema = rows.withColumn("lost", F.lit(True)).schema
     return told.mapInArrow(_evicted(max(1, limit), rows.columns), schema)
@@ -204,7 +258,8 @@ def _evicted(limit: int, columns: list[str]):  # noqa: ANN202
         sample = None
         for b in batches:
             lost = []
-            for first, t, seq, *text in zip(*(b.column(c).to_pylist() for c in ("_first", "t", "seq", "display_id", "text_hash")), strict=True):
+            full = b.filter(b.column("_full"))
+            for first, t, seq, *text in zip(*(full.column(c).to_pylist() for c in ("_first", "t", "seq", "display_id", "text_hash")), strict=True):
                 if first:
                     held.clear()
                 if t is None:
@@ -218,7 +273,9 @@ def _evicted(limit: int, columns: list[str]):  # noqa: ANN202
                 lost.append(k not in held)
                 held[k] = None
                 held.move_to_end(k)
-            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(lost, pa.bool_())], names=[*columns, "lost"])
+            told = np.zeros(b.num_rows, bool)
+            told[b.column("_full").to_numpy(zero_copy_only=False)] = lost
+            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(told)], names=[*columns, "lost"])
             yield out.filter(b.column("_here"))
 
     return run

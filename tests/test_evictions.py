@@ -97,3 +97,15 @@ def test_stream_equals_batch(spark, tmp_path, limit, more):
     want = W.sealed_encounters(df, length, ttl, limit).collect()
     key = lambda r: (r.session_id, r.window_no, r.display_id, r.text_hash, r.first_seen, r.last_seen, r.seen_count, len(r.sightings))
     assert sorted(map(key, got)) == sorted(map(key, want)) and len(got) >= limit
+
+
+def test_stretches_that_cannot_overflow_are_not_read_row_by_row(spark):
+    df = spark.createDataFrame(rows_of(5, 300, 9, [1, 2]), SAMPLE).withColumn("text_hash", text_hash("text"))
+    assert W.evictions(df, ["session_id"], 10**4, 10).where("lost").count() == 0
+    # one long session overflows, many short ones beside it don't
+    more = df.where("session_id = 0").union(df.where("session_id = 1").withColumn("session_id", F.col("session_id") + F.floor(F.col("t") / 20)))
+    runs, _ = scanned([tuple(r) for r in more.collect()], 6, 40)
+    told = W.evictions(more.repartition(3), ["session_id"], 6, 40, 1)
+    by = ["session_id", "display_id", "text_hash"]
+    got = W.gap_sessions(told, by, 40, F.col("lost")).groupBy(*by, "run").agg(F.min("t"), F.max("t"), F.count("*")).collect()
+    assert {tuple(r[:4]): tuple(r[4:]) for r in got} == runs and told.where("lost and session_id > 0").count() < told.where("lost and session_id = 0").count()
