@@ -114,29 +114,31 @@ class Store:
             number, manifest = self.versions.manifest()
             judged, name = self._judged(rows, order, manifest["tables"].get(TABLE, []))
             first = manifest.get("next_id", 1)
-            new, count = numbered(judged.where("_new").drop("_new"), [*order, *self.key], first)
+            new, count = numbered(self._grouped(judged.where("_new").drop("_new")), [*order, *self.key], first)
             folder = self.versions.write(TABLE, new, partition_by)
             if self.versions.commit(number + 1, self._next(manifest, [*manifest["tables"].get(TABLE, []), folder], first + count)):
-                return Appended(self._filled(self.versions.rows(TABLE, self.schema, [folder])), judged.where("not _new").drop("_new", "_g"))
+                return Appended(self._filled(self.versions.rows(TABLE, self.schema, [folder])), judged.where("not _new").drop("_new"))
             self.versions.remove(TABLE, [folder])
             self.versions.remove("judged", [name])
         raise RuntimeError(f"{self.TRIES} other writers were faster")
 
     def _judged(self, rows: DataFrame, order: list[str], folders: list[str]) -> tuple[DataFrame, str]:
-        """rows with _new, whether they can be stored, and _g, their group, in a folder beside the table: judged once."""
-        groups = max(1, -(-rows.count() // self.GROUP))
-        by = self.key or rows.columns
-        group = F.pmod(F.xxhash64(*by), F.lit(groups)).cast("int").alias("_g")
+        """rows with _new, whether they can be stored, in a folder beside the table: rows are computed once, whatever they are made of."""
         if self.key:
             held = self.versions.rows(TABLE, self.schema, folders).select(*(F.col(k).alias(f"_held_{k}") for k in self.key)).distinct().withColumn("_held", F.lit(True))
             same = [F.col(k).eqNullSafe(F.col(f"_held_{k}")) for k in self.key]
             n = F.row_number().over(Window.partitionBy(*self.key).orderBy(*order))
-            judged = rows.withColumn("_n", n).join(held, reduce(and_, same), "left").select(*rows.columns, ((F.col("_n") == 1) & F.col("_held").isNull()).alias("_new"), group)
+            judged = rows.withColumn("_n", n).join(held, reduce(and_, same), "left").select(*rows.columns, ((F.col("_n") == 1) & F.col("_held").isNull()).alias("_new"))
         else:
-            judged = rows.select("*", F.lit(True).alias("_new"), group)
+            judged = rows.select("*", F.lit(True).alias("_new"))
         name = self.versions.write("judged", judged)
         return self.spark.read.schema(judged.schema).parquet(self.versions.folder("judged", name)), name
 
+    def _grouped(self, rows: DataFrame) -> DataFrame:
+        """rows with _g, their group: as many groups as the rows, which are stored already, need."""
+        groups = max(1, -(-rows.count() // self.GROUP))
+        return rows.withColumn("_g", F.pmod(F.xxhash64(*(self.key or rows.columns)), F.lit(groups)).cast("int"))
+
     def _next(self, manifest: dict, folders: list[str], next_id: int) -> dict:
         return {**manifest, "tables": {**manifest["tables"], TABLE: folders}, "next_id": next_id}
 

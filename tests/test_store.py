@@ -113,3 +113,16 @@ def test_partitions_and_columns_added_later(spark, tmp_path):
     later = Q.Store(spark, str(tmp_path), "id bigint, name string, t bigint, kind string", None, {"kind": "old"})
     later.append(rows(spark, "z").withColumn("kind", F.lit("new")), ["t"], partition_by="name")
     assert sorted((r.id, r.name, r.kind) for r in later.read().collect()) == [(1, "a", "old"), (2, "b", "old"), (3, "a", "old"), (4, "z", "new")]
+
+
+def test_rows_are_computed_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = rows(spark, *"abcde").mapInArrow(counted, ROWS)
+    done = store(spark, tmp_path, ["name"]).append(df, ["t"])
+    assert done.stored.count() == 5 and done.rejected.count() == 0 and made.value == 5
