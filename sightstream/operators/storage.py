@@ -90,8 +90,8 @@ class Store:
     Writers don't wait for each other. One that finds that another has made the version it was about to make judges its rows
     again, against that one (sources.versions). Readers see whole versions."""
 
-    #: Rows whose numbers one task gives.
-    GROUP = 1_000_000
+    #: Rows of a group, which one task numbers: few, since they come with their texts.
+    GROUP = 10_000
 
     #: How often a writer begins again before it gives up.
     TRIES = 20

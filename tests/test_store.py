@@ -126,3 +126,12 @@ def test_rows_are_computed_once(spark, tmp_path):
     df = rows(spark, *"abcde").mapInArrow(counted, ROWS)
     done = store(spark, tmp_path, ["name"]).append(df, ["t"])
     assert done.stored.count() == 5 and done.rejected.count() == 0 and made.value == 5
+
+
+def test_groups_of_ids_are_parts_of_what_is_stored(spark, tmp_path):
+    """Rows with their texts are numbered by many tasks, not by one for each million of them."""
+    s = store(spark, tmp_path)
+    df = spark.range(60_000).select(F.col("id").cast("string").alias("name"), F.col("id").alias("t"))
+    assert s._grouped(df).groupBy("_g").count().agg(F.max("count")).first()[0] < 20_000
+    told = s.append(df, ["t"]).stored.agg(F.min("id"), F.max("id"), F.count_distinct("id")).first()
+    assert tuple(told) == (1, 60_000, 60_000)
