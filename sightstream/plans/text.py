@@ -37,15 +37,15 @@ def as_lines(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("line_no", F.col("obs_idx")).select("doc_id", "display_id", "line_no", "text", "x", "y", "w", "h")
 
 
-def framed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def framed_blocks(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """Blocks with frame_h, the height of their document's frame."""
-    lines = as_lines(observations(spark, sf_dir))
+    lines = as_lines(observations(spark, sf_dir, dealt))
     heights = lines.groupBy("doc_id").agg((F.max("y") + 20).alias("frame_h"))
     return L.blocks(lines).join(heights, "doc_id")
 
 
-def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.classify(framed_blocks(spark, sf_dir), F.lit(float(FRAME_WIDTH)), F.col("frame_h"))
+def classified(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    return C.classify(framed_blocks(spark, sf_dir, dealt), F.lit(float(FRAME_WIDTH)), F.col("frame_h"))
 
 
 def doc_normalize(spark, sf_dir):
@@ -205,8 +205,8 @@ def plain_export(spark, sf_dir):
 
 def prepared_documents(spark, sf_dir):
     """Everything that is prepared of a document: its Markdown, structured Markdown and chunks, by their hashes."""
-    b = L.blocks(as_lines(observations(spark, sf_dir)))
-    p = X.prepared(L.regions(b), b, classified(spark, sf_dir), *map(F.lit, ODD_FRAME), limit=2000)
+    b = L.blocks(as_lines(observations(spark, sf_dir, dealt=True)))
+    p = X.prepared(L.regions(b), b, classified(spark, sf_dir, dealt=True), *map(F.lit, ODD_FRAME), limit=2000)
     return p.select("doc_id", T.sha("markdown").alias("markdown_sha256"), T.sha("structured").alias("structured_sha256"), F.size("chunks").alias("chunks"), T.sha(F.array_join(F.transform("chunks", lambda c: c["text"]), "\n")).alias("chunks_sha256"))
 
 
